@@ -87,7 +87,7 @@ def edges_of(t):
 
 
 def ranks_of(edges):
-    return graph.page_rank(ordering.prune_weak_edges(edges), iterations=ROUNDS)
+    return plan.rank_strong_edges(edges, iterations=ROUNDS)
 
 
 def layout_of(t):
@@ -165,7 +165,7 @@ def _(t):
 
 @query("prune_weak_edges", f"WITH {STRONG_SQL} SELECT src, dst, pairs FROM strong")
 def _(t):
-    return ordering.prune_weak_edges(edges_of(t)).select("src", "dst", "pairs")
+    return ordering.prune_weak_edges(stage(edges_of(t))).select("src", "dst", "pairs")
 
 
 @query("page_rank", f"WITH {RANK_SQL} SELECT id, round(rank, 6) AS rank FROM ranks")

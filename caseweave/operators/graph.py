@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ def weighted_page_rank(
     error after ``max_iter`` rounds. The table is staged every ``stage_every`` rounds to cut lineage.
     """
     damping = 1.0 - reset
-    links = edges.select("src", "dst", F.col(weight).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    links = stage(edges.select("src", "dst", F.col(weight).alias("w")))
     ranks = _ends(links).select(
         "id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"), F.lit(True).alias("got")
     )
@@ -174,7 +173,7 @@ def spread_from_failed(
     u failed and v not yet, and time(u) + lag ≤ days(u,v): v fails at time(u) + days. The smallest time
     of a round counts and the first round wins. Without ``rounds`` it runs until nothing new fails.
     """
-    links = edges.select("src", "dst", F.col("avg_days").alias("days")).persist(StorageLevel.MEMORY_AND_DISK)
+    links = stage(edges.select("src", "dst", F.col("avg_days").alias("days")))
     state = nodes.select(
         "id", F.when(F.col(failed), F.lit(0.0)).alias("time"), F.when(F.col(failed), F.lit(0)).alias("round")
     )

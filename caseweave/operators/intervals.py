@@ -18,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.session import stage
+
 DAY = 86_400_000_000  # microseconds
 DIGITS = 19  # base-four digits that cover the microseconds of a day
+AS_PARENT, AS_CHILD = "role <> 2", "role <> 1"
 
 
 def days_between_frac(start: Column, end: Column) -> Column:
@@ -57,33 +60,32 @@ def open_days(incidents: DataFrame) -> DataFrame:
 def meeting_points(incidents: DataFrame, tie_rank: Column | None = None) -> DataFrame:
     """One row per incident and bucket, with its digit there.
 
-    Columns added: ``place`` (day, level, position) and ``digit``, and whether the row acts as
-    ``parent`` and as ``child``. Level -1 joins earlier days to first days, levels 0..18 are the
+    Columns added: the bucket (day, level, pos), the ``digit`` there, and ``role``: 1 as parent, 2 as
+    child, 3 as both. Level -1 joins earlier days to first days, levels 0..18 are the
     digits of the time of day, level 99 holds incidents that start at the same microsecond, where the
     digit is ``tie_rank`` if given.
     """
     micros = F.unix_micros("from_ts").cast("long")
     in_day = F.pmod(micros, F.lit(DAY))
-    yes, no = F.lit(True), F.lit(False)
 
-    def role(day, level, pos, digit, parent, child):
+    def point(day, level, pos, digit, role):
         return F.struct(
             day.cast("long").alias("day"), F.lit(level).alias("level"), pos.cast("long").alias("pos"),
-            digit.cast("long").alias("digit"), parent.alias("parent"), child.alias("child"),
+            digit.cast("long").alias("digit"), F.lit(role).alias("role"),
         )
 
     first = F.col("first_day")
     zero, one = F.lit(0), F.lit(1)
     carried = F.when(
         F.col("last_day") > first,
-        F.transform(F.sequence(first + 1, F.col("last_day")), lambda d: role(d, -1, zero, zero, yes, no)),
+        F.transform(F.sequence(first + 1, F.col("last_day")), lambda d: point(d, -1, zero, zero, 1)),
     ).otherwise(F.array())
-    own = [role(first, -1, zero, one, no, yes)]
+    own = [point(first, -1, zero, one, 2)]
     for level in range(DIGITS):
         own.append(
-            role(first, level, F.shiftright(in_day, 2 * level + 2), F.shiftright(in_day, 2 * level) % 4, yes, yes)
+            point(first, level, F.shiftright(in_day, 2 * level + 2), F.shiftright(in_day, 2 * level) % 4, 3)
         )
-    own.append(role(first, 99, in_day, zero if tie_rank is None else tie_rank, yes, yes))
+    own.append(point(first, 99, in_day, zero if tie_rank is None else tie_rank, 3))
     return (
         open_days(incidents)
         .withColumn("m", F.explode(F.concat(carried, F.array(*own))))
@@ -117,11 +119,12 @@ def pair_totals(incidents: DataFrame, by: str = "app_id", break_ties: bool = Fal
     rank = F.when(F.lit(break_ties), F.xxhash64(F.col(by))) if break_ties else None
     cells = (
         meeting_points(incidents, rank)
-        .groupBy("day", "level", "pos", "digit", "parent", "child", by)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(_start_days()).alias("s"))
+        .groupBy("day", "level", "pos", "digit", by)
+        # the role follows from the keys; as an aggregate it keeps both sides on one shared shuffle
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(_start_days()).alias("s"), F.max("role").alias("role"))
     )
-    p = cells.where("parent").alias("p")
-    c = cells.where("child").alias("c")
+    p = cells.where(AS_PARENT).alias("p")
+    c = cells.where(AS_CHILD).alias("c")
     same = (F.col("p.level") == 99) & (F.col("p.digit") == F.col("c.digit")) & (F.col(f"p.{by}") == F.col(f"c.{by}"))
     both_ways = F.col("p.n") * (F.col("p.n") - 1)
     own_pairs = both_ways / 2 if break_ties else both_ways
@@ -143,26 +146,24 @@ def overlap_degrees(incidents: DataFrame) -> DataFrame:
 
     Each incident meets one total per bucket, so the work is linear in the incidents.
     """
-    points = meeting_points(incidents).select(
-        "incident_id", "day", "level", "pos", "digit", "parent", "child", _start_days().alias("s")
-    )
-    totals = points.groupBy("day", "level", "pos", "digit", "parent", "child").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("s").alias("total")
+    points = meeting_points(incidents).select("incident_id", "day", "level", "pos", "digit", "role", _start_days().alias("s"))
+    totals = points.groupBy("day", "level", "pos", "digit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s").alias("total"), F.max("role").alias("role")
     )
     tie = F.col("x.level") == 99
     own = F.when(tie, F.col("t.n") - 1).otherwise(F.col("t.n"))
     up = (
-        points.alias("x").where("child")
-        .join(totals.alias("t").where("parent"), _meets("t", "x", ties=True))
+        points.alias("x").where(AS_CHILD)
+        .join(totals.alias("t").where(AS_PARENT), _meets("t", "x", ties=True))
         .select(
             "incident_id", own.alias("parents"), F.lit(0).cast("long").alias("children"),
             F.when(tie, F.lit(0.0)).otherwise(F.col("t.n") * F.col("x.s") - F.col("t.total")).alias("days"),
         )
     )
     down = (
-        points.alias("x").where("parent")
-        .join(totals.alias("t").where("child"), _meets("x", "t", ties=True))
-        .select("incident_id", F.lit(0).cast("long").alias("parents"), own.alias("children"), F.lit(0.0).alias("days"))
+        points.alias("x").where(AS_PARENT)
+        .join(totals.alias("t").where(AS_CHILD), _meets("x", "t", ties=True))
+        .select("incident_id", F.lit(0).cast("long").alias("parents"), own.alias("children"), (F.col("t.total") * 0).alias("days"))
     )
     return up.unionByName(down).groupBy("incident_id").agg(
         F.sum("parents").alias("n_parents"), F.sum("children").alias("n_children"), F.sum("days").alias("parent_days")
@@ -203,6 +204,10 @@ def app_edge_stats(incidents: DataFrame, integer_days: bool = False, break_ties:
 
 
 def normalize_edge_weight(edges: DataFrame, how: str = "max") -> DataFrame:
-    """Edge weight = pairs / largest pairs, or with ``how='total'`` pairs / number of all pairs."""
+    """Edge weight = pairs / largest pairs, or with ``how='total'`` pairs / number of all pairs.
+
+    The edges are staged, since the whole and the rows both need them.
+    """
+    edges = stage(edges)
     whole = edges.agg((F.max if how == "max" else F.sum)("pairs")).scalar()
     return edges.withColumn("weight", F.col("pairs") / whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from caseweave.operators import graph, intervals, ordering
+from caseweave.session import stage
 
 
 def build_contagion_graph(
@@ -20,4 +21,9 @@ def build_contagion_graph(
 
 def rank_components(incidents: DataFrame, edges: DataFrame, drop_share: float = 0.5, **kwargs) -> DataFrame:
     """Rank over the stronger edges and the risk table of the components."""
-    return graph.risk_nodes(incidents, graph.page_rank(ordering.prune_weak_edges(edges, "weight", drop_share), **kwargs))
+    return graph.risk_nodes(incidents, stage(rank_strong_edges(edges, drop_share, **kwargs)))
+
+
+def rank_strong_edges(edges: DataFrame, drop_share: float = 0.5, **kwargs) -> DataFrame:
+    """Rank over the stronger edges. The edges are staged: they are read for the cut and for the rounds."""
+    return graph.page_rank(ordering.prune_weak_edges(stage(edges), "weight", drop_share), **kwargs)

@@ -53,3 +53,9 @@ def stage(df: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder and cut its lineage there."""
     work_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input of fewer splits than there are cores; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
