@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseweave.catalog.registry import query
 from caseweave.functions import text as tx
 from caseweave.operators import summaries, terms
-from caseweave.session import spread
+from caseweave.session import spread, stage
 
 STOP = "the and of de la le les der die und el que".split()
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
@@ -34,6 +34,11 @@ def tf_of(t):
     return terms.term_freq(tokens_of(t))
 
 
+def staged_tf(t):
+    """The term table, written once for queries that read it more than once."""
+    return stage(tf_of(t))
+
+
 def n_docs(t):
     return t.documents.agg(F.count(F.lit(1)).cast("double")).scalar()
 
@@ -43,7 +48,7 @@ def vocabulary_of(t, tf):
 
 
 def unit_weights(t):
-    tf = tf_of(t)
+    tf = staged_tf(t)
     return terms.tfidf(tf, n_docs(t), "smooth", by_length=False, l2=True, vocabulary=vocabulary_of(t, tf))
 
 
@@ -165,7 +170,7 @@ def _(t):
 
 @query("stem_terms")
 def _(t):
-    return terms.stem_terms(tf_of(t)).select("doc_id", "term", "tf")
+    return terms.stem_terms(staged_tf(t)).select("doc_id", "term", "tf")
 
 
 @query(
@@ -197,7 +202,7 @@ def _(t):
     FROM tf JOIN df USING (term) WHERE total > 1 GROUP BY 1""",
 )
 def _(t):
-    kept = terms.drop_hapax(tf_of(t))
+    kept = terms.drop_hapax(staged_tf(t))
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
@@ -243,7 +248,7 @@ def _(t):
       SELECT term FROM df, n WHERE df > n * (1.0::DOUBLE - 0.95::DOUBLE))""",
 )
 def _(t):
-    return terms.prune_sparse_terms(tf_of(t), n_docs(t), 0.95).select("doc_id", "term", "tf")
+    return terms.prune_sparse_terms(staged_tf(t), n_docs(t), 0.95).select("doc_id", "term", "tf")
 
 
 @query("bound_vocabulary", f"WITH {BOUND_SQL} SELECT term, df, total FROM vocab")
@@ -267,7 +272,7 @@ def _(t):
     f"WITH {TOKENS_SQL} SELECT doc_id, term, round(tf / doc_len::DOUBLE * ln(n / df), 9) AS w FROM tf JOIN df USING (term), n",
 )
 def _(t):
-    return terms.tfidf(tf_of(t), n_docs(t)).withColumn("w", F.round("w", 9))
+    return terms.tfidf(staged_tf(t), n_docs(t)).withColumn("w", F.round("w", 9))
 
 
 @query("tfidf_smooth", f"WITH {BOUND_SQL} SELECT doc_id, term, round(w, 9) AS w FROM unit")
@@ -281,7 +286,7 @@ def _(t):
     round(sum(tf * log2(n / df)), 5) AS w_plain FROM tf JOIN df USING (term), n GROUP BY 1""",
 )
 def _(t):
-    tf = tf_of(t)
+    tf = staged_tf(t)
     both = terms.tfidf(tf, n_docs(t), "log2").withColumn("plain", F.lit(0.0)).unionByName(
         terms.tfidf(tf, n_docs(t), "log2", by_length=False).select("doc_id", "term", F.lit(0.0).alias("w"), F.col("w").alias("plain"))
     )
@@ -305,7 +310,7 @@ def _(t):
     SELECT doc_id, term, round(tf / sd, 6) AS w FROM tf JOIN s USING (term)""",
 )
 def _(t):
-    weights = tf_of(t).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+    weights = staged_tf(t).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
     return terms.scale_columns(weights, n_docs(t)).withColumn("w", F.round("w", 6))
 
 
@@ -327,7 +332,7 @@ def _(t):
     ORDER BY total DESC, term LIMIT 50""",
 )
 def _(t):
-    return terms.docs_with_terms_freq(tf_of(t), ["password", "license", "under"], 5, 50)
+    return terms.docs_with_terms_freq(staged_tf(t), ["password", "license", "under"], 5, 50)
 
 
 # --- whole documents ----------------------------------------------------------------------------
@@ -347,7 +352,7 @@ def _(t):
     WHERE rank <= ceil(n * 0.2::DOUBLE)""",
 )
 def _(t):
-    weights = terms.tfidf(tf_of(t), n_docs(t))
+    weights = terms.tfidf(staged_tf(t), n_docs(t))
     return summaries.summarize_docs(t.documents, weights).withColumn("score", F.round("score", 6))
 
 

@@ -33,7 +33,7 @@ def defect_to_incident(
     """
     closed = F.coalesce(_first("Closed-on"), _first("Resolved-on"), _first("Sys-Last-Updated"))
     numeric = F.filter(_values("Severity"), lambda v: v.rlike(r"^\d+$"))
-    severity = F.array_min(F.transform(numeric, lambda v: v.cast("int")))
+    severity = F.array_min(F.transform(numeric, lambda v: v.try_cast("int")))
     if default_severity is not None:
         severity = F.coalesce(severity, F.lit(default_severity))
     out = defects.select(

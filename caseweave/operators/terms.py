@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 
 def term_freq(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Count of each term per document."""
+    """Count of each term per document.
+
+    The outer explode keeps the optimizer from running the tokenizer again in a filter on its size.
+    """
     return (
-        docs.select("doc_id", F.size(tokens).cast("long").alias("doc_len"), F.explode(tokens).alias("term"))
+        docs.select("doc_id", F.size(tokens).cast("long").alias("doc_len"), F.explode_outer(tokens).alias("term"))
+        .where("term IS NOT NULL")
         .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+        .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
     )
 
 
@@ -135,5 +139,5 @@ def stem_terms(tf: DataFrame) -> DataFrame:
     return (
         tf.join(stems, "term")
         .groupBy("doc_id", F.col("stem").alias("term"))
-        .agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
+        .agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len"))
     )

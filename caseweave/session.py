@@ -50,9 +50,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder and cut its lineage there."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a frame to the shared folder and go on from there.
+
+    It cuts the lineage, survives lost executors, and later readers scan only their columns.
+    """
+    path = fresh_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
