@@ -20,7 +20,11 @@ def lsa_of(t, k=20):
 
 def doc_vectors(t):
     weights = unit_table(t)[1]
-    return models.sparse_vectors(weights, models.numbered_terms(weights.select("term").distinct()))
+    return models.sparse_vectors(weights, models.numbered_terms(weights.select("term").distinct()), docs=t.documents)
+
+
+def frequent(vocabulary, k):
+    return [r["term"] for r in vocabulary.orderBy(F.desc("total"), "term").limit(k).collect()]
 
 
 @query("lsa")
@@ -47,7 +51,8 @@ def _(t):
 
 @query("related_terms")
 def _(t):
-    return models.related_terms(lsa_of(t)[0], "thing")
+    model, vocabulary, _ = lsa_of(t)
+    return models.related_terms(model, frequent(vocabulary, 1)[0])
 
 
 @query("related_docs")
@@ -57,13 +62,14 @@ def _(t):
 
 @query("docs_for_term")
 def _(t):
-    return models.docs_for_term(lsa_of(t)[0], "thing")
+    model, vocabulary, _ = lsa_of(t)
+    return models.docs_for_term(model, frequent(vocabulary, 1)[0])
 
 
 @query("docs_for_query")
 def _(t):
     model, vocabulary, _ = lsa_of(t)
-    return models.docs_for_query(model, vocabulary, ["thing", "eaux", "ung"])
+    return models.docs_for_query(model, vocabulary, frequent(vocabulary, 3))
 
 
 @query("pca_project")
@@ -85,7 +91,7 @@ def _(t):
     head_weights = weights.join(terms.term_freq(heads).select("doc_id", "term"), ["doc_id", "term"], "left_semi")
     numbered = models.numbered_terms(weights.select("term").distinct())
     return models.two_level_clusters(
-        models.sparse_vectors(head_weights, numbered), models.sparse_vectors(weights, numbered), 5, 3
+        models.sparse_vectors(head_weights, numbered, docs=t.documents), models.sparse_vectors(weights, numbered, docs=t.documents), 5, 3
     )
 
 

@@ -26,8 +26,8 @@ def numbered_terms(vocabulary: DataFrame) -> DataFrame:
     return stage(positions(vocabulary.select("term"), [], [F.col("term")], "index"))
 
 
-def sparse_vectors(weights: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Long weights → (key, features) with sparse vectors.
+def sparse_vectors(weights: DataFrame, terms: DataFrame, key: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
+    """Long weights → (key, features) with sparse vectors; with ``docs`` those without terms are zero vectors.
 
     The rows pass through libsvm lines in the shared folder: Spark writes and reads them without
     Python, and model training can scan them as often as it needs. ``key`` must be an integer.
@@ -38,8 +38,10 @@ def sparse_vectors(weights: DataFrame, terms: DataFrame, key: str = "doc_id") ->
     entries = F.array_sort(F.collect_list(F.struct("index", "w")))
     line = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["index"].cast("string"), e["w"].cast("string"))), " ")
     rows = weights.where("w <> 0").join(terms, "term").groupBy(key).agg(entries.alias("entries"))
+    if docs is not None:
+        rows = docs.select(key).join(rows, key, "left")
     path = fresh_path(weights.sparkSession, "libsvm")
-    rows.select(F.concat_ws(" ", F.col(key).cast("string"), line).alias("value")).write.text(path)
+    rows.select(F.concat_ws(" ", F.col(key).cast("string"), F.coalesce(line, F.lit(""))).alias("value")).write.text(path)
     read = weights.sparkSession.read.format("libsvm").option("numFeatures", str(n)).load(path)
     return read.select(F.col("label").cast("long").alias(key), "features")
 
@@ -62,11 +64,12 @@ class Lsa:
         spark = weights.sparkSession
         terms = numbered_terms(weights.select("term").distinct())
         rows = sparse_vectors(weights, terms).select("features")
-        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "features"))
-        svd = matrix.computeSVD(k)
+        rows = MLUtils.convertVectorColumnsFromML(rows, "features").persist()  # the solver makes many passes
+        svd = RowMatrix(rows).computeSVD(k)
+        rows.unpersist()
         # V and s have at most 65,535 × k and k entries
         sigma = [float(x) for x in svd.s.toArray()]
-        v = svd.V.toArray()
+        v = svd.V.toArray().copy()
         for j in range(v.shape[1]):
             if v[abs(v[:, j]).argmax(), j] < 0:
                 v[:, j] = -v[:, j]
