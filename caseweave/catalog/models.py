@@ -126,5 +126,5 @@ def _(t):
     pairs = turns.join(following, ["conv_id", "turn"]).select(
         F.col("conv_id").alias("id_a"), F.col("turn").alias("id_b"), F.col("text").alias("text_a"), "text_b"
     )
-    scored = kernels.string_kernel_pairs(pairs.repartition("id_a", "id_b"))
+    scored = kernels.string_kernel_pairs(pairs)
     return ordering.top_k_per_group(scored, ["id_a"], [F.desc("kernel"), F.col("id_b")], 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseweave.adapters import DEFECTS_SQL, INCIDENTS_SQL, defects, incidents, posts
 from caseweave.catalog.registry import query
 from caseweave.operators import intervals, ordering, relational
+from caseweave.session import spread, stage
 from caseweave.sources import tables
 
 STAMP_OUT = "yyyy-MM-dd HH:mm:ss"
@@ -17,7 +18,7 @@ def stamp(c):
 
 
 def defect_incidents(t):
-    return relational.defect_to_incident(defects(t.events))
+    return relational.defect_to_incident(defects(spread(t.events)))
 
 
 @query(
@@ -145,7 +146,7 @@ def _(t):
 def _(t):
     days = intervals.days_between_frac(F.col("from_ts"), F.col("to_ts"))
     resolved = defect_incidents(t).where("severity = 2").select(days.alias("days")).where("days IS NOT NULL")
-    return relational.histogram(resolved, "days", 50).withColumn("lower", F.round("lower", 6))
+    return relational.histogram(stage(resolved), "days", 50).withColumn("lower", F.round("lower", 6))
 
 
 @query(

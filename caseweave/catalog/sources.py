@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseweave.adapters import DEFECTS_SQL, defects
-from caseweave.catalog.contagion import EDGES_SQL, edges_of
+from caseweave.adapters import DEFECTS_SQL, defects, incidents
+from caseweave.catalog.contagion import EDGES_SQL, RANK_SQL, ROUNDS, STATS_SQL, edges_of
 from caseweave.catalog.registry import query
 from caseweave.functions.text import tokenize
 from caseweave.operators import relational
-from caseweave.session import fresh_path
+from caseweave.plans import contagion as plan
+from caseweave.session import fresh_path, spread
 from caseweave.sources import articles, records, tables, threads
 
 PROLOG = '<?xml version="1.0" encoding="UTF-8"?>\n'
@@ -46,7 +47,7 @@ def defect_files(t) -> str:
         F.lit("</Note></Notes>\n</Defect>\n</CDETS>"),
     )
     path = fresh_path(t.spark, "defects")
-    defects(t.events).select(xml.alias("value")).write.text(path)
+    defects(spread(t.events)).select(xml.alias("value")).write.text(path)
     return path
 
 
@@ -294,3 +295,25 @@ def _(t):
     tables.save_embedding(vectors, path)
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return tables.load_embedding(t.spark, path).select("word", F.round(total, 6).alias("total"))
+
+
+@query(
+    "read_nodes_edges",
+    f"WITH {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents::INTEGER AS incidents, "
+    "round(rank / (SELECT max(rank) FROM ranks), 6) AS risk FROM stats JOIN ranks ON id = app_id",
+)
+def _(t):
+    path = fresh_path(t.spark, "nodes")
+    nodes = plan.rank_components(incidents(t.events), edges_of(t), iterations=ROUNDS)
+    tables.write_nodes_edges(nodes, path, ",", header=True)
+    read = tables.read_nodes_edges(t.spark, path, tables.NODE_SCHEMA, ",", header=True)
+    return read.withColumn("risk", F.round("risk", 6)).withColumn("avg_severity", F.round("avg_severity", 6))
+
+
+@query("load_embedding", "SELECT vec_id::VARCHAR AS word, len(embedding)::INTEGER AS n FROM embeddings")
+def _(t):
+    path = fresh_path(t.spark, "embedding")
+    tables.save_embedding(
+        t.embeddings.select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").cast("array<double>").alias("vector")), path
+    )
+    return tables.load_embedding(t.spark, path).select("word", F.size("vector").alias("n"))

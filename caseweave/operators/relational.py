@@ -83,9 +83,9 @@ def distinct_values(defects: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed; empty bins count 0."""
-    edge = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    lo, hi = edge.select("lo").scalar(), edge.select("hi").scalar()
-    width = (hi - lo) / bins
+    ends = df.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))).scalar()
+    lo = ends["lo"]
+    width = (ends["hi"] - lo) / bins
     bin_no = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)))
     counts = df.where(F.col(value).isNotNull()).groupBy(bin_no.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return (

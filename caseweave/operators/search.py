@@ -69,10 +69,11 @@ def pairwise_doc_similarity(weights: DataFrame, min_sim: float) -> DataFrame:
     """Document pairs (a < b) with cosine of at least ``min_sim``; ``weights`` have norm 1.
 
     Copies are taken out first and come back as one pair (first copy, copy) each, so a group of copies
-    gives a row per copy, not per pair. Among the different rows it is exact prefix filtering: with
-    the terms of every row ordered from rare to frequent, a row's prefix ends where the norm of the
-    rest falls below ``min_sim``. Two rows that are similar enough share a prefix term, so only rare
-    terms join, and the full dot product is computed for these candidates only.
+    gives a row per copy, not per pair. Among the different rows it is exact prefix filtering: the
+    terms of every row are ordered from rare to frequent and its prefix ends where the norm of the
+    rest falls below a bound under ``min_sim``. Then for any two rows, the score over shared prefix
+    terms plus the larger of the two rest norms is at least their cosine. Only pairs that can still
+    reach ``min_sim`` get the full dot product; frequent terms join for these only.
     """
     same = stage(identical_rows(weights))
     copies = same.where("doc_id <> first_id").select(
@@ -80,18 +81,20 @@ def pairwise_doc_similarity(weights: DataFrame, min_sim: float) -> DataFrame:
     )
     rows = stage(weights.join(same.where("doc_id = first_id").select("doc_id"), "doc_id", "left_semi"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rest = W.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term"))
-    prefix = (
-        rows.join(df, "term")
-        .withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
-        .where(F.col("rest") >= min_sim - 1e-9)
-        .select("doc_id", "term")
+    bound = 0.85 * min_sim
+    row = W.partitionBy("doc_id")
+    ranked = rows.join(df, "term").withColumn(
+        "rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(row.orderBy(F.desc("df"), F.desc("term"))))
     )
+    cut = F.coalesce(F.max(F.when(F.col("rest") < bound, F.col("rest"))).over(row), F.lit(0.0))
+    prefix = stage(ranked.withColumn("cut", cut).where(F.col("rest") >= bound).select("doc_id", "term", "w", "cut"))
     a, b = prefix.alias("a"), prefix.alias("b")
     candidates = (
         a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-        .select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))
-        .distinct()
+        .groupBy(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))
+        .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("shared"), F.max(F.greatest("a.cut", "b.cut")).alias("cut"))
+        .where(F.col("shared") + F.col("cut") >= min_sim - 1e-9)
+        .select("doc_a", "doc_b")
     )
     left = rows.select(F.col("doc_id").alias("doc_a"), "term", F.col("w").alias("wa"))
     right = rows.select(F.col("doc_id").alias("doc_b"), "term", F.col("w").alias("wb"))
