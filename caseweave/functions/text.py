@@ -40,7 +40,7 @@ def normalize_text(text: Column, max_chars: int | None = None) -> Column:
 
 def scrub_markup_lines(text: Column, joiner: str = "") -> Column:
     """Drop lines that start with ``<``; clean the others of entities and most punctuation."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.ltrim), lambda x: ~x.startswith("<"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.ltrim(x)), lambda x: ~x.startswith("<"))
 
     def clean(line):
         line = F.regexp_replace(line, SCRUB_ENTITIES, "")
