@@ -136,7 +136,10 @@ def explained_variance_sweep(model: Lsa, weights: DataFrame, ks: Sequence[int] =
 
 
 def pca_project(vectors: DataFrame, k: int = 2, key: str = "id") -> DataFrame:
-    """Coordinates on the first k principal components; ``vectors`` has a ``features`` column."""
+    """Coordinates on the first k principal components; ``vectors`` has a ``features`` column.
+
+    The solver holds a columns × columns matrix, so bound the vocabulary to a few thousand terms first.
+    """
     model = PCA(k=k, inputCol="features", outputCol="projected").fit(vectors)
     return model.transform(vectors).select(key, vector_to_array("projected").alias("vector"))
 
@@ -146,9 +149,10 @@ def pca_project(vectors: DataFrame, k: int = 2, key: str = "id") -> DataFrame:
 
 def kmeans_docs(vectors: DataFrame, k: int = 5, max_iter: int = 100, seed: int = 11, n_init: int = 1, key: str = "doc_id") -> DataFrame:
     """k-means cluster of each row; the best of ``n_init`` seeds by training cost."""
-    vectors = vectors.persist()
+    vectors.persist()
     models = [KMeans(k=k, maxIter=max_iter, seed=seed + i, initMode="k-means||").fit(vectors) for i in range(n_init)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    vectors.unpersist()
     return best.transform(vectors).select(key, F.col("prediction").alias("cluster"))
 
 
@@ -159,7 +163,7 @@ def two_level_clusters(level1: DataFrame, level2: DataFrame, k1: int = 10, k2: i
     rows keep one inner cluster.
     """
     outer = stage(kmeans_docs(level1, k1, max_iter, seed, key=key))
-    inner_rows = level2.join(outer, key).persist()
+    inner_rows = stage(level2.join(outer, key))
     parts = None
     for c in [r[0] for r in outer.select("cluster").distinct().collect()]:  # at most k1 values
         group = inner_rows.where(F.col("cluster") == c).select(key, "features")
@@ -174,7 +178,9 @@ def two_level_clusters(level1: DataFrame, level2: DataFrame, k1: int = 10, k2: i
 
 def hierarchical_clusters(vectors: DataFrame, k: int = 4, seed: int = 11, key: str = "id") -> DataFrame:
     """k clusters of a top-down tree of bisections."""
-    model = BisectingKMeans(k=k, seed=seed).fit(vectors.persist())
+    vectors.persist()
+    model = BisectingKMeans(k=k, seed=seed).fit(vectors)
+    vectors.unpersist()
     return model.transform(vectors).select(key, F.col("prediction").alias("cluster"))
 
 
@@ -203,6 +209,7 @@ def rf_leaves(vectors: DataFrame, trees: int = 50, seed: int = 11, max_depth: in
     train = rows.select("vector", F.lit(1.0).alias("label")).unionByName(fake)
     train = train.select("label", array_to_vector("vector").alias("features")).persist()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, leafCol="leaf").fit(train)
+    train.unpersist()
     placed = forest.transform(rows.select(key, array_to_vector("vector").alias("features")))
     return placed.select(key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
