@@ -10,7 +10,7 @@ from caseweave.catalog.registry import query
 from caseweave.functions.text import tokenize
 from caseweave.operators import relational
 from caseweave.plans import contagion as plan
-from caseweave.session import fresh_path, spread
+from caseweave.session import fresh_path, spread, stage
 from caseweave.sources import articles, records, tables, threads
 
 PROLOG = '<?xml version="1.0" encoding="UTF-8"?>\n'
@@ -71,7 +71,7 @@ def _(t):
     15 AS n_names, 'Status' AS audited FROM def""",
 )
 def _(t):
-    parsed = records.parse_defects(records_of(t))
+    parsed = stage(records.parse_defects(records_of(t)))
     inc = relational.defect_to_incident(parsed).select(
         F.col("incident_id").alias("defect_id"), "app_name", F.element_at("statuses", 1).alias("status"), "severity",
         F.date_format("to_ts", "yyyy-MM-dd HH:mm:ss").alias("to_ts"),

@@ -197,10 +197,13 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataF
     return top_k_per_group(scores, ["query_id"], [F.round("distance", 9), F.col("id")], k)
 
 
-def semantic_rerank(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, neighbors: int = 3) -> DataFrame:
-    """Candidates of a first search, ranked anew by cosine of their vectors."""
+def semantic_rerank(
+    candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, neighbors: int = 3,
+    similarity: Callable[[Column, Column], Column] = vec.cosine_similarity,
+) -> DataFrame:
+    """Candidates of a first search, ranked anew by the similarity of their vectors."""
     joined = candidates.select("query_id", "doc_id").join(doc_vectors, "doc_id").join(
         query_vectors.select("query_id", F.col("vector").alias("qv")), "query_id"
     )
-    scores = joined.select("query_id", "doc_id", vec.cosine_similarity(F.col("qv"), F.col("vector")).alias("score"))
+    scores = joined.select("query_id", "doc_id", similarity(F.col("qv"), F.col("vector")).alias("score"))
     return best_docs(scores.where("score IS NOT NULL"), neighbors)

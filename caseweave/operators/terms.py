@@ -7,7 +7,7 @@ row per term join by ``term``; such joins have very uneven keys, which adaptive
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,13 +86,17 @@ IDF_FORMS = {
 }
 
 
-def idf(vocabulary: DataFrame, n_docs: Column | int, form: str = "ln") -> DataFrame:
-    """Inverse document frequency: ln(N/df), smooth ln((1+N)/(1+df))+1, log2(N/df) or ln((N+1)/(df+1))."""
-    return vocabulary.withColumn("idf", IDF_FORMS[form](F.lit(n_docs), F.col("df")))
+def idf(vocabulary: DataFrame, n_docs: Column | int, form: str | Callable[[Column, Column], Column] = "ln") -> DataFrame:
+    """Inverse document frequency: ln(N/df), smooth ln((1+N)/(1+df))+1, log2(N/df) or ln((N+1)/(df+1)).
+
+    ``form`` names one of these or is a function of (N, df).
+    """
+    weigh = form if callable(form) else IDF_FORMS[form]
+    return vocabulary.withColumn("idf", weigh(F.lit(n_docs), F.col("df")))
 
 
 def tfidf(
-    tf: DataFrame, n_docs: Column | int, idf_form: str = "ln", by_length: bool = True, l2: bool = False,
+    tf: DataFrame, n_docs: Column | int, idf_form: str | Callable[[Column, Column], Column] = "ln", by_length: bool = True, l2: bool = False,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
     """Weights ``w`` = tf (over document length) × idf, optionally with rows of norm 1.
