@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import vectors as vec
 from caseweave.operators.ordering import positions, top_k_per_group
 from caseweave.operators.search import vector_sum
-from caseweave.session import fresh_path, stage
+from caseweave.session import fresh_path, spread, stage
 
 MAX_FEATURES = 65_535
 
@@ -43,7 +43,7 @@ def sparse_vectors(weights: DataFrame, terms: DataFrame, key: str = "doc_id", do
     path = fresh_path(weights.sparkSession, "libsvm")
     rows.select(F.concat_ws(" ", F.col(key).cast("string"), F.coalesce(line, F.lit(""))).alias("value")).write.text(path)
     read = weights.sparkSession.read.format("libsvm").option("numFeatures", str(n)).load(path)
-    return read.select(F.col("label").cast("long").alias(key), "features")
+    return spread(read).select(F.col("label").cast("long").alias(key), "features")
 
 
 def dense_vectors(vectors: DataFrame, key: str = "id") -> DataFrame:
