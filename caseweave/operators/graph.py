@@ -20,13 +20,13 @@ def weighted_page_rank(
     tol: float | None = 0.001,
     iterations: int | None = None,
     max_iter: int = 100,
-    stage_every: int = 4,
 ) -> DataFrame:
     """Un-normalised rank r(v) = reset + (1-reset)·Σ w(u,v)·r(u), built up from passed-on increments.
 
     With ``iterations`` the increments are passed on so many times in full. Otherwise only increments
     above ``tol`` are passed on, until none is left; weights whose ranks do not converge end in an
-    error after ``max_iter`` rounds. The table is staged every ``stage_every`` rounds to cut lineage.
+    error after ``max_iter`` rounds. A round reads the rank table twice, so it is staged after each: one
+    row per node is little next to the edges, and each round then joins the edges once.
     """
     damping = 1.0 - reset
     links = stage(edges.select("src", "dst", F.col(weight).alias("w")))
@@ -34,7 +34,7 @@ def weighted_page_rank(
         "id", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"), F.lit(True).alias("got")
     )
     rounds = iterations if iterations is not None else max_iter
-    for i in range(rounds):
+    for _ in range(rounds):
         sending = ranks.where("got")
         if iterations is None:
             sending = sending.where(F.col("delta") > tol)
@@ -49,8 +49,7 @@ def weighted_page_rank(
             F.coalesce("more", F.lit(0.0)).alias("delta"),
             F.col("more").isNotNull().alias("got"),
         )
-        if iterations is None or (i + 1) % stage_every == 0:
-            ranks = stage(ranks)
+        ranks = stage(ranks)
         if iterations is None and ranks.where(F.col("got") & (F.col("delta") > tol)).isEmpty():
             break
     else:
@@ -166,7 +165,7 @@ def seed_share(id_col: Column, share: float, seed: int = 11) -> Column:
 
 def spread_from_failed(
     nodes: DataFrame, edges: DataFrame, failed: str = "failed", lag_days: float = 10.0,
-    rounds: int | None = None, max_rounds: int = 1000, stage_every: int = 4,
+    rounds: int | None = None, max_rounds: int = 1000,
 ) -> DataFrame:
     """Round in which and time at which a failure reaches each node.
 
@@ -188,8 +187,7 @@ def spread_from_failed(
             "id", F.coalesce("time", "reached").alias("time"),
             F.when(F.col("time").isNotNull(), F.col("round")).when(F.col("reached").isNotNull(), F.lit(i)).alias("round"),
         )
-        if rounds is None or i % stage_every == 0:
-            state = stage(state)
+        state = stage(state)
         if rounds is None and state.where(F.col("round") == i).isEmpty():
             break
     else:
