@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import chat, pieces, rules, sharding, simhash, tokencount, warc
+from caseweave.llm import chat, decontam, langid, pieces, quality, rules, sharding, simhash, tokencount, warc
 from caseweave.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,25 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))).drop("text")
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = quality.classify(docs, table(spark, folder, "labels"), quantile=0.995, slack=1.05)
+    return judged.select("doc_id", F.round("perplexity", 4).alias("perplexity"), "kept")
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_decontamination")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("bm25", "overlap", "question_overlap", "answer_overlap")])
+
+
 @query(
     "op5_warc",
     """
@@ -127,6 +140,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(rules.ledger(rules.measure(docs)), version=2).drop("text")
 
 
+def held_out():
+    """Whether a document is kept from training the language model."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def language_model(docs: DataFrame) -> langid.Model | None:
+    """The language model of the documents that may be learnt from."""
+    return langid.learn(docs.filter(~held_out()))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    named = langid.identify(docs.select("doc_id", "text"), language_model(docs))
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"), "rejected")
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
