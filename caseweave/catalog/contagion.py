@@ -44,23 +44,23 @@ strong AS (
 )"""
 
 
-def rank_sql(links: str, share: str, rounds: int, prefix: str = "r") -> str:
-    """CTEs of an unrolled rank over the CTE ``links`` with the weight expression ``share``."""
-    parts = [
-        f"{prefix}w AS (SELECT src, dst, {share} AS w FROM {links})",
-        f"{prefix}0 AS (SELECT DISTINCT id, 0.15::DOUBLE AS rank FROM (SELECT src AS id FROM {links} UNION ALL SELECT dst FROM {links}))",
-    ]
-    for i in range(1, rounds + 1):
-        parts.append(
-            f"{prefix}{i} AS (SELECT n.id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(sum(w.w * u.rank), 0) AS rank "
-            f"FROM {prefix}0 n LEFT JOIN {prefix}w w ON w.dst = n.id LEFT JOIN {prefix}{i - 1} u ON u.id = w.src GROUP BY n.id)"
-        )
-    return ",\n".join(parts)
+def rank_sql(links: str, share: str) -> str:
+    """CTEs of the settled rank over the CTE ``links`` with the weight expression ``share``: (id, rank) in ``ranks``."""
+    return f"""
+share AS MATERIALIZED (SELECT src, dst, {share} AS w FROM {links}),
+r AS (
+  SELECT id, 0.15::DOUBLE AS rank, 0.15::DOUBLE AS delta, true AS got, 0 AS i FROM (SELECT src AS id FROM {links} UNION SELECT dst FROM {links})
+  UNION ALL
+  SELECT r.id, r.rank + coalesce(m.more, 0), coalesce(m.more, 0), m.more IS NOT NULL, r.i + 1
+  FROM r LEFT JOIN (
+    SELECT w.dst, 0.85::DOUBLE * sum(u.delta * w.w) AS more FROM r u JOIN share w ON w.src = u.id WHERE u.got AND u.delta > 0.001 GROUP BY 1
+  ) m ON m.dst = r.id
+  WHERE EXISTS (SELECT 1 FROM r x WHERE x.got AND x.delta > 0.001)),
+ranks AS (SELECT id, rank FROM r WHERE i = (SELECT max(i) FROM r))"""
 
 
 SHARE = "1.0::DOUBLE / count(*) OVER (PARTITION BY src)"
-ROUNDS = 4
-RANK_SQL = STRONG_SQL + ",\n" + rank_sql("strong", SHARE, ROUNDS) + f", ranks AS (SELECT * FROM r{ROUNDS})"
+RANK_SQL = STRONG_SQL + "," + rank_sql("strong", SHARE)
 
 STATS_SQL = """,
 stats AS (
@@ -87,7 +87,7 @@ def edges_of(t):
 
 
 def ranks_of(edges):
-    return plan.rank_strong_edges(edges, iterations=ROUNDS)
+    return plan.rank_strong_edges(edges)
 
 
 def layout_of(t):
@@ -168,25 +168,25 @@ def _(t):
     return ordering.prune_weak_edges(stage(edges_of(t))).select("src", "dst", "pairs")
 
 
-@query("page_rank", f"WITH {RANK_SQL} SELECT id, round(rank, 6) AS rank FROM ranks")
+@query("page_rank", f"WITH RECURSIVE {RANK_SQL} SELECT id, round(rank, 6) AS rank FROM ranks")
 def _(t):
     return ranks_of(edges_of(t)).withColumn("rank", F.round("rank", 6))
 
 
 @query(
     "weighted_page_rank",
-    f"""WITH {EDGES_SQL}, shares AS (
+    f"""WITH RECURSIVE {EDGES_SQL}, shares AS (
       SELECT src, dst, pairs / (SELECT sum(pairs) FROM raw_edges)::DOUBLE AS weight FROM raw_edges),
-    {rank_sql("shares", "weight", 3)} SELECT id, round(rank, 6) AS rank FROM r3""",
+    {rank_sql("shares", "weight")} SELECT id, round(rank, 6) AS rank FROM ranks""",
 )
 def _(t):
     edges = plan.build_contagion_graph(incidents(t.events), weight="total")
-    return graph.weighted_page_rank(edges, iterations=3).withColumn("rank", F.round("rank", 6))
+    return graph.weighted_page_rank(edges).withColumn("rank", F.round("rank", 6))
 
 
 @query(
     "join_nodes_rank",
-    f"""WITH {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents,
+    f"""WITH RECURSIVE {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents,
     round(rank, 6) AS rank FROM stats JOIN ranks ON id = app_id""",
 )
 def _(t):
@@ -196,18 +196,18 @@ def _(t):
 
 @query(
     "risk_nodes",
-    f"""WITH {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents,
+    f"""WITH RECURSIVE {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents,
     round(rank / (SELECT max(rank) FROM ranks), 6) AS risk FROM stats JOIN ranks ON id = app_id""",
 )
 def _(t):
     inc = incidents(t.events)
-    nodes = plan.rank_components(inc, edges_of(t), iterations=ROUNDS)
+    nodes = plan.rank_components(inc, edges_of(t))
     return nodes.withColumn("risk", F.round("risk", 6)).withColumn("avg_severity", F.round("avg_severity", 6))
 
 
 @query(
     "bipartite_layout_nodes",
-    f'WITH {LAYOUT_SQL} SELECT "index", app_id, app_name, member, severity, round(contagion, 6) AS contagion FROM layout',
+    f'WITH RECURSIVE {LAYOUT_SQL} SELECT "index", app_id, app_name, member, severity, round(contagion, 6) AS contagion FROM layout',
 )
 def _(t):
     return layout_of(t)[1].withColumn("contagion", F.round("contagion", 6))
@@ -215,7 +215,7 @@ def _(t):
 
 @query(
     "bipartite_layout_edges",
-    f"WITH {LINKS_SQL} SELECT source, target, round(weight, 6) AS weight FROM links",
+    f"WITH RECURSIVE {LINKS_SQL} SELECT source, target, round(weight, 6) AS weight FROM links",
 )
 def _(t):
     return graph.bipartite_layout_edges(*layout_of(t)).withColumn("weight", F.round("weight", 6))
@@ -223,7 +223,7 @@ def _(t):
 
 @query(
     "edge_severity_class",
-    f"""WITH {LINKS_SQL} SELECT source, target,
+    f"""WITH RECURSIVE {LINKS_SQL} SELECT source, target,
     CASE WHEN s.severity = t.severity THEN s.severity::VARCHAR ELSE 'others' END AS "class"
     FROM links JOIN layout s ON s."index" = source JOIN layout t ON t."index" = target""",
 )
@@ -234,7 +234,7 @@ def _(t):
 
 @query(
     "neighbor_counts",
-    f"""WITH {LINKS_SQL}, e AS (
+    f"""WITH RECURSIVE {LINKS_SQL}, e AS (
       SELECT source AS a, target AS b FROM links UNION ALL SELECT target, source FROM links)
     SELECT n."index", count(*) FILTER (m.member > n.member) AS higher, count(*) FILTER (m.member < n.member) AS lower
     FROM layout n LEFT JOIN e ON e.a = n."index" LEFT JOIN layout m ON m."index" = e.b GROUP BY 1""",
@@ -246,7 +246,7 @@ def _(t):
 
 @query(
     "layout_index",
-    f"""WITH {LAYOUT_SQL}, p AS (
+    f"""WITH RECURSIVE {LAYOUT_SQL}, p AS (
       SELECT "index", member, row_number() OVER (PARTITION BY member ORDER BY severity, contagion_r DESC, "index") - 1
         + 2 * (dense_rank() OVER (PARTITION BY member ORDER BY severity) - 1) AS plot_index
       FROM (SELECT *, round(contagion, 6) AS contagion_r FROM layout))
@@ -257,30 +257,25 @@ def _(t):
     return graph.layout_index(layout)
 
 
-def spread_sql(rounds: int) -> str:
-    parts = [
-        """s0 AS (SELECT id, CASE WHEN f THEN 0.0::DOUBLE END AS time, CASE WHEN f THEN 0 END AS round FROM (
-          SELECT DISTINCT app_id AS id,
-            ('0x' || substr(md5('11:' || app_id), 1, 8))::BIGINT < 429496729 AS f FROM inc))"""
-    ]
-    for i in range(1, rounds + 1):
-        parts.append(
-            f"m{i} AS (SELECT e.dst, min(u.time + e.avg_days) AS reached FROM s{i - 1} u JOIN edges e ON e.src = u.id "
-            f"WHERE u.round = {i - 1} AND u.time + 0.25 <= e.avg_days GROUP BY 1)"
-        )
-        parts.append(
-            f"s{i} AS (SELECT id, coalesce(time, reached) AS time, CASE WHEN time IS NOT NULL THEN round "
-            f"WHEN reached IS NOT NULL THEN {i} END AS round FROM s{i - 1} LEFT JOIN m{i} ON dst = id)"
-        )
-    return ",\n".join(parts)
+SPREAD_SQL = """
+s AS (
+  SELECT id, CASE WHEN f THEN 0.0::DOUBLE END AS time, CASE WHEN f THEN 0 END AS round, 0 AS i FROM (
+    SELECT DISTINCT app_id AS id, ('0x' || substr(md5('11:' || app_id), 1, 8))::BIGINT < 429496729 AS f FROM inc)
+  UNION ALL
+  SELECT s.id, coalesce(s.time, m.reached), CASE WHEN s.time IS NOT NULL THEN s.round WHEN m.reached IS NOT NULL THEN s.i + 1 END, s.i + 1
+  FROM s LEFT JOIN (
+    SELECT e.dst, min(u.time + e.avg_days) AS reached FROM s u JOIN edges e ON e.src = u.id
+    WHERE u.round = u.i AND u.time + 0.25 <= e.avg_days GROUP BY 1
+  ) m ON m.dst = s.id
+  WHERE EXISTS (SELECT 1 FROM s x WHERE x.round = x.i))"""
 
 
 @query(
     "spread_from_failed",
-    f"WITH {EDGES_SQL},\n{spread_sql(3)} SELECT id, round(time, 6) AS time, round FROM s3",
+    f"WITH RECURSIVE {EDGES_SQL}, {SPREAD_SQL} SELECT id, round(time, 6) AS time, round FROM s WHERE i = (SELECT max(i) FROM s)",
 )
 def _(t):
     nodes = incidents(t.events).select(F.col("app_id").alias("id")).distinct()
     nodes = nodes.withColumn("failed", graph.seed_share(F.col("id"), 0.1))
-    spread = graph.spread_from_failed(nodes, edges_of(t), lag_days=0.25, rounds=3)
+    spread = graph.spread_from_failed(nodes, edges_of(t), lag_days=0.25)
     return spread.withColumn("time", F.round("time", 6))

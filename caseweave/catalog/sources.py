@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseweave.adapters import DEFECTS_SQL, defects, incidents
-from caseweave.catalog.contagion import EDGES_SQL, RANK_SQL, ROUNDS, STATS_SQL, edges_of
+from caseweave.catalog.contagion import EDGES_SQL, RANK_SQL, STATS_SQL, edges_of
 from caseweave.catalog.registry import query
 from caseweave.functions.text import tokenize
 from caseweave.operators import relational
@@ -299,12 +299,12 @@ def _(t):
 
 @query(
     "read_nodes_edges",
-    f"WITH {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents::INTEGER AS incidents, "
+    f"WITH RECURSIVE {RANK_SQL}{STATS_SQL} SELECT app_id, app_name, round(avg_severity, 6) AS avg_severity, incidents::INTEGER AS incidents, "
     "round(rank / (SELECT max(rank) FROM ranks), 6) AS risk FROM stats JOIN ranks ON id = app_id",
 )
 def _(t):
     path = fresh_path(t.spark, "nodes")
-    nodes = plan.rank_components(incidents(t.events), edges_of(t), iterations=ROUNDS)
+    nodes = plan.rank_components(incidents(t.events), edges_of(t))
     tables.write_nodes_edges(nodes, path, ",", header=True)
     read = tables.read_nodes_edges(t.spark, path, tables.NODE_SCHEMA, ",", header=True)
     return read.withColumn("risk", F.round("risk", 6)).withColumn("avg_severity", F.round("avg_severity", 6))

@@ -6,11 +6,12 @@ the child. Then the child's first day is always a shared day, which gives two ru
 
 * a parent from an earlier day meets the child in the bucket of the child's first day;
 * a parent that starts on the child's first day must start before it. For that the time of day is
-  read as digits of base four, and the two meet at the first digit in which they differ.
+  read as digits of base 16, and the two meet at the first digit in which they differ.
 
 Both are equality joins on a bucket with ``parent digit < child digit``, each pair meets in exactly
 one bucket, and rows of one component can be summed per bucket before the join. So counts and
-averages over pairs never list the pairs.
+averages over pairs never list the pairs. A bucket of many components is cut into slices of its children, to each of
+which its parents are repeated, so a busy day is many tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from caseweave.session import stage
 
 DAY = 86_400_000_000  # microseconds
-DIGITS = 19  # base-four digits that cover the microseconds of a day
+DIGITS, BASE_BITS = 10, 4  # digits of base 16 that cover the microseconds of a day
+SLICE = 256  # summed rows of a bucket per slice
 AS_PARENT, AS_CHILD = "role <> 2", "role <> 1"
 
 
@@ -61,7 +63,7 @@ def meeting_points(incidents: DataFrame, tie_rank: Column | None = None) -> Data
     """One row per incident and bucket, with its digit there.
 
     Columns added: the bucket (day, level, pos), the ``digit`` there, and ``role``: 1 as parent, 2 as
-    child, 3 as both. Level -1 joins earlier days to first days, levels 0..18 are the
+    child, 3 as both. Level -1 joins earlier days to first days, levels 0..9 are the
     digits of the time of day, level 99 holds incidents that start at the same microsecond, where the
     digit is ``tie_rank`` if given.
     """
@@ -83,7 +85,7 @@ def meeting_points(incidents: DataFrame, tie_rank: Column | None = None) -> Data
     own = [point(first, -1, zero, one, 2)]
     for level in range(DIGITS):
         own.append(
-            point(first, level, F.shiftright(in_day, 2 * level + 2), F.shiftright(in_day, 2 * level) % 4, 3)
+            point(first, level, F.shiftright(in_day, BASE_BITS * (level + 1)), F.shiftright(in_day, BASE_BITS * level) % (1 << BASE_BITS), 3)
         )
     own.append(point(first, 99, in_day, zero if tie_rank is None else tie_rank, 3))
     return (
@@ -116,16 +118,22 @@ def pair_totals(incidents: DataFrame, by: str = "app_id", break_ties: bool = Fal
 
     Equal start times count in both directions, or once in a fixed direction with ``break_ties``.
     """
-    rank = F.when(F.lit(break_ties), F.xxhash64(F.col(by))) if break_ties else None
-    cells = (
+    rank = F.xxhash64(F.col(by)) if break_ties else None
+    bucket = ["day", "level", "pos"]
+    cells = stage(
         meeting_points(incidents, rank)
-        .groupBy("day", "level", "pos", "digit", by)
-        # the role follows from the keys; as an aggregate it keeps both sides on one shared shuffle
+        .groupBy(*bucket, "digit", by)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(_start_days()).alias("s"), F.max("role").alias("role"))
     )
-    p = cells.where(AS_PARENT).alias("p")
-    c = cells.where(AS_CHILD).alias("c")
+    # buckets of one row hold no pair, but for several starts at one microsecond
+    sizes = cells.groupBy(*bucket).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows")).where("cells > 1 OR (level = 99 AND rows > 1)")
+    shared = cells.join(sizes.select(*bucket, F.ceil(F.col("cells") / SLICE).cast("int").alias("slices")), bucket)
+    p = shared.where(AS_PARENT).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("p")
+    c = shared.where(AS_CHILD).withColumn("slice", F.pmod(F.xxhash64(by, F.lit("slice")), "slices").cast("int")).alias("c")
     same = (F.col("p.level") == 99) & (F.col("p.digit") == F.col("c.digit")) & (F.col(f"p.{by}") == F.col(f"c.{by}"))
+    meets = _meets("p", "c", ties=True) & (F.col("p.slice") == F.col("c.slice"))
+    if break_ties:  # components of equal hash have their own order
+        meets = meets & ((F.col("p.digit") != F.col("c.digit")) | (F.col(f"p.{by}") <= F.col(f"c.{by}")))
     both_ways = F.col("p.n") * (F.col("p.n") - 1)
     own_pairs = both_ways / 2 if break_ties else both_ways
     n = F.when(same, own_pairs).otherwise(F.col("p.n") * F.col("c.n")).cast("long")
@@ -133,7 +141,7 @@ def pair_totals(incidents: DataFrame, by: str = "app_id", break_ties: bool = Fal
         F.col("p.n") * F.col("c.s") - F.col("c.n") * F.col("p.s")
     )
     return (
-        p.join(c, _meets("p", "c", ties=True))
+        p.join(c, meets)
         .select(F.col(f"p.{by}").alias("src"), F.col(f"c.{by}").alias("dst"), n.alias("n"), elapsed.alias("elapsed"))
         .groupBy("src", "dst")
         .agg(F.sum("n").alias("pairs"), F.sum("elapsed").alias("elapsed"))
