@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from caseweave.adapters import vectors
 from caseweave.catalog.registry import query
 from caseweave.catalog.search import unit_table
-from caseweave.catalog.text import tokens_of
+from caseweave.catalog.text import n_docs, tokens_of
 from caseweave.functions import text as tx
 from caseweave.operators import kernels, models, ordering, terms
 from caseweave.session import stage
 
 
-def lsa_of(t, k=20):
-    vocabulary, weights = unit_table(t)
+def lsa_of(t, k=100):
+    """Concepts of the 50,000 most frequent terms."""
+    vocabulary, weights = unit_table(t, 50_000)
     return models.Lsa(weights, k), vocabulary, weights
 
 
@@ -35,8 +36,8 @@ def _(t):
 
 @query("explained_variance_sweep")
 def _(t):
-    model, _, weights = lsa_of(t, 50)
-    return models.explained_variance_sweep(model, weights, (10, 20, 50))
+    model, _, weights = lsa_of(t, 200)
+    return models.explained_variance_sweep(model, weights, n_docs(t))
 
 
 @query("concept_terms")
@@ -80,7 +81,7 @@ def _(t):
 
 @query("kmeans_docs")
 def _(t):
-    return models.kmeans_docs(doc_vectors(t), 5, 20, n_init=3)
+    return models.kmeans_docs(doc_vectors(t), 5, n_init=3)
 
 
 @query("two_level_clusters")
@@ -91,7 +92,7 @@ def _(t):
     head_weights = weights.join(terms.term_freq(heads).select("doc_id", "term"), ["doc_id", "term"], "left_semi")
     numbered = models.numbered_terms(weights.select("term").distinct())
     return models.two_level_clusters(
-        models.sparse_vectors(head_weights, numbered, docs=t.documents), models.sparse_vectors(weights, numbered, docs=t.documents), 5, 3
+        models.sparse_vectors(head_weights, numbered, docs=t.documents), models.sparse_vectors(weights, numbered, docs=t.documents)
     )
 
 
@@ -109,13 +110,13 @@ def _(t):
 
 @query("rf_proximity_pairs")
 def _(t):
-    leaves = stage(models.rf_leaves(vectors(t.embeddings), 20))
-    return models.rf_group_proximity(leaves, vectors(t.embeddings).select("id", F.col("label").alias("group")), 20)
+    leaves = stage(models.rf_leaves(vectors(t.embeddings)))
+    return models.rf_group_proximity(leaves, vectors(t.embeddings).select("id", F.col("label").alias("group")), 50)
 
 
 @query("train_word_vectors")
 def _(t):
-    words = models.train_word_vectors(tokens_of(t), size=20)
+    words = models.train_word_vectors(tokens_of(t))
     return words.select("word", F.posexplode("vector").alias("i", "x"))
 
 

@@ -293,24 +293,10 @@ def _(t):
 
 @query(
     "collect_groups",
-    """SELECT conv_id, turn // 1000 AS chunk, string_agg(text, '|' ORDER BY turn) AS texts FROM conversations GROUP BY 1, 2""",
+    """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS position, text FROM conversations""",
 )
 def _(t):
-    groups = relational.collect_groups(t.conversations, "conv_id", "turn", "text")
-    return groups.withColumn("texts", F.array_join("texts", "|"))
-
-
-@query(
-    "all_texts",
-    """SELECT conv_id AS post_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS position, text
-    FROM conversations""",
-)
-def _(t):
-    threads = relational.collect_groups(t.conversations, "conv_id", "turn", "text").select(
-        F.col("conv_id").alias("post_id"), F.col("texts")[0].alias("text"),
-        F.transform(F.slice("texts", 2, 1000), lambda x: F.struct(x.alias("text"))).alias("comments"),
-    )
-    return relational.all_texts(threads)
+    return relational.collect_groups(t.conversations, "conv_id", "turn", "text")
 
 
 @query(

@@ -46,10 +46,10 @@ def query_tf(t):
     return terms.term_freq(queries).withColumnRenamed("doc_id", "query_id")
 
 
-def unit_table(t):
+def unit_table(t, max_features=None):
     """(term, idf) and staged unit weights of the documents."""
     tf = staged_tf(t)
-    vocabulary = stage(terms.idf(vocabulary_of(t, tf), n_docs(t), "smooth"))
+    vocabulary = stage(terms.idf(vocabulary_of(t, tf, max_features), n_docs(t), "smooth"))
     weights = terms.tfidf(tf, n_docs(t), "smooth", by_length=False, l2=True, vocabulary=vocabulary)
     return vocabulary, stage(weights)
 
@@ -306,5 +306,5 @@ def _(t):
 
 @query("tune_similarity_weights")
 def _(t):
-    best = clusters.tune_similarity_weights(tagged_vectors(t), 64, iters=20)
+    best = clusters.tune_similarity_weights(tagged_vectors(t), 64)
     return rounded(best.select("iter", "score"), "score")

@@ -110,29 +110,23 @@ def _(t):
 
 
 def thread_files(t) -> str:
-    """One thread file per conversation: the first turn opens it, the others reply."""
+    """Files of many threads: a conversation's first turn opens a thread, the others reply."""
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
     turns = relational.collect_groups(t.conversations.withColumn("text", flat), "conv_id", "turn", "text")
-    opening = F.concat(F.col("texts")[0], F.lit(" 7 votes"))
-    others = F.transform(
-        F.slice("texts", 2, 1000), lambda x, i: F.concat(F.lit("\n\nReply: user."), i, F.lit(" / Wed, 10/10/2001 - 09:58\n"), x)
-    )
+    reply = F.concat(F.lit("\n\nReply: user."), F.col("position") - 1, F.lit(" / Wed, 10/10/2001 - 09:58\n"), "text")
+    said = turns.withColumn("text", F.when(F.col("position") == 0, F.concat("text", F.lit(" 7 votes"))).otherwise(reply))
     page = F.concat(
+        F.format_string("==> %07d_html.txt <==\n", "conv_id"),
         F.lit("\nTitle:\nThread "), F.col("conv_id"), F.lit("\n\nURL:\nhttp://forum.example/"), F.col("conv_id"),
-        F.lit("\n\nStatistics: Replies: "), F.size("texts") - 1, F.lit("   Avg. Rating: "),
+        F.lit("\n\nStatistics: Replies: "), F.col("n") - 1, F.lit("   Avg. Rating: "),
         F.when(F.col("conv_id") % 2 == 0, F.lit("4.5")).otherwise(F.lit("")),
-        F.lit(" Views: "), F.col("conv_id") * 3, F.lit("   Votes: 2 Shares: 0\n\nDescription: opener / Aug 21st, 2001\n"),
-        opening, F.array_join(others, ""),
+        F.lit(" Views: "), F.col("conv_id") * 3, F.lit("   Votes: 2 Shares: 0\n\nDescription: opener / Aug 21st, 2001\n"), "text",
     )
     path = fresh_path(t.spark, "threads")
-    (
-        turns.select(F.format_string("%07d", "conv_id").alias("thread"), page.alias("value"))
-        .repartition("thread").write.partitionBy("thread").text(path)
-    )
+    relational.joined_groups(said, "conv_id", "text").select(page.alias("value")).write.text(path)
     return path
 
 
-THREAD_ID = "thread=([0-9]{7})"
 THREADS_SQL = r"""
 turns AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text,
                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
@@ -149,7 +143,7 @@ th AS (SELECT conv_id, lpad(conv_id::VARCHAR, 7, '0') AS post_id, max(text) FILT
     CASE WHEN nreplies > 0 THEN 'user.0 2001-10-10 09:58' END AS first_reply FROM th""",
 )
 def _(t):
-    posts = threads.forum_posts(t.spark, thread_files(t), THREAD_ID)
+    posts = threads.forum_posts(t.spark, thread_files(t), bundled=True)
     first = F.try_element_at("comments", F.lit(1))
     return posts.select(
         "post_id", "title", "nreplies", "rating", "views", "author", F.date_format("posted_at", "yyyy-MM-dd").alias("posted_at"), "text",
@@ -158,13 +152,21 @@ def _(t):
     ).withColumn("first_reply", F.when(F.col("first_reply") != "", F.col("first_reply")))
 
 
+@query(
+    "all_texts",
+    f"""WITH {THREADS_SQL} SELECT lpad(conv_id::VARCHAR, 7, '0') AS post_id, (rn - 1)::INTEGER AS position, text FROM turns""",
+)
+def _(t):
+    return relational.all_texts(threads.forum_posts(t.spark, thread_files(t), bundled=True))
+
+
 @query(
     "forum_posts_positional",
     f"""WITH {THREADS_SQL} SELECT post_id, 'Thread ' || conv_id AS title, 'http://forum.example/' || conv_id AS url,
     text || ' 7 votes' AS text, replace(replies, '|', ' ') AS replies FROM th""",
 )
 def _(t):
-    return threads.forum_posts_positional(t.spark, thread_files(t), THREAD_ID).drop("stats")
+    return threads.forum_posts_positional(t.spark, thread_files(t), bundled=True).drop("stats")
 
 
 @query(

@@ -20,7 +20,7 @@ n AS (SELECT count(*)::DOUBLE AS n FROM documents),
 df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY 1)"""
 
 BOUND_SQL = TOKENS_SQL + """,
-vocab AS (SELECT * FROM df, n WHERE df >= 3 AND df <= 0.5 * n ORDER BY total DESC, term LIMIT 2000),
+vocab AS (SELECT * FROM df, n WHERE df >= 3 AND df <= 0.5 * n),
 smooth AS (
   SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w0 FROM tf JOIN vocab USING (term)),
 unit AS (SELECT doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS w FROM smooth)"""
@@ -43,8 +43,8 @@ def n_docs(t):
     return t.documents.agg(F.count(F.lit(1)).cast("double")).scalar()
 
 
-def vocabulary_of(t, tf):
-    return terms.bound_vocabulary(tf, n_docs(t), 3, 0.5, 2000)
+def vocabulary_of(t, tf, max_features=None):
+    return terms.bound_vocabulary(tf, n_docs(t), 3, 0.5, max_features)
 
 
 def unit_weights(t):
@@ -251,9 +251,9 @@ def _(t):
     return terms.prune_sparse_terms(staged_tf(t), n_docs(t), 0.95).select("doc_id", "term", "tf")
 
 
-@query("bound_vocabulary", f"WITH {BOUND_SQL} SELECT term, df, total FROM vocab")
+@query("bound_vocabulary", f"WITH {BOUND_SQL} SELECT term, df, total FROM vocab ORDER BY total DESC, term LIMIT 2000")
 def _(t):
-    return vocabulary_of(t, tf_of(t))
+    return vocabulary_of(t, tf_of(t), 2000)
 
 
 @query(
@@ -306,7 +306,8 @@ def _(t):
 @query(
     "scale_columns",
     f"""WITH {TOKENS_SQL}, s AS (
-      SELECT term, sqrt((sum(tf * tf) - sum(tf) * sum(tf) / any_value(n)) / (any_value(n) - 1)) AS sd FROM tf, n GROUP BY 1)
+      SELECT term, sqrt((count(*) * var_pop(tf) + count(*) * (any_value(n) - count(*)) / any_value(n) * avg(tf) * avg(tf))
+        / (any_value(n) - 1)) AS sd FROM tf, n GROUP BY 1)
     SELECT doc_id, term, round(tf / sd, 6) AS w FROM tf JOIN s USING (term)""",
 )
 def _(t):

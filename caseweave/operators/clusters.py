@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import vectors as vec
 from caseweave.operators.ordering import top_k_per_group
 from caseweave.operators.search import vector_sum
+from caseweave.session import stage
 
 
 def cluster_members(assignment: DataFrame) -> DataFrame:
@@ -51,48 +52,36 @@ def inter_group_score(vectors: DataFrame, group: str, weights: Column | None = N
     return whole.select(((2 * F.col("same") - _pair_sum(F.col("s"), F.col("n"))) / (F.col("n") * (F.col("n") - 1) / 2)).alias("score"))
 
 
-def tag_subsets(tags: Column, max_tags: int) -> Column:
-    """All subsets of a tag array, the empty one included; an error above ``max_tags`` tags."""
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(tags)) - 1)
-    pick = lambda m: F.filter(tags, lambda _, i: F.getbit(m, i) == 1)
-    too_many = F.raise_error(F.concat(F.lit(f"more than {max_tags} tags: "), F.size(tags).cast("string"))).cast("array<array<string>>")
-    return F.when(F.size(tags) > max_tags, too_many).otherwise(F.transform(masks, pick))
-
-
-def _tag_sums(units: DataFrame, keys: list[str], max_tags: int) -> DataFrame:
-    """Vector sums per key and tag subset. Rows of equal tag sets are summed before they fan out."""
-    sets = units.groupBy(*keys, F.array_sort(F.array_distinct("tags")).alias("tags")).agg(
-        vector_sum().alias("vector"), F.count(F.lit(1)).alias("n")
-    )
-    fanned = sets.withColumn("subset", F.explode(tag_subsets(F.col("tags"), max_tags)))
-    return fanned.groupBy(*keys, "subset").agg(vector_sum().alias("s"), F.sum("n").alias("n"))
-
-
-def _tag_score(units: DataFrame, keys: list[str], max_tags: int) -> DataFrame:
-    sums = _tag_sums(units, keys, max_tags)
-    pairs = _pair_sum(F.col("s"), F.col("n"))
-    size = F.size("subset")
-    sign = F.when(size % 2 == 1, 1.0).otherwise(-1.0)
-    totals = sums.groupBy(*keys).agg(
-        F.sum(F.when(size > 0, sign * pairs).otherwise(0.0)).alias("shared"),
-        F.sum(F.when(size == 0, pairs)).alias("whole"),
-        F.sum(F.when(size == 0, F.col("n"))).alias("n"),
+def _tag_score(units: DataFrame, keys: list[str]) -> DataFrame:
+    """Score per ``keys``: vectors are summed per distinct tag set, and only sets that share a tag are joined."""
+    sets = stage(
+        units.groupBy(*keys, F.array_sort(F.array_distinct("tags")).alias("tags")).agg(vector_sum().alias("s"), F.count(F.lit(1)).alias("n"))
     )
-    score = (2 * F.col("shared") - F.col("whole")) / (F.col("n") * (F.col("n") - 1) / 2)
-    return totals.select(*keys, score.alias("score"))
-
-
-def inter_tag_score(vectors: DataFrame, weights: Column | None = None, max_tags: int = 12) -> DataFrame:
+    own = F.sum(F.when(F.size("tags") > 0, _pair_sum(F.col("s"), F.col("n"))).otherwise(0.0))
+    totals = sets.groupBy(*keys).agg(own.alias("own"), vector_sum("s").alias("whole"), F.sum("n").alias("n"))
+    fanned = sets.withColumn("tag", F.explode("tags"))
+    a, b = fanned.alias("a"), fanned.alias("b")
+    at = (F.col("a.tag") == F.col("b.tag")) & (F.col("a.tags") < F.col("b.tags"))
+    for key in keys:
+        at = at & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    # a pair of sets counts at the first tag that they share
+    first = F.col("a.tag") == F.array_min(F.array_intersect("a.tags", "b.tags"))
+    across = a.join(b, at & first).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.sum(vec.dot(F.col("a.s"), F.col("b.s"))).alias("across"))
+    joined = totals.join(across, keys, "left") if keys else totals.withColumn("across", across.scalar())
+    shared = F.col("own") + F.coalesce("across", F.lit(0.0))
+    score = (2 * shared - _pair_sum(F.col("whole"), F.col("n"))) / (F.col("n") * (F.col("n") - 1) / 2)
+    return joined.select(*keys, score.alias("score"))
+
+
+def inter_tag_score(vectors: DataFrame, weights: Column | None = None) -> DataFrame:
     """As ``inter_group_score`` with tag sets: plus where two vectors share any tag, minus elsewhere.
 
-    The cosine sum over pairs that share a tag is an alternating sum over tag subsets of the pair sums
-    of the vectors that hold the subset. So again only vector sums are needed, and a tag on a third of
-    the rows costs no more than a rare one.
+    The cosine sum over pairs of two sets is the dot product of their vector sums, so no pair of vectors is formed.
     """
-    return _tag_score(_unit(vectors, weights).where("vector IS NOT NULL"), [], max_tags)
+    return _tag_score(_unit(vectors, weights).where("vector IS NOT NULL"), [])
 
 
-def tune_similarity_weights(vectors: DataFrame, dims: int, iters: int = 100, seed: int = 11, max_tags: int = 12) -> DataFrame:
+def tune_similarity_weights(vectors: DataFrame, dims: int, iters: int = 100, seed: int = 11) -> DataFrame:
     """Random search of dimension weights: the best (weights, score) of ``iters`` normal draws, in one job."""
     from random import Random
 
@@ -102,5 +91,5 @@ def tune_similarity_weights(vectors: DataFrame, dims: int, iters: int = 100, see
     items = table.agg(F.collect_list(F.struct("iter", "weights"))).scalar()
     fanned = vectors.withColumn("_items", items).select("vector", "tags", F.explode("_items").alias("d")).select("vector", "tags", "d.iter", "d.weights")
     units = _unit(fanned, F.col("weights")).drop("weights").where("vector IS NOT NULL")
-    scores = _tag_score(units, ["iter"], max_tags)
+    scores = _tag_score(units, ["iter"])
     return scores.join(table, "iter").orderBy(F.desc("score"), "iter").limit(1)

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions import vectors as vec
 from caseweave.operators.ordering import positions, top_k_per_group
 from caseweave.operators.search import vector_sum
+from caseweave.operators.terms import squares_about_mean
 from caseweave.session import fresh_path, spread, stage
 
 MAX_FEATURES = 65_535
@@ -33,8 +36,8 @@ def sparse_vectors(weights: DataFrame, terms: DataFrame, key: str = "doc_id", do
     Python, and model training can scan them as often as it needs. ``key`` must be an integer.
     """
     n = terms.agg(F.max("index")).first()[0]
-    if n is None or n > MAX_FEATURES:
-        raise ValueError(f"{n} features; bound the vocabulary to 1..{MAX_FEATURES} first")
+    if n is None:
+        raise ValueError("no features")
     entries = F.array_sort(F.collect_list(F.struct("index", "w")))
     line = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["index"].cast("string"), e["w"].cast("string"))), " ")
     rows = weights.where("w <> 0").join(terms, "term").groupBy(key).agg(entries.alias("entries"))
@@ -67,13 +70,12 @@ class Lsa:
         rows = MLUtils.convertVectorColumnsFromML(rows, "features").persist()  # the solver makes many passes
         svd = RowMatrix(rows).computeSVD(k)
         rows.unpersist()
-        # V and s have at most 65,535 × k and k entries
+        # the solver holds V (terms × k) and s on the driver; V leaves it as one Arrow table
         sigma = [float(x) for x in svd.s.toArray()]
         v = svd.V.toArray().copy()
-        for j in range(v.shape[1]):
-            if v[abs(v[:, j]).argmax(), j] < 0:
-                v[:, j] = -v[:, j]
-        table = spark.createDataFrame([(i + 1, [float(x) for x in row]) for i, row in enumerate(v)], "index LONG, vector ARRAY<DOUBLE>")
+        v *= np.where(v[abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1.0, 1.0)
+        vectors = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+        table = spark.createDataFrame(pa.table({"index": pa.array(range(1, len(v) + 1), pa.int64()), "vector": vectors}))
         self.k = len(sigma)
         self.sigma = spark.createDataFrame(list(enumerate(sigma)), "concept INT, sigma DOUBLE")
         self.v = stage(terms.join(table, "index").select("term", "vector"))
@@ -87,7 +89,7 @@ class Lsa:
 
 def _best(rows: DataFrame, key: str, target, k: int) -> DataFrame:
     scored = rows.withColumn("_target", target).select(key, vec.dot(F.col("vector"), F.col("_target")).alias("score"))
-    return scored.where("score IS NOT NULL").orderBy(F.desc("score"), key).limit(k)
+    return scored.where("score IS NOT NULL").orderBy(F.round("score", 9).desc(), key).limit(k)
 
 
 def related_terms(model: Lsa, term: str, k: int = 10) -> DataFrame:
@@ -111,7 +113,7 @@ def docs_for_query(model: Lsa, idf: DataFrame, terms: Sequence[str], k: int = 10
 
 def _concepts(rows: DataFrame, key: str, k: int) -> DataFrame:
     entries = rows.select(key, F.posexplode("vector").alias("concept", "weight"))
-    return top_k_per_group(entries, ["concept"], [F.desc("weight"), F.col(key)], k)
+    return top_k_per_group(entries, ["concept"], [F.round("weight", 9).desc(), F.col(key)], k)
 
 
 def concept_terms(model: Lsa, k: int = 10) -> DataFrame:
@@ -122,16 +124,19 @@ def concept_docs(model: Lsa, k: int = 10) -> DataFrame:
     return _concepts(model.us, "doc_id", k)
 
 
-def explained_variance_sweep(model: Lsa, weights: DataFrame, ks: Sequence[int] = (10, 20, 50, 100, 200)) -> DataFrame:
-    """Share of the variance of the weights that the first k concepts explain."""
-    n = model.us.count()
-    per_concept = model.us.select(F.posexplode("vector").alias("concept", "x")).groupBy("concept").agg(F.var_pop("x").alias("var"))
-    squares, sums = F.sum(F.col("w") * F.col("w")), F.sum("w")
-    whole = weights.groupBy("term").agg((squares / n - (sums / n) * (sums / n)).alias("var")).agg(F.sum("var")).scalar()
+def explained_variance_sweep(model: Lsa, weights: DataFrame, n_docs: Column | int, ks: Sequence[int] = (10, 20, 50, 100, 200)) -> DataFrame:
+    """Per k the variance over all documents that the first k concepts hold, and its share of the variance of the weights.
+
+    Documents without terms are rows of zeros in both.
+    """
+    n = F.lit(n_docs)
+    entries = model.us.select(F.posexplode("vector").alias("concept", "x"))
+    per_concept = entries.groupBy("concept").agg((squares_about_mean("x", n) / n).alias("var"))
+    whole = weights.groupBy("term").agg((squares_about_mean("w", n) / n).alias("var")).agg(F.sum("var")).scalar()
     wanted = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     return (
         per_concept.select("concept", "var", wanted).where("concept < k").groupBy("k")
-        .agg((F.sum("var") / whole).alias("explained"))
+        .agg(F.sum("var").alias("variance"), (F.sum("var") / whole).alias("explained"))
     )
 
 
@@ -140,6 +145,9 @@ def pca_project(vectors: DataFrame, k: int = 2, key: str = "id") -> DataFrame:
 
     The solver holds a columns × columns matrix, so bound the vocabulary to a few thousand terms first.
     """
+    n = len(vectors.select(vector_to_array("features").alias("v")).first()["v"])
+    if n > MAX_FEATURES:
+        raise ValueError(f"{n} features; the covariance holds at most {MAX_FEATURES}")
     model = PCA(k=k, inputCol="features", outputCol="projected").fit(vectors)
     return model.transform(vectors).select(key, vector_to_array("projected").alias("vector"))
 
@@ -235,10 +243,17 @@ def rf_group_proximity(leaves: DataFrame, groups: DataFrame, trees: int, key: st
 # --- word vectors -------------------------------------------------------------------------------
 
 
-def train_word_vectors(docs: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, seed: int = 11, partitions: int = 1, max_iter: int = 1) -> DataFrame:
-    """(word, vector) learned from a ``tokens`` column."""
+def train_word_vectors(
+    docs: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, seed: int = 11, partition_tokens: int = 1_000_000, max_iter: int = 1
+) -> DataFrame:
+    """(word, vector) learned from a ``tokens`` column, in one partition per ``partition_tokens`` tokens.
+
+    Partitions are trained side by side and their vectors averaged after each pass, so raise ``max_iter`` with their number.
+    """
+    rows = stage(docs.select("tokens"))
+    tokens = rows.agg(F.sum(F.size("tokens"))).first()[0] or 0
     model = Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=max_iter,
+        vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=max(1, -(-tokens // partition_tokens)), maxIter=max_iter,
         inputCol="tokens", outputCol="mean",
-    ).fit(docs.select("tokens"))
+    ).fit(rows)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.operators.ordering import positions, top_k_per_group
+
 STAMP = "MM/dd/yyyy HH:mm:ss"
 
 
@@ -109,16 +111,24 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def collect_groups(df: DataFrame, group: str, order: str, text: str, chunk: int = 1000) -> DataFrame:
-    """Texts of each group in order, as arrays over ``chunk`` consecutive order values each.
+def collect_groups(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """Texts of each group in order: one row (group, position, text) per text, positions from 0.
 
-    The chunk number keeps a very long thread from becoming one unbounded array.
+    A group is never one array, so a thread may have any number of texts.
     """
-    return (
-        df.groupBy(group, F.floor(F.col(order) / chunk).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("items"))
-        .select(group, "chunk", F.transform("items", lambda x: x[text]).alias("texts"))
-    )
+    placed = positions(df.select(group, order, text), [group], [F.col(order), F.col(text)])
+    return placed.select(group, (F.col("position") - 1).alias("position"), text)
+
+
+def joined_groups(groups: DataFrame, group: str, text: str, chunk: int = 256) -> DataFrame:
+    """(group, text, n): the texts of each group as one string; chunks of them are joined first."""
+
+    def together(df, *keys):
+        rows = F.array_sort(F.collect_list(F.struct("position", text)))
+        return df.groupBy(*keys).agg(F.min("position").alias("position"), F.array_join(F.transform(rows, lambda r: r[text]), "").alias(text), F.sum("n").alias("n"))
+
+    parts = together(groups.withColumn("n", F.lit(1)), group, F.floor(F.col("position") / chunk).alias("chunk"))
+    return together(parts, group).select(group, text, "n")
 
 
 def all_texts(posts: DataFrame, text: str = "text", comments: str = "comments") -> DataFrame:
@@ -145,6 +155,18 @@ def users_to_clusters(user_docs: DataFrame, assignment: DataFrame) -> DataFrame:
     return own.join(sizes, "cluster").select("user", "cluster", "own_docs", (F.col("size") - F.col("own_docs")).alias("open_docs"))
 
 
+def suggest_for_all(user_docs: DataFrame, assignment: DataFrame, k: int) -> DataFrame:
+    """(user, doc_id, rank): the first k documents by id of each user's clusters which the user has not joined yet.
+
+    The k + own documents of lowest id of a cluster hold the k that are open, so each (user, cluster) takes no more of it.
+    """
+    own = user_docs.select("user", "doc_id").distinct()
+    read = own.join(assignment, "doc_id").groupBy("user", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    placed = positions(assignment.select("cluster", "doc_id"), ["cluster"], [F.col("doc_id")])
+    offered = placed.join(read, "cluster").where(F.col("position") <= F.col("n") + k).select("user", "doc_id")
+    return top_k_per_group(offered.join(own, ["user", "doc_id"], "left_anti"), ["user"], [F.col("doc_id")], k)
+
+
 def suggest_documents(user: str, user_docs: DataFrame, assignment: DataFrame) -> DataFrame:
     """Documents of one user's clusters which the user has not joined yet."""
     own = user_docs.where(F.col("user") == user)

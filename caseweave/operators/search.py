@@ -144,9 +144,15 @@ def word_lookup(words: DataFrame, embedding: DataFrame) -> DataFrame:
     return direct.where("vector IS NOT NULL").select("term", "vector").unionByName(masked.join(known, "key").select("term", "vector"))
 
 
-def embed_by_word_mean(tf: DataFrame, embedding: DataFrame) -> DataFrame:
-    """(doc_id, vector): sum of the known word vectors over the number of all tokens."""
-    hits = tf.join(word_lookup(tf, embedding), "term")
+def embed_by_word_mean(tf: DataFrame, embedding: DataFrame, send_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, vector): sum of the known word vectors over the number of all tokens.
+
+    A word table of at most ``send_bytes`` goes to all tasks, so the terms of a document stay together and are summed
+    before the shuffle; a larger one is joined by term.
+    """
+    known = stage(word_lookup(tf, embedding))
+    size = known.agg(F.sum(F.size("vector") * 8 + 64)).first()[0] or 0
+    hits = tf.join(F.broadcast(known) if size <= send_bytes else known, "term")
     sums = hits.groupBy("doc_id").agg(vector_sum("vector", F.col("tf").cast("double")).alias("v"), F.first("doc_len").alias("n"))
     return sums.select("doc_id", F.transform("v", lambda x: x / F.col("n")).alias("vector"))
 
@@ -166,20 +172,22 @@ def nearest_to(vectors: DataFrame, key: str, value, k: int = 10, score: Callable
     return scored.where("score IS NOT NULL").orderBy(F.round("score", 9).desc(), key).limit(k)
 
 
-def bounded_array(df: DataFrame, max_rows: int) -> Column:
-    """All rows of a small frame as one array column. Its size is checked first."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows on the bounded side")
-    return df.agg(F.collect_list(F.struct(*df.columns))).scalar()
+def target_blocks(targets: DataFrame, max_bytes: int = 8 << 20) -> list[DataFrame]:
+    """Target vectors in blocks of at most about ``max_bytes``, by measured size."""
+    size = targets.agg(F.sum(F.size("vector") * 8 + 32)).scalar()
+    n = max(1, -(-int(targets.sparkSession.range(1).select(size).first()[0] or 0) // max_bytes))
+    return [targets if n == 1 else targets.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n)]
 
 
-def cross_scores(
-    vectors: DataFrame, targets: DataFrame, score: Callable[[Column, Column], Column], max_targets: int = 1000
-) -> DataFrame:
-    """Score of every vector with each of a bounded set of target vectors (id, vector)."""
-    items = bounded_array(targets.select("id", "vector"), max_targets)
-    pairs = F.transform("_items", lambda t: F.struct(t["id"].alias("target"), score(F.col("vector"), t["vector"]).alias("score")))
-    return vectors.withColumn("_items", items).select("id", F.explode(pairs).alias("p")).select("id", "p.target", "p.score")
+def cross_scores(vectors: DataFrame, targets: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """Score of every vector with each target vector (id, vector): a pass over the vectors per block of targets."""
+    out = None
+    for block in target_blocks(targets.select("id", "vector")):
+        items = block.agg(F.collect_list(F.struct("id", "vector"))).scalar()
+        pairs = F.transform("_items", lambda t: F.struct(t["id"].alias("target"), score(F.col("vector"), t["vector"]).alias("score")))
+        part = vectors.withColumn("_items", items).select("id", F.explode(pairs).alias("p")).select("id", "p.target", "p.score")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def cross_distances(vectors: DataFrame, targets: DataFrame) -> DataFrame:
@@ -192,7 +200,7 @@ def cross_similarities(vectors: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest vectors of each of a bounded set of query vectors, by Euclidean distance."""
+    """The k nearest vectors of each query vector, by Euclidean distance."""
     scores = cross_distances(vectors, queries).select(F.col("target").alias("query_id"), "id", "distance")
     return top_k_per_group(scores, ["query_id"], [F.round("distance", 9), F.col("id")], k)
 

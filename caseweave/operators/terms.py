@@ -7,24 +7,39 @@ row per term join by ``term``; such joins have very uneven keys, which adaptive
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def term_freq(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Count of each term per document.
+    """Count of each term per document; a document is one row.
 
-    The outer explode keeps the optimizer from running the tokenizer again in a filter on its size.
+    All tokens of a document are in its row, so they are counted there, an Arrow batch at a time, and nothing is shuffled.
     """
-    return (
-        docs.select("doc_id", F.size(tokens).cast("long").alias("doc_len"), F.explode_outer(tokens).alias("term"))
-        .where("term IS NOT NULL")
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-    )
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in (("term", T.StringType()), ("tf", T.LongType()), ("doc_len", T.LongType()))]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            row = pc.list_parent_indices(lists).to_numpy()
+            words = lists.flatten().dictionary_encode()
+            code = words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = np.bincount(row, minlength=batch.num_rows)
+            n = max(1, len(words.dictionary))
+            cells, counts = np.unique(row[code >= 0].astype(np.int64) * n + code[code >= 0], return_counts=True)
+            at = cells // n
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), words.dictionary.take(pa.array(cells % n)), pa.array(counts), pa.array(lengths[at])], names=schema.names
+            )
+
+    return docs.select("doc_id", F.col(tokens).alias("tokens")).mapInArrow(count, schema)
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
@@ -115,11 +130,18 @@ def l2_normalize(weights: DataFrame) -> DataFrame:
     return weights.withColumn("_norm", norm).where("_norm > 0").withColumn("w", F.col("w") / F.col("_norm")).drop("_norm")
 
 
+def squares_about_mean(w: str, n: Column) -> Column:
+    """Aggregate: squared distances from the mean over n rows, of which the present ones are at hand and the rest is zero.
+
+    It adds the present values' own spread to what their mean differs from zero, and subtracts no large sums.
+    """
+    present = F.count(F.col(w))
+    return present * F.var_pop(w) + present * (n - present) / n * F.avg(w) * F.avg(w)
+
+
 def scale_columns(weights: DataFrame, n_docs: Column | int) -> DataFrame:
     """Divide each term's weights by their sample standard deviation; absent weights count as 0."""
-    n = F.lit(n_docs)
-    total, squares = F.sum("w"), F.sum(F.col("w") * F.col("w"))
-    spread = weights.groupBy("term").agg(F.sqrt((squares - total * total / n) / (n - 1)).alias("_sd")).where("_sd > 0")
+    spread = weights.groupBy("term").agg(F.sqrt(squares_about_mean("w", F.lit(n_docs)) / (F.lit(n_docs) - 1)).alias("_sd")).where("_sd > 0")
     return weights.join(spread, "term").select("doc_id", "term", (F.col("w") / F.col("_sd")).alias("w"))
 
 

@@ -1,4 +1,4 @@
-"""Forum threads: one text file per thread."""
+"""Forum threads: one text file per thread, or many behind ``==> name <==`` lines in one file."""
 
 from __future__ import annotations
 
@@ -48,13 +48,17 @@ def parse_post_stats(line: Column) -> Column:
     )
 
 
-def _files(spark: SparkSession, path: str, id_pattern: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", id_pattern, 1).alias("post_id"), "value"
-    )
+def _files(spark: SparkSession, path: str, id_pattern: str, bundled: bool) -> DataFrame:
+    """(post_id, value) per thread; ``bundled`` files hold many, each after a line with its name, and are splittable."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if not bundled:
+        return reader.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", id_pattern, 1).alias("post_id"), "value")
+    parts = reader.option("lineSep", "==> ").text(path).where(F.contains("value", F.lit(" <==\n")))
+    name = F.substring_index("value", " <==\n", 1)
+    return parts.select(F.regexp_extract(name, id_pattern, 1).alias("post_id"), F.substring("value", F.length(name) + 6, F.length("value")).alias("value"))
 
 
-def forum_posts(spark: SparkSession, path: str, id_pattern: str = FILE_ID) -> DataFrame:
+def forum_posts(spark: SparkSession, path: str, id_pattern: str = FILE_ID, bundled: bool = False) -> DataFrame:
     """Thread files → posts by section markers. Files without a description drop out."""
 
     def after(marker, group=1):
@@ -71,7 +75,7 @@ def forum_posts(spark: SparkSession, path: str, id_pattern: str = FILE_ID) -> Da
 
     stats = parse_post_stats(F.regexp_extract("value", "(?m)^Statistics:.*$", 0))
     return (
-        _files(spark, path, id_pattern)
+        _files(spark, path, id_pattern, bundled)
         .where(header != "")
         .select(
             F.lit("forum").alias("source"), "post_id",
@@ -83,12 +87,12 @@ def forum_posts(spark: SparkSession, path: str, id_pattern: str = FILE_ID) -> Da
     )
 
 
-def forum_posts_positional(spark: SparkSession, path: str, id_pattern: str = FILE_ID) -> DataFrame:
+def forum_posts_positional(spark: SparkSession, path: str, id_pattern: str = FILE_ID, bundled: bool = False) -> DataFrame:
     """The same files by fixed line numbers; replies are every third line from line 14 on."""
     lines = F.split("value", "\n")
     replies = F.filter(lines, lambda x, i: (i >= 13) & ((i - 13) % 3 == 0))
     line = lambda n: F.try_element_at(lines, F.lit(n))
-    return _files(spark, path, id_pattern).select(
+    return _files(spark, path, id_pattern, bundled).select(
         "post_id", line(3).alias("title"), line(6).alias("url"), line(8).alias("stats"), line(11).alias("text"),
         F.array_join(replies, " ").alias("replies"),
     )

@@ -98,3 +98,13 @@ def test_plan_has_no_cartesian_product(spark):
     for df in (intervals.app_edge_stats(incidents), intervals.overlap_degrees(incidents)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_a_busy_day_is_many_slices(spark):
+    """Components of one day spread over all tasks, and each pair still counts once."""
+    start = F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(F.xxhash64("id"), F.lit(3600)))
+    df = spark.range(1200).select(F.col("id").alias("incident_id"), (F.col("id") + 1).alias("app_id"), start.alias("from_ts"), start.alias("to_ts"))
+    totals = intervals.pair_totals(df, break_ties=True)
+    assert totals.agg(F.sum("pairs")).first()[0] == 1200 * 1199 // 2
+    spread = totals.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(spread) > 1

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.operators import clusters, kernels, models, search
+from caseweave.operators import clusters, kernels, models, search, terms
 
 
 def unit_weights(spark, rows):
@@ -55,8 +55,14 @@ def test_tag_score_and_weight_search(spark):
     assert clusters.inter_tag_score(df, column).first()[0] == pytest.approx(brute_tag_score(rows, weights))
     best = clusters.tune_similarity_weights(df, 4, iters=5).first()
     assert best.score == pytest.approx(brute_tag_score(rows, best.weights))
-    with pytest.raises(Exception):
-        clusters.inter_tag_score(df, max_tags=1).collect()
+
+
+def test_tag_score_with_many_tags(spark):
+    rng = np.random.default_rng(3)
+    names = [f"t{i}" for i in range(15)]
+    rows = [(i, [float(x) for x in rng.normal(size=4)], names if i == 0 else list(rng.choice(names, 3))) for i in range(60)]
+    df = spark.createDataFrame([(i, v, [str(x) for x in t]) for i, v, t in rows], "id LONG, vector ARRAY<DOUBLE>, tags ARRAY<STRING>")
+    assert clusters.inter_tag_score(df).first()[0] == pytest.approx(brute_tag_score(rows))
 
 
 def test_group_score(spark):
@@ -72,10 +78,35 @@ def test_word_means_count_unknown_words_and_mask_digits(spark):
     assert search.embed_by_word_mean(tf, embedding).first().vector == [0.5, 0.5]
 
 
-def test_bounded_side_is_checked(spark):
-    df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id LONG, vector ARRAY<DOUBLE>")
-    with pytest.raises(ValueError):
-        search.cross_scores(df, df, lambda a, b: a[0] + b[0], max_targets=4)
+def test_targets_go_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(1500)], "id LONG, vector ARRAY<DOUBLE>")
+    assert len(search.target_blocks(df, 10_000)) == 6 and len(search.target_blocks(df)) == 1
+    assert sum(b.count() for b in search.target_blocks(df, 10_000)) == 1500
+    few = df.where("id < 3")
+    scores = search.cross_scores(few, df, lambda a, b: a[0] + b[0])
+    assert scores.count() == 4500 and scores.where("score <> id + target").isEmpty()
+
+
+def test_terms_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(7, ["b", "a", "b"]), (8, []), (9, None), (10, ["a", None])], "doc_id INT, tokens ARRAY<STRING>")
+    tf = terms.term_freq(docs)
+    assert sorted(tuple(r) for r in tf.collect()) == [(7, "a", 1, 3), (7, "b", 2, 3), (10, "a", 1, 2)]
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_of_many_features(spark):
+    weights = spark.range(70_000).select((F.col("id") % 20).alias("doc_id"), F.concat(F.lit("t"), "id").alias("term"), F.lit(1.0).alias("w"))
+    vectors = models.sparse_vectors(weights, models.numbered_terms(weights.select("term")))
+    assert models.kmeans_docs(vectors, 3, max_iter=2).count() == 20
+
+
+def test_kernel_takes_strips(monkeypatch):
+    from caseweave.operators import kernels
+
+    a, b = "the quick brown fox " * 6, "a quack brawn box of the " * 5
+    whole = kernels.subsequence_kernel(a, b)
+    monkeypatch.setattr(kernels, "CELLS", 300)
+    assert kernels.subsequence_kernel(a, b) == pytest.approx(whole)
 
 
 def naive_kernel(a, b, lam, p):
@@ -128,7 +159,7 @@ def test_lsa_properties(matrix):
     assert (v[abs(v).argmax(axis=0), range(4)] > 0).all()
     related = models.related_terms(model, "t3", 3).collect()
     assert related[0].term == "t3" and related[0].score == pytest.approx(1.0)
-    shares = [r.explained for r in models.explained_variance_sweep(model, weights, (1, 2, 4)).orderBy("k").collect()]
+    shares = [r.explained for r in models.explained_variance_sweep(model, weights, 40, (1, 2, 4)).orderBy("k").collect()]
     assert shares == sorted(shares) and 0 < shares[0] and shares[-1] <= 1
 
 

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from caseweave.operators import relational
 from caseweave.operators.relational import defect_to_incident
 from caseweave.sources import articles, records, tables, threads
 
@@ -93,6 +95,22 @@ def test_threads(spark, tmp_path):
     assert rows["1234567"].title == "A title" and rows["1234569"].url is None
 
 
+def test_long_thread_in_a_bundle(spark, tmp_path):
+    turns = spark.range(2500).select(F.lit(3).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("text "), "id").alias("text"))
+    groups = relational.collect_groups(turns, "conv_id", "turn", "text")
+    assert groups.count() == 2500 and groups.where("text <> concat('text ', position)").isEmpty()
+    joined = relational.joined_groups(groups.withColumn("text", F.concat(F.lit("\nReply: a / Wed, 10/10/2001 - 09:58\n"), "text")), "conv_id", "text").first()
+    assert joined.n == 2500
+    (tmp_path / "bundle.txt").write_text(
+        "==> x/1234567_html.txt <==\n" + THREAD.format(rating="4.5") + "==> 7654321_html.txt <==\n\nDescription: a / Aug 2nd, 2005\nopening\n" + joined.text
+    )
+    posts = {r.post_id: r for r in threads.forum_posts(spark, str(tmp_path), bundled=True).collect()}
+    assert posts["1234567"].title == "A title" and len(posts["1234567"].comments) == 2
+    assert [c.text for c in posts["7654321"].comments] == [f"text {k}" for k in range(2500)]
+    texts = relational.all_texts(threads.forum_posts(spark, str(tmp_path), bundled=True)).where("post_id = '7654321'")
+    assert texts.count() == 2501 and texts.select("position").distinct().count() == 2501
+
+
 def test_articles(spark, tmp_path):
     tree = lambda i, text: f'{PROLOG}<a xmlns="cdetsng"><techZoneContent id="{i}"><content>{text}</content></techZoneContent></a>\n'
     (tmp_path / "a.xml").write_text("stray line\n" + tree("1", "first &amp; more") + tree("2", "") + tree("3", "x" * 50))
