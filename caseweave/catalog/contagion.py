@@ -122,6 +122,25 @@ def _(t):
     return degrees.where("n_parents + n_children > 0").withColumn("parent_days", F.round("parent_days", 6))
 
 
+@query(
+    "pairs_of_probes",
+    f"""WITH {PAIRS_SQL} SELECT parent, child, p.app_name AS parent_name, c.app_name AS child_name, p.severity AS parent_severity,
+    c.severity AS child_severity, round(elapsed, 6) AS elapsed_days
+    FROM pairs JOIN inc p ON p.incident_id = parent JOIN inc c ON c.incident_id = child WHERE child % 100 = 0""",
+)
+def _(t):
+    """The pairs of every hundredth incident with the rows of both ends."""
+    inc = incidents(t.events)
+    pairs = intervals.pair_incidents_by_overlap(inc.where("incident_id % 100 = 0"), inc)
+    end = lambda name: inc.select(
+        F.col("incident_id").alias(name), F.col("app_name").alias(f"{name}_name"), F.col("severity").alias(f"{name}_severity")
+    )
+    rows = pairs.join(end("parent"), "parent").join(end("child"), "child")
+    return rows.select(
+        "parent", "child", "parent_name", "child_name", "parent_severity", "child_severity", F.round("elapsed_days", 6).alias("elapsed_days")
+    )
+
+
 @query(
     "edge_endpoints",
     f"""WITH {PAIRS_SQL} SELECT p.severity AS parent_severity, c.severity AS child_severity, count(*) AS pairs,

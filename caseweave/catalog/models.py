@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseweave.adapters import vectors
 from caseweave.catalog.registry import query
 from caseweave.catalog.search import unit_table
-from caseweave.catalog.text import n_docs, tokens_of
+from caseweave.catalog.text import TOKENS_SQL, n_docs, tokens_of
 from caseweave.functions import text as tx
 from caseweave.operators import kernels, models, ordering, terms
 from caseweave.session import stage
@@ -73,10 +73,79 @@ def _(t):
     return models.docs_for_query(model, vocabulary, frequent(vocabulary, 3))
 
 
-@query("pca_project")
+def power_sql(matrix: str, name: str, rounds: int = 1500) -> str:
+    """CTE with the first eigenvector ``v`` of the matrix in CTE ``matrix`` (rows), by power iteration."""
+    return f"""
+{name}i AS (SELECT 0 AS k, list_transform(range(64), lambda i: 1.0::DOUBLE / (1 + i)) AS v
+  UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+  FROM (SELECT k, list_transform(rows, lambda r: list_dot_product(r, v)) AS w FROM {name}i, {matrix} WHERE k < {rounds})),
+{name} AS (SELECT v FROM {name}i WHERE k = {rounds})"""
+
+
+PCA_SQL = f"""
+e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+mean AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS x FROM e, range(1, 65) t(i) GROUP BY i)),
+c AS (SELECT list_transform(v, lambda x, i: x - m[i]) AS v FROM e, mean),
+cov AS (SELECT list(r ORDER BY i) AS rows FROM (SELECT i, list(s ORDER BY j) AS r FROM (
+  SELECT i, j, sum(v[i] * v[j]) / (count(*) - 1) AS s FROM c, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j) GROUP BY i)),
+{power_sql("cov", "p1")},
+l1 AS (SELECT v, list_dot_product(v, list_transform(rows, lambda r: list_dot_product(r, v))) AS lambda1 FROM p1, cov),
+rest AS (SELECT list_transform(rows, lambda r, i: list_transform(r, lambda x, j: x - lambda1 * v[i] * v[j])) AS rows FROM cov, l1),
+{power_sql("rest", "p2")}"""
+
+
+@query(
+    "pca_project",
+    f"""WITH RECURSIVE {PCA_SQL} SELECT id, round(abs(list_dot_product(e.v, p1.v)), 3) AS x, round(abs(list_dot_product(e.v, p2.v)), 3) AS y
+    FROM e, p1, p2""",
+)
 def _(t):
+    """Coordinates without their sign, which is free."""
     coordinates = models.pca_project(models.dense_vectors(vectors(t.embeddings)), 2)
-    return coordinates.select("id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+    at = lambda k: F.round(F.abs(F.col("vector")[k]), 3)
+    return coordinates.select("id", at(0).alias("x"), at(1).alias("y"))
+
+
+@query("kmeans_nearest_centre", "SELECT doc_id, true AS nearest FROM documents")
+def _(t):
+    """Whether each document is nearest to the mean of its own cluster, as it must be when k-means has settled."""
+    weights = unit_table(t)[1]
+    rows = models.sparse_vectors(weights, models.numbered_terms(weights.select("term").distinct()), docs=t.documents)
+    assignment = stage(models.kmeans_docs(rows, 5, n_init=3))
+    sizes = assignment.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    sums = weights.join(assignment, "doc_id").groupBy("cluster", "term").agg(F.sum("w").alias("s"))
+    centres = stage(sums.join(sizes, "cluster").select("cluster", "term", (F.col("s") / F.col("size")).alias("c")))
+    norms = sizes.join(centres.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("norm")), "cluster", "left").fillna(0.0, ["norm"])
+    dots = weights.join(centres, "term").groupBy("doc_id", "cluster").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
+    each = assignment.select("doc_id", F.col("cluster").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("cluster"))
+    far = each.join(norms, "cluster").join(dots, ["doc_id", "cluster"], "left").select(
+        "doc_id", "own", "cluster", (F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0))).alias("d")
+    )
+    own, least = F.min(F.when(F.col("own") == F.col("cluster"), F.col("d"))), F.min("d")
+    return far.groupBy("doc_id").agg((own <= least + 0.001).alias("nearest"))
+
+
+@query("word_vector_cover", f"WITH {TOKENS_SQL} SELECT term AS word, 100 AS n FROM df WHERE total >= 5")
+def _(t):
+    """Every term of five or more occurrences has one vector of 100 numbers."""
+    return models.train_word_vectors(tokens_of(t)).select("word", F.size("vector").alias("n"))
+
+
+@query("rf_proximity_range", "SELECT label AS \"group\", count(*) AS n, true AS inside FROM embeddings GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    """Rows per group and whether every mean proximity lies between 0 and 1."""
+    v = vectors(t.embeddings)
+    rows = models.rf_group_proximity(stage(models.rf_leaves(v)), v.select("id", F.col("label").alias("group")), 50)
+    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("proximity").between(0, 1)).alias("inside"))
+
+
+@query("lsa_orthogonality", "SELECT a.i AS a, b.i AS b, 0.0::DOUBLE AS dot FROM range(10) a(i) JOIN range(10) b(i) ON a.i < b.i")
+def _(t):
+    """Dot products between the first ten columns of U·S over all documents."""
+    us = lsa_of(t)[0].us
+    sums = us.agg(*[F.sum(F.col("vector")[i] * F.col("vector")[j]).alias(f"d{i}_{j}") for i in range(10) for j in range(i + 1, 10)])
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("a"), F.lit(j).cast("long").alias("b"), F.col(f"d{i}_{j}").alias("dot")) for i in range(10) for j in range(i + 1, 10)])
+    return sums.select(F.explode(cells).alias("c")).select("c.a", "c.b", (F.round("c.dot", 5) + F.lit(0.0)).alias("dot"))
 
 
 @query("kmeans_docs")

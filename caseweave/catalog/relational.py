@@ -235,6 +235,21 @@ def _(t):
     )
 
 
+@query(
+    "suggest_documents",
+    f"""WITH {USERS}, o AS (SELECT DISTINCT "user", cluster FROM u JOIN a USING (doc_id)),
+    r AS (SELECT "user", doc_id, row_number() OVER (PARTITION BY "user" ORDER BY doc_id)::INTEGER AS rank
+      FROM o JOIN a USING (cluster) ANTI JOIN u USING ("user", doc_id))
+    SELECT * FROM r WHERE rank <= 5""",
+)
+def _(t):
+    user_docs = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("user"), F.col("l_partkey").alias("doc_id")
+    )
+    clusters = t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("cluster"))
+    return relational.suggest_for_all(user_docs, clusters, 5)
+
+
 @query(
     "cluster_members",
     "SELECT source AS cluster, doc_id, count(*) OVER (PARTITION BY source) AS size FROM documents",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseweave.adapters import posts, vectors
 from caseweave.catalog.registry import query
-from caseweave.catalog.text import BOUND_SQL, TOKENS_SQL, n_docs, staged_tf, tf_of, tokens_of, vocabulary_of
+from caseweave.catalog.text import BOUND_SQL, STOP, STOP_SQL, TOKENS_SQL, n_docs, staged_tf, tf_of, tokens_of, vocabulary_of
 from caseweave.functions import text as tx
 from caseweave.functions import vectors as vec
 from caseweave.operators import clusters, relational, search, terms
@@ -71,6 +71,50 @@ def _(t):
     return rounded(search.similar_docs(query_tf(t), vocabulary, weights), "score")
 
 
+GRAM_SQL = r"""
+q0 AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: NOT list_contains(""" + STOP_SQL + r""", x)) AS k FROM benchmark),
+d0 AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda x: NOT list_contains(""" + STOP_SQL + r""", x)) AS k FROM documents),
+t0 AS (SELECT true AS doc, doc_id AS id, k FROM d0 UNION ALL SELECT false, item_id, k FROM q0),
+g AS (SELECT doc, id, unnest(list_concat(k, list_concat(
+  list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]),
+  list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])))) AS term FROM t0),
+f AS (SELECT doc, id, term, count(*) AS tf FROM g GROUP BY 1, 2, 3),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+vocab AS (SELECT term, count(*) AS df FROM f WHERE doc GROUP BY 1 HAVING count(*) BETWEEN 2 AND 300),
+w0 AS (SELECT doc, id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM f JOIN vocab USING (term), n),
+w AS (SELECT doc, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc, id)) AS w FROM w0),
+s AS (SELECT a.id AS query_id, b.id AS doc_id, sum(a.w * b.w) AS score FROM w a JOIN w b USING (term) WHERE NOT a.doc AND b.doc GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM s)"""
+
+
+@query(
+    "similar_docs_ngrams",
+    f"WITH {GRAM_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM top WHERE rank BETWEEN 2 AND 10",
+)
+def _(t):
+    """Search over one to three words without stop words, terms in 2 to 300 documents."""
+
+    def grams(df, tokens):
+        kept = df.select("doc_id", tx.remove_words(tokens, STOP).alias("kept"))  # a column of its own, or each n-gram makes it again
+        return kept.select("doc_id", tx.ngrams(F.col("kept"), 1, 3).alias("tokens"))
+
+    tf = stage(terms.term_freq(grams(tokens_of(t), F.col("tokens"))))
+    asked = grams(t.benchmark.withColumnRenamed("item_id", "doc_id"), tx.tokenize(F.col("text")))
+    vocabulary = stage(terms.idf(terms.bound_vocabulary(tf, n_docs(t), 2, 300), n_docs(t), "smooth"))
+    weights = terms.tfidf(tf, n_docs(t), "smooth", by_length=False, l2=True, vocabulary=vocabulary)
+    return rounded(search.similar_docs(terms.term_freq(asked).withColumnRenamed("doc_id", "query_id"), vocabulary, weights), "score")
+
+
+@query(
+    "identical_docs",
+    f"""WITH {TOKENS_SQL}, sig AS (SELECT doc_id, list(term || ':' || tf ORDER BY term) AS s FROM tf GROUP BY 1)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS first_id FROM sig""",
+)
+def _(t):
+    """The copy map that goes with the pairs of different documents."""
+    return search.identical_rows(tf_of(t).select("doc_id", "term", F.col("tf").cast("double").alias("w")))
+
+
 @query(
     "similar_to_doc",
     f"""WITH {BOUND_SQL} SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.w * b.w), 6) AS score
@@ -304,7 +348,20 @@ def _(t):
     return rounded(clusters.inter_tag_score(tagged_vectors(t)), "score")
 
 
-@query("tune_similarity_weights")
+def draws_sql(dims: int, iters: int = 100) -> str:
+    rows = clusters.weight_draws(dims, iters)
+    return ", ".join(f"({i}, [{', '.join(repr(x) for x in w)}]::DOUBLE[])" for i, w in enumerate(rows))
+
+
+@query(
+    "tune_similarity_weights",
+    f"""WITH {TAGGED_SQL}, d(iter, w) AS (VALUES {draws_sql(64)}),
+    u0 AS (SELECT iter, id, tags, list_transform(e, lambda x, i: x * w[i]) AS e FROM v, d),
+    u AS (SELECT iter, id, tags, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM u0),
+    s AS (SELECT a.iter AS iter, sum(CASE WHEN list_has_any(a.tags, b.tags) THEN 1 ELSE -1 END * list_dot_product(a.e, b.e)) / count(*) AS score
+      FROM u a JOIN u b ON a.iter = b.iter AND a.id < b.id GROUP BY 1)
+    SELECT iter, round(score, 6) AS score FROM s ORDER BY s.score DESC, iter LIMIT 1""",
+)
 def _(t):
     best = clusters.tune_similarity_weights(tagged_vectors(t), 64)
     return rounded(best.select("iter", "score"), "score")

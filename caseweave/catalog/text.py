@@ -168,9 +168,53 @@ def _(t):
     return tokens_of(t).select("doc_id", F.array_join(tx.remove_words(F.col("tokens"), STOP), " ").alias("tokens"))
 
 
-@query("stem_terms")
+# Words and their stems as published for the English (Porter2) algorithm.
+STEMS = """consigned consign|consistency consist|consolatory consolatori|conspicuous conspicu|knackeries knackeri|knives knive
+hopping hop|hoping hope|luxuriated luxuri|agreed agre|feed feed|plastered plaster|motoring motor|sing sing|sized size|falling fall
+happy happi|relational relat|digitizer digit|feudalism feudal|hopefulness hope|sensibility sensibl|triplicate triplic|electrical electr
+allowance allow|adjustment adjust|adoption adopt|communism communism|rate rate|cease ceas|controlling control|ties tie|cries cri
+say say|generate generat|generic generic|skies sky|dying die|news news|gas gas|gaps gap|kiwis kiwi|apologize apolog|proceeds proceed
+configuration configur|organization organ|national nation|quickly quick"""
+STEM_PAIRS = [tuple(p.split()) for line in STEMS.splitlines() for p in line.split("|")]
+STEM_SQL = ", ".join(f"({i}, '{s}')" for i, (_, s) in enumerate(STEM_PAIRS))
+
+
+@query(
+    "stem_terms",
+    f"""WITH {TOKENS_SQL}, s(i, stem) AS (VALUES {STEM_SQL})
+    SELECT doc_id, stem AS term, sum(tf)::BIGINT AS tf FROM tf JOIN s ON i = ('0x' || substr(md5(term), 1, 8))::BIGINT % {len(STEM_PAIRS)} GROUP BY 1, 2""",
+)
+def _(t):
+    """Every term stands for one of the published words, which are stemmed and merged per document."""
+    number = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % len(STEM_PAIRS)
+    word = F.array(*[F.lit(w) for w, _ in STEM_PAIRS])[number.cast("int")]
+    tf = tf_of(t).groupBy("doc_id", word.alias("term")).agg(F.sum("tf").alias("tf"), F.max("doc_len").alias("doc_len"))
+    return terms.stem_terms(stage(tf)).select("doc_id", "term", "tf")
+
+
+@query(
+    "term_ids",
+    f"""WITH {BOUND_SQL}, v AS (SELECT term, row_number() OVER (ORDER BY term) AS "index" FROM vocab)
+    SELECT doc_id, "index", tf FROM tf JOIN v USING (term)""",
+)
+def _(t):
+    """A bag of words by term ids."""
+    from caseweave.operators.models import numbered_terms
+
+    tf = staged_tf(t)
+    return tf.join(numbered_terms(vocabulary_of(t, tf)), "term").select("doc_id", "index", "tf")
+
+
+@query(
+    "clean_corpus_late",
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '[0-9]+', '', 'g') AS text FROM documents)
+    SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'),
+      lambda x: NOT list_contains(['the', 'and', 'license', 'under'], x)), ' ') AS text FROM a""",
+)
 def _(t):
-    return terms.stem_terms(staged_tf(t)).select("doc_id", "term", "tf")
+    """The cleaning chain with punctuation before numbers and two word lists, the second one last."""
+    order = ("lower", "punctuation", "numbers", "stop_words", "late_words")
+    return t.documents.select("doc_id", tx.clean_corpus(F.col("text"), ["the", "and"], order, ["license", "under"]).alias("text"))
 
 
 @query(

@@ -81,12 +81,17 @@ def inter_tag_score(vectors: DataFrame, weights: Column | None = None) -> DataFr
     return _tag_score(_unit(vectors, weights).where("vector IS NOT NULL"), [])
 
 
-def tune_similarity_weights(vectors: DataFrame, dims: int, iters: int = 100, seed: int = 11) -> DataFrame:
-    """Random search of dimension weights: the best (weights, score) of ``iters`` normal draws, in one job."""
+def weight_draws(dims: int, iters: int, seed: int = 11) -> list[list[float]]:
+    """Normal draws of dimension weights."""
     from random import Random
 
     rng = Random(seed)
-    draws = [[rng.gauss(0.0, 1.0) for _ in range(dims)] for _ in range(iters)]
+    return [[rng.gauss(0.0, 1.0) for _ in range(dims)] for _ in range(iters)]
+
+
+def tune_similarity_weights(vectors: DataFrame, dims: int, iters: int = 100, seed: int = 11) -> DataFrame:
+    """Random search of dimension weights: the best (weights, score) of ``iters`` normal draws, in one job."""
+    draws = weight_draws(dims, iters, seed)
     table = vectors.sparkSession.createDataFrame([(i, w) for i, w in enumerate(draws)], "iter INT, weights ARRAY<DOUBLE>")
     items = table.agg(F.collect_list(F.struct("iter", "weights"))).scalar()
     fanned = vectors.withColumn("_items", items).select("vector", "tags", F.explode("_items").alias("d")).select("vector", "tags", "d.iter", "d.weights")

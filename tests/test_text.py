@@ -1,20 +1,11 @@
 from pyspark.sql import functions as F
 
+from caseweave.catalog.text import STEM_PAIRS
 from caseweave.functions import text as tx
 from caseweave.operators import summaries, terms
 
-# words and their stems as published for the English (Porter2) algorithm
-STEMS = """consigned consign|consistency consist|consolatory consolatori|conspicuous conspicu|knackeries knackeri|knives knive
-hopping hop|hoping hope|luxuriated luxuri|agreed agre|feed feed|plastered plaster|motoring motor|sing sing|sized size|falling fall
-happy happi|relational relat|digitizer digit|feudalism feudal|hopefulness hope|sensibility sensibl|triplicate triplic|electrical electr
-allowance allow|adjustment adjust|adoption adopt|communism communism|rate rate|cease ceas|controlling control|ties tie|cries cri|by by
-say say|generate generat|generic generic|skies sky|dying die|news news|gas gas|gaps gap|kiwis kiwi|apologize apolog|proceeds proceed
-configuration configur|organization organ|national nation|quickly quick"""
-
-
 def test_stem(spark):
-    pairs = [tuple(p.split()) for line in STEMS.splitlines() for p in line.split("|")]
-    df = spark.createDataFrame(pairs, "word STRING, expected STRING")
+    df = spark.createDataFrame(STEM_PAIRS, "word STRING, expected STRING")
     rows = df.withColumn("got", tx.stem(F.col("word"))).collect()
     assert [(r.word, r.got) for r in rows if r.got != r.expected] == []
 
