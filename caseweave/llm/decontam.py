@@ -1,7 +1,8 @@
 """Benchmark decontamination by a BM25 index of the test items, searched with block-max WAND.
 
 A test item is a question and an answer: the answer is its last line, or its last sentence where it has one line only.
-The index holds for each term the items it occurs in, in blocks with their highest impact. A training document is cut
+The index holds for each term the items it occurs in, in blocks with their highest impact. A passage whose terms reach
+the threshold in no block of items has no pivot and is done; the others are searched list by list. A training document is cut
 into passages of ``2 * span`` words that begin every ``span`` words, span being the longest item's words and a quarter
 more, so that any stretch of span words lies in one passage. Every passage is a query, and all items above the threshold
 are retrieved.
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 from caseweave.llm.batches import slices
 
 INDEX_BYTES = 16 << 20
-BLOCK = 32
+#: Items (and postings) of a block. Few, so that a block's highest impacts stay close to what one item can score.
+BLOCK = 4
+#: Passages times blocks of items that are bounded at once.
+CELLS = 1 << 20
 FOUND = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
 _words = re.compile(r"\w+").findall
 
@@ -60,6 +64,12 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(" ".join(parts[:-1])), words_of(parts[-1] if parts else "")
 
 
+def spread_ranges(first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, place) for every place of the ranges ``first[k]`` to ``first[k] + lengths[k]``."""
+    of = np.repeat(np.arange(len(first)), lengths)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + first[of]
+
+
 class Item(NamedTuple):
     item_id: int
     words: list[str]
@@ -99,7 +109,16 @@ class Index:
             blocks = [list_[k : k + BLOCK] for k in range(0, len(list_), BLOCK)]
             self.terms[term] = ([p[0] for p in list_], [p[1] for p in list_], [x[-1][0] for x in blocks], [max(p[1] for p in x) for x in blocks], max(p[1] for p in list_))
         self.number = {term: k for k, term in enumerate(self.terms)}
-        self.highest = np.array([t[4] for t in self.terms.values()] + [0.0])
+        # per term the blocks of items that it occurs in and its highest impact there, one after the other
+        cells: dict[tuple[int, int], float] = {}
+        for term, k in self.number.items():
+            for item, value in zip(*self.terms[term][:2]):
+                cells[k, item // BLOCK] = max(cells.get((k, item // BLOCK), 0.0), value)
+        self.in_block = np.array([b for _, b in cells], np.int64)
+        self.block_top = np.array(list(cells.values()))
+        self.n_blocks = -(-len(self.items) // BLOCK)
+        self.held = np.bincount([k for k, _ in cells], minlength=len(self.terms)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.held)])[:-1].astype(np.int64)
 
     def search(self, terms: set[str]) -> list[tuple[int, float]]:
         """(item, score) of all items that score 1 or more for a set of terms, by block-max WAND."""
@@ -163,26 +182,36 @@ class Index:
         lengths = {len(s) for part in (item.whole, item.question, item.answer) for s in part}
         return {s for n in lengths for s in zip(*(words[k:] for k in range(n)))}
 
+    def reachable(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The passages in which the highest impacts of their terms add up to a threshold in some block of items."""
+        passage, at = spread_ranges(starts, ends - starts)
+        known = codes[at] >= 0
+        pairs = np.unique(passage[known] * len(self.terms) + codes[at][known])
+        passage, term = np.divmod(pairs, len(self.terms))
+        pair, cell = spread_ranges(self.first[term], self.held[term])
+        sums = np.bincount(passage[pair] * self.n_blocks + self.in_block[cell], weights=self.block_top[cell], minlength=len(starts) * self.n_blocks)
+        return np.flatnonzero(sums.reshape(len(starts), -1).max(axis=1) >= 1 - 1e-6)
+
     def matches(self, text: str | None) -> list[tuple]:
         """(item id, score, overlap, question overlap, answer overlap) of the items that a document holds, the best passage of each."""
         words = words_of(text)
         if not words or not self.items:
             return []
-        number, none = self.number.get, len(self.terms)
-        top = self.highest[np.array([number(w, none) for w in words])]
-        sums = np.concatenate([[0.0], np.cumsum(top)])
+        number = self.number.get
+        codes = np.array([number(w, -1) for w in words])
         starts = np.arange(0, max(1, len(words) - self.span), self.span)
         ends = np.minimum(starts + 2 * self.span, len(words))
         best: dict[int, tuple] = {}
-        # a passage whose terms' highest impacts don't add up to the threshold has no pivot at all
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= 1 - 1e-6):
-            passage = words[starts[k] : ends[k]]
-            for at, score in self.search(set(passage)):
-                item = self.items[at]
-                if shares := self.verify(item, self.present(passage, item)):
-                    row = (item.item_id, score * self.thresholds[at], *shares)
-                    if item.item_id not in best or row[2:] > best[item.item_id][2:]:
-                        best[item.item_id] = row
+        step = max(1, CELLS // self.n_blocks)
+        for at in range(0, len(starts), step):
+            for k in at + self.reachable(codes, starts[at : at + step], ends[at : at + step]):
+                passage = words[starts[k] : ends[k]]
+                for place, score in self.search(set(passage)):
+                    item = self.items[place]
+                    if shares := self.verify(item, self.present(passage, item)):
+                        row = (item.item_id, score * self.thresholds[place], *shares)
+                        if item.item_id not in best or row[2:] > best[item.item_id][2:]:
+                            best[item.item_id] = row
         return list(best.values())
 
 
