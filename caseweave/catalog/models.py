@@ -10,7 +10,7 @@ from caseweave.catalog.search import unit_table
 from caseweave.catalog.text import TOKENS_SQL, n_docs, tokens_of
 from caseweave.functions import text as tx
 from caseweave.operators import kernels, models, ordering, terms
-from caseweave.session import stage
+from caseweave.session import spread, stage
 
 
 def lsa_of(t, k=100):
@@ -191,10 +191,9 @@ def _(t):
 
 @query("string_kernel_pairs")
 def _(t):
-    turns = t.conversations.select("conv_id", "turn", "text")
-    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b"))
-    pairs = turns.join(following, ["conv_id", "turn"]).select(
-        F.col("conv_id").alias("id_a"), F.col("turn").alias("id_b"), F.col("text").alias("text_a"), "text_b"
-    )
+    """The most similar other sentence of every sentence of the documents that has candidates."""
+    sentences = spread(t.documents).select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("i", "text"))
+    named = F.concat_ws(":", F.format_string("%010d", "doc_id"), F.format_string("%06d", "i"))
+    pairs = kernels.shingle_candidates(sentences.select(named.alias("id"), "text"), size=2, max_distance=0.6)
     scored = kernels.string_kernel_pairs(pairs)
-    return ordering.top_k_per_group(scored, ["id_a"], [F.desc("kernel"), F.col("id_b")], 1)
+    return ordering.top_k_per_group(scored, ["id_a"], [F.round("kernel", 9).desc(), F.col("id_b")], 1)

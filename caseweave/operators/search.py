@@ -14,6 +14,9 @@ from caseweave.functions import vectors as vec
 from caseweave.operators.ordering import top_k_per_group
 from caseweave.session import stage
 
+#: Rows of a term that one shard of a self-join holds.
+POSTINGS = 2000
+
 
 # --- sparse term weights ------------------------------------------------------------------------
 
@@ -88,9 +91,15 @@ def pairwise_doc_similarity(weights: DataFrame, min_sim: float) -> DataFrame:
     )
     cut = F.coalesce(F.max(F.when(F.col("rest") < bound, F.col("rest"))).over(row), F.lit(0.0))
     prefix = stage(ranked.withColumn("cut", cut).where(F.col("rest") >= bound).select("doc_id", "term", "w", "cut"))
-    a, b = prefix.alias("a"), prefix.alias("b")
+    # a term of many rows is cut into shards, and every pair of shards is a key of its own
+    shards = prefix.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / POSTINGS).cast("int").alias("shards"))
+    placed = prefix.join(shards, "term").withColumn("own", F.pmod(F.xxhash64("doc_id"), "shards").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    a = placed.withColumn("right", other).withColumnRenamed("own", "left").alias("a")
+    b = placed.withColumn("left", other).withColumnRenamed("own", "right").alias("b")
+    cell = (F.col("a.left") == F.col("b.left")) & (F.col("a.right") == F.col("b.right"))
     candidates = (
-        a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+        a.join(b, (F.col("a.term") == F.col("b.term")) & cell & (F.col("a.doc_id") < F.col("b.doc_id")))
         .groupBy(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"))
         .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("shared"), F.max(F.greatest("a.cut", "b.cut")).alias("cut"))
         .where(F.col("shared") + F.col("cut") >= min_sim - 1e-9)

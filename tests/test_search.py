@@ -189,3 +189,19 @@ def test_forest_proximity(spark):
     own = {r.id: r.proximity for r in models.rf_group_proximity(leaves, df.select("id", "group"), 10).collect()}
     expected = sum(p for i, p in to_first.items() if i and i % 2 == 0) / 29
     assert own[0] == pytest.approx(expected)
+
+
+def test_shingle_candidates(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [("a", base), ("b", base + " eleven"), ("c", base), ("d", "quite another text of other words"), ("e", ""), ("f", None), ("g", "short")]
+    got = kernels.shingle_candidates(spark.createDataFrame(rows, "id STRING, text STRING")).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == [("a", "b"), ("b", "a")]
+
+
+def test_pairs_with_cut_postings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(d, f"t{t}", float(rng.random())) for d in range(40) for t in rng.choice(12, 5, replace=False)]
+    weights = terms.l2_normalize(spark.createDataFrame(rows, "doc_id LONG, term STRING, w DOUBLE"))
+    whole = sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect())
+    monkeypatch.setattr(search, "POSTINGS", 3)
+    assert sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect()) == whole and whole
