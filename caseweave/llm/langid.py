@@ -133,7 +133,7 @@ class Predictor:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, calibrated score)."""
         words = words_of(text)
-        if not words:
+        if not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         total = np.zeros(self.table.shape[1], np.float64)
         for at in range(0, len(words), 1 << 16):

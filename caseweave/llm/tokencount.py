@@ -23,6 +23,11 @@ from pyspark.sql import types as T
 from caseweave.llm.batches import Memo, with_columns
 
 
+# Lower-case forms in which the library differs from Python. A sigma has one form whatever follows it, and
+# two capitals are newer than Python's tables.
+LOWER = [("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b")]
+
+
 def byte_symbols() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte: itself, or the next one from U+0100."""
     shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
@@ -80,8 +85,11 @@ class PairCounter:
 
     def _count_plain(self, text: str) -> int:
         memo = self.memo
-        # the sigma has one lower-case form here, whatever follows it
-        return sum([memo[w] for w in self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())])
+        plain = unicodedata.normalize("NFC", text)
+        if not plain.isascii():
+            for capital, small in LOWER:
+                plain = plain.replace(capital, small)
+        return sum([memo[w] for w in self.words(plain.lower())])
 
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""

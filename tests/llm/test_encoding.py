@@ -13,7 +13,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PAIRS = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", " ", "  a", "\n\n x\t\t y ", "▁a▁▁ b", "é é 𝔘 日本語テキスト　漢字", "a" * 999, " " * 100, "!" * 77 + "===--->>>", "<s></s><unk><0x0A>",
-    "a\x00b", "ﬁ½İ ΑΣ Σς ẞ", "the" * 3000, "0123456789" * 33, "<|endoftext|>it's<|startoftext|>", "<|ENDOFTEXT|", "word " * 30_000,
+    "a\x00b", "ﬁ½İ ΑΣ Σς ẞ", "the" * 3000, "0123456789" * 33, "<|endoftext|>it's<|startoftext|>", "<|ENDOFTEXT|", "word " * 30_000, "ꟋꟜ ꟊ Ɤ ΣΑΣ",
 ]
 texts = st.lists(st.sampled_from(list("abcdethinron  .,\n'éß\t▁<>s/0123456789|") + ["the", "tion", "日", "🙂", "́"]), max_size=80).map("".join)
 

@@ -83,7 +83,7 @@ def test_languages(spark):
     rows = [("the thing of other reason", "en"), ("der die und ist nicht", "de")] * 30 + [("words without a language", None)]
     model = langid.learn(spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string"))
     assert model.languages == ["de", "en"]
-    odd = [(1, None), (2, ""), (3, "12 !? \n"), (4, "die und der nicht"), (4, "die und der nicht"), (5, "The Thing " * 70_000)]
+    odd = [(1, None), (2, ""), (3, "12 !? \n ½ ²"), (4, "die und der nicht"), (4, "die und der nicht"), (5, "The Thing " * 70_000)]
     got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame([(*o, "x") for o in odd], "doc_id long, text string, score string"), model).collect()}
     assert all(tuple(got[k])[2:] == ("und", 0.0, True) for k in (1, 2, 3)) and got[4]["lang_pred"] == "de" and got[5]["lang_pred"] == "en"
     assert all(0 <= r["score"] <= 1 for r in got.values())
