@@ -27,6 +27,17 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def worker_model(name, build: Callable):
+    """The model of that name in this Python worker, built when it is first asked for. A worker holds one model at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice stay near SLICE_BYTES."""
     column = batch.column(batch.schema.get_field_index(text))

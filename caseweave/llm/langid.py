@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.batches import Memo, with_columns
+from caseweave.llm.batches import Memo, with_columns, worker_model
 
 BUCKETS, WIDTH = 1 << 15, 16
 LANGUAGES, PER_LANGUAGE = 64, 150
@@ -119,7 +119,7 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 class Predictor:
     """The model in a worker: a table of scores per word that grows to ``limit`` rows and starts again."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit = model, limit
         self.table = np.zeros((limit + 1, len(model.languages) + 1), np.float32)
         self.rows = Memo(self._add, limit)
@@ -146,15 +146,9 @@ class Predictor:
         return self.model.languages[best], float(p[best])
 
 
-_ready: dict[str, Predictor] = {}
-
-
 def worker_predictor(model: Model) -> Predictor:
     """The predictor of a model, made once per Python worker."""
-    if model.name not in _ready:
-        _ready.clear()
-        _ready[model.name] = Predictor(model)
-    return _ready[model.name]
+    return worker_model(("languages", model.name), lambda: Predictor(model))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -16,7 +16,6 @@ Null texts count as empty; empty texts have no ids and decode to the empty text.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -26,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caseweave.llm.batches import Memo, with_columns
+from caseweave.llm.batches import Memo, with_columns, worker_model
 
 SPACE = "▁"
 NEVER = float("inf")
@@ -35,7 +34,7 @@ NEVER = float("inf")
 class PieceCodec:
     """Encoder over the pieces of a BPE model file with identity normalisation and byte fallback; decoding is the library's."""
 
-    def __init__(self, model_file: str, memo_parts: int = 400_000, memo_pairs: int = 1_000_000):
+    def __init__(self, model_file: str, memo_parts: int = 300_000, memo_pairs: int = 400_000):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         probe = " a  b½ﬁ "
         if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
@@ -127,10 +126,9 @@ class PieceCodec:
         return self.library.decode(ids)
 
 
-@lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
-    """One codec per Python worker and file."""
-    return PieceCodec(model_file)
+    """The codec of a file, made once per Python worker."""
+    return worker_model(("pieces", model_file), lambda: PieceCodec(model_file))
 
 
 def encode_decode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:

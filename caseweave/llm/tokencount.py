@@ -14,13 +14,12 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caseweave.llm.batches import Memo, with_columns
+from caseweave.llm.batches import Memo, with_columns, worker_model
 
 
 # Lower-case forms in which the library differs from Python. A sigma has one form whatever follows it, and
@@ -99,10 +98,9 @@ class PairCounter:
         return len(parts) - 1 + sum(self._count_plain(p) for p in parts)
 
 
-@lru_cache(maxsize=2)
 def counter(vocabulary_file: str) -> PairCounter:
-    """One counter per Python worker and file."""
-    return PairCounter(vocabulary_file)
+    """The counter of a file, made once per Python worker."""
+    return worker_model(("pairs", vocabulary_file), lambda: PairCounter(vocabulary_file))
 
 
 def count_tokens(docs: DataFrame, vocabulary_file: str, text: str = "text") -> DataFrame:
