@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseweave.adapters import vectors
 from caseweave.catalog.registry import query
 from caseweave.catalog.search import unit_table
-from caseweave.catalog.text import TOKENS_SQL, n_docs, tokens_of
+from caseweave.catalog.text import TOKENS_SQL, n_docs, sentiment_of, tokens_of
 from caseweave.functions import text as tx
 from caseweave.operators import kernels, models, ordering, terms
 from caseweave.session import spread, stage
@@ -160,9 +160,10 @@ def _(t):
     heads = t.documents.select("doc_id", tx.tokenize(first).alias("tokens"))
     head_weights = weights.join(terms.term_freq(heads).select("doc_id", "term"), ["doc_id", "term"], "left_semi")
     numbered = models.numbered_terms(weights.select("term").distinct())
-    return models.two_level_clusters(
+    found = models.two_level_clusters(
         models.sparse_vectors(head_weights, numbered, docs=t.documents), models.sparse_vectors(weights, numbered, docs=t.documents)
     )
+    return found.join(sentiment_of(t).withColumnRenamed("score", "sentiment"), "doc_id")
 
 
 @query("term_clusters")

@@ -157,11 +157,8 @@ def _(t):
     FROM n JOIN o a ON a.rn = floor(r) JOIN o b ON b.rn = floor(r) + 1""",
 )
 def _(t):
-    parts = [
-        ordering.percentile_r6(t.orders, "o_totalprice", p).select(F.lit(p).alias("pct"), F.round("percentile", 4).alias("percentile"))
-        for p in (25, 90)
-    ]
-    return parts[0].unionByName(parts[1])
+    found = ordering.percentiles_r6(t.orders, "o_totalprice", [25, 90])
+    return found.select(F.col("percent").alias("pct"), F.round("percentile", 4).alias("percentile"))
 
 
 @query(

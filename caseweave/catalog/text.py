@@ -401,6 +401,14 @@ def _(t):
     return summaries.summarize_docs(t.documents, weights).withColumn("score", F.round("score", 6))
 
 
+def sentiment_of(t):
+    """Sentiment of the documents by the words of even test items less those of odd ones."""
+    words = t.benchmark.select("item_id", F.explode(tx.tokenize(F.col("text"))).alias("word"))
+    positive = words.where("item_id % 2 = 0").select("word").distinct()
+    negative = words.where("item_id % 2 = 1").select("word").distinct()
+    return summaries.sentiment_score(tokens_of(t), positive, negative)
+
+
 @query(
     "sentiment_score",
     rf"""WITH {TOKENS_SQL},
@@ -411,7 +419,4 @@ def _(t):
       (SELECT doc_id, sign FROM tf JOIN lex USING (term)) h ON h.doc_id = d.doc_id GROUP BY 1""",
 )
 def _(t):
-    words = t.benchmark.select("item_id", F.explode(tx.tokenize(F.col("text"))).alias("word"))
-    positive = words.where("item_id % 2 = 0").select("word").distinct()
-    negative = words.where("item_id % 2 = 1").select("word").distinct()
-    return summaries.sentiment_score(tokens_of(t), positive, negative)
+    return sentiment_of(t)

@@ -62,18 +62,22 @@ def assign_dense_ids(df: DataFrame, value: str, name: str = "id") -> DataFrame:
     return positions(values, [], [F.col(value)], name)
 
 
+def percentiles_r6(df: DataFrame, value: str, percents: Sequence[float]) -> DataFrame:
+    """(percent, percentile): values at rank (p/100)(n+1) with linear interpolation, clamped to the first and last; one sort for all."""
+    ranked = stage(positions(df.where(F.col(value).isNotNull()).select(value), [], [F.col(value)]))
+    wanted = ranked.agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"))
+    at = F.col("percent") / 100.0 * (F.col("n") + 1.0)
+    inside = lambda rank: F.greatest(F.lit(1), F.least("n", rank)).cast("long")
+    bounds = wanted.select("percent", at.alias("at"), inside(F.floor(at)).alias("low"), inside(F.floor(at) + 1).alias("high"))
+    low = ranked.select(F.col("position").alias("low"), F.col(value).alias("a"))
+    high = ranked.select(F.col("position").alias("high"), F.col(value).alias("b"))
+    between = F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))
+    return bounds.join(low, "low").join(high, "high").select("percent", between.alias("percentile"))
+
+
 def percentile_r6(df: DataFrame, value: str, percent: float) -> DataFrame:
-    """Percentile at rank (p/100)(n+1) with linear interpolation, clamped to the first and last value."""
-    ranked = positions(df.where(F.col(value).isNotNull()).select(value), [], [F.col(value)])
-    n = ranked.agg(F.count(F.lit(1))).scalar()
-    at = F.lit(percent) / 100.0 * (n + 1.0)
-    low = F.greatest(F.lit(1), F.least(n, F.floor(at)))
-    high = F.greatest(F.lit(1), F.least(n, F.floor(at) + 1))
-    picked = ranked.where(F.col("position").isin(1) | (F.col("position") == low) | (F.col("position") == high))
-    pick = lambda pos: F.max(F.when(F.col("position") == pos, F.col(value)))
-    return picked.agg(
-        (pick(low) + (at - F.floor(at)) * (pick(high) - pick(low))).alias("percentile")
-    )
+    """One percentile as ``percentiles_r6`` gives it."""
+    return percentiles_r6(df, value, [percent]).select("percentile")
 
 
 def prune_weak_edges(edges: DataFrame, weight: str = "weight", fraction: float = 0.5) -> DataFrame:
