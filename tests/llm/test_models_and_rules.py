@@ -61,7 +61,7 @@ def test_model_equals_its_definition(spark):
         assert math.isclose(scored[t]["nll"], want, rel_tol=1e-4, abs_tol=1e-6) and scored[t]["n_predicted"] == (len(t) + 1 if t else 0)
 
 
-def test_classifier(spark):
+def test_classifier(spark, monkeypatch):
     draw = random.Random(3)
     words = ["the", "of", "and", "thing", "other", "inner", "reed", "stone"]
     good = lambda n: " ".join(draw.choice(words) for _ in range(n))
@@ -73,6 +73,8 @@ def test_classifier(spark):
     assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "perplexity", "kept"])
     kept = {(r["doc_id"], r["text"]): r["kept"] for r in got.collect()}
     assert sum(not kept[r[0], r[1]] for r in rows[:300]) <= 6 and not any(kept[r[0], r[1]] for r in rows[300:332]) and kept[None, rows[332][1]]
+    monkeypatch.setattr(quality, "SENT_IDS", 0)  # documents and labels by a shuffle
+    assert {(r["doc_id"], r["text"]): r["kept"] for r in quality.classify(docs, labels).collect()} == kept
     assert {r["doc_id"] for r in quality.classify(docs, labels.limit(0)).filter("not kept").collect()} == {400, 401}
     assert quality.classify(docs.limit(0), labels).count() == 0
 
