@@ -118,8 +118,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-k AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
-v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS times FROM k),
+k AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i,
+  unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS part FROM w WHERE len(words) >= 5),
+v AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, part) AS times FROM k),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM v WHERE times > 1) GROUP BY doc_id),
 m AS (
   SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
