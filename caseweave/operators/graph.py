@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from caseweave.operators.ordering import positions
@@ -49,8 +49,9 @@ def weighted_page_rank(
             F.coalesce("more", F.lit(0.0)).alias("delta"),
             F.col("more").isNotNull().alias("got"),
         )
-        ranks = stage(ranks)
-        if iterations is None and ranks.where(F.col("got") & (F.col("delta") > tol)).isEmpty():
+        seen = Observation()  # counted while the table is written
+        ranks = stage(ranks.observe(seen, F.count_if(F.col("got") & (F.col("delta") > (0.0 if tol is None else tol))).alias("open")))
+        if iterations is None and not seen.get["open"]:
             break
     else:
         if iterations is None:
@@ -187,8 +188,9 @@ def spread_from_failed(
             "id", F.coalesce("time", "reached").alias("time"),
             F.when(F.col("time").isNotNull(), F.col("round")).when(F.col("reached").isNotNull(), F.lit(i)).alias("round"),
         )
-        state = stage(state)
-        if rounds is None and state.where(F.col("round") == i).isEmpty():
+        seen = Observation()
+        state = stage(state.observe(seen, F.count_if(F.col("round") == i).alias("reached")))
+        if rounds is None and not seen.get["reached"]:
             break
     else:
         if rounds is None:
