@@ -11,6 +11,8 @@ The threshold is an item's own BM25 score less its largest term scores, as many
 ``similarity`` of its shingles is present; so no passage that would pass the check is lost. Impacts are divided by it,
 which makes it 1 for all items. A retrieved pair is checked: the share of the item's shingles (``size`` words, lower case)
 that the passage holds must reach ``similarity``, and at least half of the question's and of the answer's must be there.
+One changed word takes most shingles of a short part; so a part of which fewer are there counts by the share of its words
+that stand in order where the item's other shingles place it, and half of these must be there.
 
 Items are few beside the corpus but not bounded, so the index is built over blocks of items of at most
 ``INDEX_BYTES`` of text, sent one at a time; a block is a pass over the documents. Document frequencies are taken over
@@ -70,9 +72,20 @@ def spread_ranges(first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, n
     return of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + first[of]
 
 
+def in_order(part: list[str], stretch: list[str]) -> int:
+    """How many words of ``part`` occur in ``stretch`` in this order (longest common subsequence)."""
+    counts = [0] * (len(stretch) + 1)
+    for word in part:
+        before = 0
+        for k, other in enumerate(stretch, 1):
+            before, counts[k] = counts[k], before + 1 if word == other else max(counts[k], counts[k - 1])
+    return counts[-1]
+
+
 class Item(NamedTuple):
     item_id: int
     words: list[str]
+    n_question: int
     question: set
     answer: set
     whole: set
@@ -89,7 +102,7 @@ class Index:
             if not words:
                 continue
             question, answer = question_answer(text)
-            item = Item(item_id, words, shingles(question, size), shingles(answer, size), shingles(words, size))
+            item = Item(item_id, words, len(question), shingles(question, size), shingles(answer, size), shingles(words, size))
             norm = k1 * (1 - b + b * len(words) / mean_words)
             impact = {}
             for term, tf in Counter(words).items():
@@ -171,16 +184,36 @@ class Index:
         while x[0] < len(x[1]) and x[1][x[0]] < item:
             x[0] += 1
 
-    def verify(self, item: Item, present: set) -> tuple[float, float, float] | None:
-        """(overlap, of the question, of the answer) if a passage with these shingles holds the item."""
-        share = lambda part: len(part & present) / len(part) if part else 1.0
+    def verify(self, item: Item, present: tuple[set, list[str]]) -> tuple[float, float, float] | None:
+        """(overlap, of the question, of the answer) if a passage with these shingles and words holds the item."""
+        held, passage = present
+        share = lambda part: len(part & held) / len(part) if part else 1.0
         overlap, question, answer = share(item.whole), share(item.question), share(item.answer)
-        return (overlap, question, answer) if overlap >= self.similarity and min(question, answer) >= 0.5 else None
-
-    def present(self, words: list[str], item: Item) -> set:
-        """Shingles of a passage in all lengths that the item's parts have."""
+        if overlap < self.similarity:
+            return None
+        if question < 0.5:
+            question = max(question, self.aligned(item, passage, 0, item.n_question))
+        if answer < 0.5:
+            answer = max(answer, self.aligned(item, passage, item.n_question, len(item.words)))
+        return (overlap, question, answer) if min(question, answer) >= 0.5 else None
+
+    def aligned(self, item: Item, passage: list[str], start: int, end: int) -> float:
+        """The share of the item's words from start to end that stand in order near where its shingles place them."""
+        size = min(self.size, len(item.words))
+        cut = lambda words: zip(*(words[k:] for k in range(size)))
+        places = defaultdict(list)
+        for k, s in enumerate(cut(passage)):
+            if s in item.whole:
+                places[s].append(k)
+        offsets = {p - k for k, s in enumerate(cut(item.words)) for p in places.get(s, ())}
+        slack = min(len(item.whole) - len(places), end - start)
+        stretch = lambda at: passage[max(0, at + start - slack) : max(0, at + end + slack)]
+        return max((in_order(item.words[start:end], stretch(at)) for at in offsets), default=0) / (end - start)
+
+    def present(self, words: list[str], item: Item) -> tuple[set, list[str]]:
+        """Shingles of a passage in all lengths that the item's parts have, and its words."""
         lengths = {len(s) for part in (item.whole, item.question, item.answer) for s in part}
-        return {s for n in lengths for s in zip(*(words[k:] for k in range(n)))}
+        return {s for n in lengths for s in zip(*(words[k:] for k in range(n)))}, words
 
     def reachable(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The passages in which the highest impacts of their terms add up to a threshold in some block of items."""
