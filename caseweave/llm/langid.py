@@ -3,7 +3,8 @@
 A word, lowered and set between marks, gives its subwords of 2 to 4 characters and itself, each hashed to one of
 ``BUCKETS`` embeddings. A text is the mean of its subwords' embeddings, and a linear softmax over it gives a probability
 per language. Both layers are trained by stochastic gradient descent in numpy on lines of a bounded sample of labelled
-documents (``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent languages, drawn by hash). A part of the
+documents (about ``PER_LANGUAGE`` documents of every language, drawn by hash; fewer where all languages would exceed
+``SAMPLE`` documents or ``SAMPLE_BYTES``). No language is left out: where the sample can't hold all, it is an error. A part of the
 sample is held back: on it a temperature is chosen that gives the most likely scores, and the score below which a
 prediction is rejected (``reject_share`` of the held-back lines fall below it).
 
@@ -30,7 +31,10 @@ from pyspark.sql import types as T
 from caseweave.llm.batches import Memo, with_columns, worker_model
 
 BUCKETS, WIDTH = 1 << 15, 16
-LANGUAGES, PER_LANGUAGE = 64, 150
+PER_LANGUAGE, LEAST_PER_LANGUAGE = 150, 20
+SAMPLE, SAMPLE_BYTES = 9600, 256 << 20
+#: Scores that a worker's table of words holds, but 70,000 words at least.
+CELLS = 20 << 20
 UNDETERMINED = "und"
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -105,21 +109,29 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, held_sh
 
 
 def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fit on a bounded sample of ``labelled``: at most about PER_LANGUAGE documents per language, drawn by a hash of their id."""
+    """Fit on a bounded sample of ``labelled`` with every language that has a text with letters, drawn by a hash of the ids."""
     named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("langid")).alias("h"))
-    rows = named.filter("lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = named.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    limit = SAMPLE // LEAST_PER_LANGUAGE
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("lang").limit(limit + 1).collect()
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
-    drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).filter("text is not null")
-    return fit(sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").toLocalIterator()))
+    if len(sizes) > limit:
+        raise ValueError(f"more than {limit} languages: raise SAMPLE, so that each has {LEAST_PER_LANGUAGE} documents")
+    each = min(PER_LANGUAGE, SAMPLE // len(sizes))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["n"], SAMPLE_BYTES / len(sizes) / r["bytes"]))])
+    drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    sample = sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").toLocalIterator())
+    if missing := {r["lang"] for r in sizes} - {lang for _, lang in sample}:
+        raise ValueError(f"no document drawn of the languages {sorted(missing)}")
+    return fit(sample)
 
 
 class Predictor:
     """The model in a worker: a table of scores per word that grows to ``limit`` rows and starts again."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int | None = None):
+        limit = limit or max(70_000, min(300_000, CELLS // (len(model.languages) + 1)))
         self.model, self.limit = model, limit
         self.table = np.zeros((limit + 1, len(model.languages) + 1), np.float32)
         self.rows = Memo(self._add, limit)
