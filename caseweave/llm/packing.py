@@ -18,44 +18,68 @@ before a space, so a very long text needs little memory; an id run of a document
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from caseweave.llm.batches import slices, worker_model
+from caseweave.llm.tokencount import byte_symbols
 from caseweave.session import stage
 
-#: Characters of a part that are kept in the memo of a worker, and bytes of ids and keys that the memo holds.
-PART_CHARS, MEMO_BYTES = 48, 96 << 20
+#: Characters of a part that are kept in the memo of a worker, and bytes of ids and keys after which the memo starts again.
+PART_CHARS, MEMO_BYTES = 48, 192 << 20
+#: Parts that one call of the merger gets.
+JOINED = 20_000
 # No byte-level token spans the place before a space that a visible character follows; these ranges are visible in every version.
 _ranges = [(0x21, 0x7E), (0xA1, 0x167F), (0x1681, 0x180D), (0x180F, 0x1FFF), (0x2C00, 0x2FFF), (0x3001, 0xD7FF)]
 VISIBLE = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _ranges) + "]"
 _before_word = re.compile(f"(?= {VISIBLE})")
+_control = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]").search
 _odd_space = re.compile(f" (?!{VISIBLE})")
 
 
-class Encoder:
-    """Ids of texts by a vocabulary file of the tokenizers library, as little-endian 32-bit numbers.
+class Encoder(dict):
+    """Ids of texts by a byte-level vocabulary file of the tokenizers library, as little-endian 32-bit numbers.
 
-    Parts between spaces that occur again are looked up; the library encodes the others in one call per list of texts.
+    Texts are cut before spaces. Parts of ASCII letters and signs, on which both libraries agree, are merged by tiktoken with
+    the ranks of the same file, and all others by tokenizers. Short parts that occur again are looked up.
     """
 
     def __init__(self, vocabulary_file: str):
-        from tokenizers import Tokenizer
-
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(vocabulary_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.plain = 0, None
+        with open(vocabulary_file, encoding="utf-8") as f:
+            parts = json.load(f)
+        model, before = parts["model"], parts["pre_tokenizer"]
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        special = [t["content"] for t in parts["added_tokens"]]
+        ranks = {bytes(byte[c] for c in s): i for s, i in model["vocab"].items() if s not in special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        first = len(ranks) - len(pairs)
+        in_order = all(model["vocab"][a + b] == first + k for k, (a, b) in enumerate(pairs))
+        usual = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and parts["normalizer"] is None
+        if in_order and usual and all("<" in s for s in special):
+            self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            for word, i in ranks.items():
+                self.sizes[i] = len(word)
+            self.plain = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -65,25 +89,41 @@ class Encoder:
             return [first, *[" " + p for p in others]]
         return _before_word.split(text)
 
+    def is_plain(self, part: str) -> bool:
+        return self.plain is not None and part.isascii() and "<" not in part and not _control(part)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.plain.encode_ordinary(part) if self.is_plain(part) else self.tokenizer.encode(part, add_special_tokens=False).ids
+        found = array("I", ids).tobytes()
+        self.keep(part, found)
+        return found
+
+    def keep(self, part: str, found: bytes) -> None:
+        if len(part) <= PART_CHARS:
+            self.held += 160 + 4 * len(part) + len(found)
+            self[part] = found
+
+    def learn(self, parts: list[str]) -> None:
+        """Keep the ids of many plain parts that begin with a space, from one call on all of them in a row."""
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            ids = np.array(self.plain.encode_ordinary("".join(some)), "<u4")
+            upto = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in some])) + 1)
+            data, start = ids.tobytes(), 0
+            for part, end in zip(some, upto.tolist(), strict=True):
+                self.keep(part, data[start:end])
+                start = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) if t else [] for t in texts]
-        memo, fresh = self.memo, {}
-        unknown = list({p for parts in cut for p in parts if p and p not in memo})
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[part] = np.array(found.ids, "<u4").tobytes()
-        fresh[""] = b""
-        known = lambda p: fresh[p] if p in fresh else memo[p]
-        out = [b"".join(map(known, parts)) for parts in cut]
-        for part, ids in fresh.items():
-            if len(part) <= PART_CHARS:
-                self.held += 160 + 4 * len(part) + len(ids)
-                if self.held > MEMO_BYTES:
-                    memo.clear()
-                    self.held = 0
-                memo[part] = ids
-        return out
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.update({"": b""})
+            self.held = 0
+        cut = [self.parts(t) for t in texts]
+        if self.plain is not None:
+            fresh = set(chain.from_iterable(cut)) - self.keys()
+            self.learn([p for p in fresh if len(p) <= PART_CHARS and p[0] == " " and self.is_plain(p)])
+        return [b"".join(map(self.__getitem__, parts)) for parts in cut]
 
 
 def pieces(docs: DataFrame, vocabulary_file: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,9 +9,10 @@ What has reached the threshold, and after which scan, stands in a table of ``1 <
 tasks; it is the only thing that does, and it doesn't grow with the data. A phrase is looked up by a hash. Phrases that
 share a slot may become active earlier than they must, which costs work and changes no count: a start is a fixed function
 of the table, as a slot keeps the first scan written into it. Tasks count in numpy over blocks of words; counts of a
-phrase meet in one aggregation with partial sums, so a phrase or a language that holds most words is a few rows per task.
+phrase meet in one aggregation, so a phrase or a language that holds most words is a few rows per task. Phrases that have
+had their cycle take no part in later scans, and what a scan leaves is written before its shuffle is given up.
 
-Null texts are empty and have no words; a null language is ``und``. Repeated rows count as often as they are there. A
+Null texts are empty and have no words; a null language is ``und``; a line break in its name counts as a space. Repeated rows count as often as they are there. A
 document is cut into words in one task, and blocks of words bound the memory beside it. An empty table gives an empty
 result. Columns other than the text and the language are left out.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseweave.llm.batches import slices
-from caseweave.session import fresh_path, stage
+from caseweave.session import fresh_path, release, stage
 
 #: Words of a block that a task counts at once, and words and their bytes after which a task forgets its numbering.
 BLOCK, WORDS, WORD_BYTES = 1 << 21, 1 << 19, 64 << 20
@@ -39,6 +40,10 @@ ROWS = 1 << 18
 #: Parts into which a language is dealt before its best phrases are ranked.
 SALTS = 64
 NEVER = 255
+MASK = (1 << 64) - 1
+#: The character of the number 0 in a key, and the characters of the first scans.
+ZERO = 32
+STARTS = np.array([bytes([ZERO + k]) for k in range(95)], object)
 _letters = bytes(range(65, 91)), bytes(range(97, 123))
 _prepare = bytes.maketrans(_letters[0] + b".,;:!?\x0b\x0c\r\t", _letters[1] + b"\n" * 9 + b" ")
 
@@ -85,12 +90,12 @@ class Task:
         return self.held > BLOCK or len(self.words) > WORDS or self.bytes > WORD_BYTES
 
     def count(self) -> Iterator[pa.RecordBatch]:
-        """The counts of what was added, as batches (lang, phrase, words, slot, start, n)."""
+        """The counts of what was added, as batches (key, n)."""
         if not self.blocks:
             return
         ids = np.concatenate(self.blocks)
         self.blocks, self.held = [], 0
-        vocabulary, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string())
+        vocabulary, langs = pa.array(self.words, pa.binary()), pa.array([f"{x}\n".encode() for x in self.langs], pa.binary())
         first = np.frombuffer(self.hashes, np.uint64)[ids]
         valid, hashed, code = ids > 0, first, ids
         start = np.zeros(len(ids), np.int64)
@@ -113,20 +118,44 @@ class Task:
             for a in range(0, len(kept), ROWS):
                 rows, some = kept[a : a + ROWS], n[a : a + ROWS]
                 parts = [vocabulary.take(pa.array(ids[rows + j])) for j in range(k)]
+                marks = [pa.scalar(bytes([ZERO + k])).cast(pa.binary()), pa.array(STARTS[start[rows]], pa.binary()), langs.take(pa.array(ids[rows]))]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        langs.take(pa.array(ids[rows])), phrase.cast(pa.string()), pa.array(np.full(len(rows), k, np.int32)),
-                        pa.array(slot[rows].astype(np.int64)), pa.array(start[rows].astype(np.int32)), pa.array(some.astype(np.int64)),
-                    ],
-                    names=["lang", "phrase", "words", "slot", "start", "n"],
-                )
+                key = pc.binary_join_element_wise(*marks, phrase, b"")
+                yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(some.astype(np.int64))], names=["key", "n"])
         if len(self.words) > WORDS or self.bytes > WORD_BYTES:
             self.forget()
 
 
+def hashes(words: list[bytes], seed: int) -> Iterator[int]:
+    """The hash of the first word, of the first two, and so on."""
+    hashed = 0
+    for k, word in enumerate(words):
+        own = xxhash.xxh64_intdigest(word, seed)
+        hashed = own if k == 0 else (hashed * 0x9E3779B97F4A7C15 + own) * 0xD6E8FEB86659FD93 & MASK
+        yield hashed
+
+
+def slot_of(key: str, slot_bits: int) -> int:
+    lang, phrase = key[2:].split("\n", 1)
+    *_, hashed = hashes(phrase.encode().split(b" "), xxhash.xxh64_intdigest(lang, 42))
+    return (hashed * 0xFF51AFD7ED558CCD & MASK) >> 64 - slot_bits
+
+
+def slots_of(keys: DataFrame, slot_bits: int) -> DataFrame:
+    """(slot) of phrases by their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([slot_of(k, slot_bits) for k in batch.column(0).to_pylist()], pa.int32())], names=["slot"])
+
+    return keys.select("key").mapInArrow(run, "slot int")
+
+
 def count_scan(shard: DataFrame, table: np.ndarray, scan: int, shards: int, max_words: int) -> DataFrame:
-    """(lang, phrase, words, slot, start, n): counts of the phrases that are active in this scan, one row per task block."""
+    """(key, n): counts of the phrases that are active in this scan, one row per task block.
+
+    A key is the number of words, the first scan, the language and the phrase; the first two are a character each.
+    """
     sent = shard.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,48 +172,59 @@ def count_scan(shard: DataFrame, table: np.ndarray, scan: int, shards: int, max_
                     yield from task.count()
         yield from task.count()
 
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, slot long, start int, n long")
+    return shard.select("lang", "text").mapInArrow(run, "key string, n long")
 
 
 def deal(docs: DataFrame, shards: int, text: str, lang: str) -> str:
     """Write (lang, text) of all rows with a text to a folder of shards."""
     path = fresh_path(docs.sparkSession, "shards")
-    own = F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
+    own = F.regexp_replace(F.coalesce(F.col(lang).cast("string"), F.lit("und")), "\n", " ").alias("lang")
     rows = docs.select(own, F.col(text).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    rows.where("text <> ''").write.partitionBy("shard").parquet(path)
+    rows.where("text <> ''").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path
 
 
+def part_of(key: str, which: str) -> F.Column:
+    """The number of words or the first scan that a key holds."""
+    return F.ascii(F.substring(key, 1 + ["words", "start"].index(which), 1)) - ZERO
+
+
 def count_phrases(
-    docs: DataFrame, least: int = 10, max_words: int = 3, shards: int = 3, slot_bits: int = 24, text: str = "text", lang: str = "lang"
+    docs: DataFrame, least: int = 10, max_words: int = 3, shards: int = 2, slot_bits: int = 24, text: str = "text", lang: str = "lang"
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, n) of all phrases found at least ``least`` times, (lang, n) with all words of a language)."""
-    if not 0 < shards * (max_words + 1) < NEVER:
-        raise ValueError(f"{shards} shards")
+    if not (shards > 0 and max_words > 0 and shards * (max_words + 1) < len(STARTS)):
+        raise ValueError(f"{shards} shards, {max_words} words")
     spark = docs.sparkSession
     path = deal(docs, shards, text, lang)
     schema = "lang string, text string, shard int"
     table = np.full(1 << slot_bits, NEVER, np.uint8)
-    totals = sizes = None
+    open_counts, finished, sizes = None, [], None
     scan, last = 0, shards - 1
+    name = F.substring_index(F.substring("key", 3, 1 << 30), "\n", 1).alias("lang")
     while scan <= last:
         shard = spark.read.schema(schema).parquet(path).where(F.col("shard") == scan % shards)
-        rows = count_scan(shard, table, scan, shards, max_words).withColumn("reach", F.lit(None).cast("int"))
-        if totals is not None:  # what has had its cycle and is rare goes
-            rows = rows.unionByName(totals.where((F.col("n") >= least) | (F.col("start") + shards > scan)))
-        summed = rows.groupBy("lang", "phrase").agg(
-            F.max("words").alias("words"), F.max("slot").alias("slot"), F.max("start").alias("start"), F.sum("n").alias("n"), F.min("reach").alias("reach")
-        )
-        totals = stage(summed.withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= least, scan))))
-        fresh = totals.where((F.col("reach") == scan) & (F.col("words") < max_words)).select(F.col("slot").cast("int").alias("slot")).distinct()
+        rows = count_scan(shard, table, scan, shards, max_words)
+        if open_counts is not None:
+            rows = rows.unionByName(open_counts)
+        summed = stage(rows.groupBy("key").agg(F.sum("n").alias("n")))
+        fresh = slots_of(summed.where((F.col("n") >= least) & (part_of("key", "words") < max_words)), slot_bits).distinct()
         slots = fresh.toArrow().column(0).to_numpy()  # at most one per entry of the table
-        if len(slots):
+        if (table[slots] > scan).any():
             table[slots] = np.minimum(table[slots], scan)
             last = max(last, scan + shards)
+        done = part_of("key", "start") + shards <= scan + 1
+        ended = summed.where(done & (F.col("n") >= least))
+        finished.append(stage(ended.select(name, F.expr("substr(key, instr(key, '\n') + 1)").alias("phrase"), part_of("key", "words").alias("words"), "n")))
         if scan == shards - 1:
-            sizes = stage(totals.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n")))
-        scan += 1
-    return totals.where(F.col("n") >= least).select("lang", "phrase", "words", "n"), sizes
+            sizes = stage(summed.where(part_of("key", "words") == 1).groupBy(name).agg(F.sum("n").alias("n")))
+        left = stage(summed.where(~done))
+        release(summed, open_counts)
+        open_counts, scan = left, scan + 1
+    found = finished[0]
+    for more in finished[1:]:
+        found = found.unionByName(more)
+    return found, sizes
 
 
 def subphrase(words: F.Column, start: F.Column, length: F.Column) -> F.Column:
@@ -217,7 +257,7 @@ def covered(counts: DataFrame) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, least: int = 10, max_words: int = 3, top: int = 2000, within_percent: int = 50, shards: int = 3, slot_bits: int = 24,
+    docs: DataFrame, least: int = 10, max_words: int = 3, top: int = 2000, within_percent: int = 50, shards: int = 2, slot_bits: int = 24,
     text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` best phrases of every language.
