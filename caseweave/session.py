@@ -59,6 +59,22 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*staged: DataFrame | None) -> None:
+    """Delete the folders of staged frames that nothing reads any more, and let go of the shuffles behind them.
+
+    Iterative jobs call it for a round's tables when the next round's are written, so their disk doesn't grow with the rounds.
+    """
+    for df in staged:
+        if df is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+                if "/stage-" in folder:
+                    path = jvm.org.apache.hadoop.fs.Path(folder)
+                    path.getFileSystem(conf).delete(path, True)
+    if kept := [df for df in staged if df is not None]:
+        kept[0].sparkSession._jvm.System.gc()  # the context drops the files of shuffles that are out of reach
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition an input of fewer splits than there are cores; a large one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
