@@ -178,12 +178,52 @@ def _(t):
     return models.hierarchical_clusters(models.dense_vectors(vectors(t.embeddings)), 4)
 
 
-@query("rf_proximity_pairs")
+@query("rf_group_proximity")
 def _(t):
     leaves = stage(models.rf_leaves(vectors(t.embeddings)))
     return models.rf_group_proximity(leaves, vectors(t.embeddings).select("id", F.col("label").alias("group")), 50)
 
 
+@query("rf_proximity_pairs")
+def _(t):
+    """Pairs that share at least three in ten of their leaves in the forest."""
+    leaves = stage(models.rf_leaves(vectors(t.embeddings)))
+    return models.rf_proximity_list(leaves, 50, 0.3)[0]
+
+
+STUMPS_SQL = """leaf AS (SELECT vec_id AS id, i AS tree, (CASE WHEN e[i + 1] > 0 THEN 4 ELSE 0 END) + (CASE WHEN e[(i + 7) % 64 + 1] > 0 THEN 2 ELSE 0 END)
+    + (CASE WHEN e[(i * 5 + 3) % 64 + 1] > 0 THEN 1 ELSE 0 END) AS leaf
+  FROM (SELECT vec_id, embedding AS e, unnest(range(40)) AS i FROM embeddings))"""
+
+
+def stump_leaves(t):
+    """Leaves of 40 fixed trees that ask for the sign of three entries each: a leaf table that SQL can make as well."""
+    sign = lambda at, value: F.when(F.col("vector")[at] > 0, value).otherwise(0)
+    cells = F.array(*[sign(i, 4) + sign((i + 7) % 64, 2) + sign((i * 5 + 3) % 64, 1) for i in range(40)])
+    return vectors(t.embeddings).select("id", F.posexplode(cells).alias("tree", "leaf"))
+
+
+@query(
+    "rf_proximity_pairs_fixed_trees",
+    f"""WITH {STUMPS_SQL}, profile AS (SELECT id, list(leaf ORDER BY tree) AS l FROM leaf GROUP BY id),
+    class AS (SELECT min(id) AS id, l FROM profile GROUP BY l), c AS (SELECT id, unnest(range(40)) AS tree, unnest(l) AS leaf FROM class)
+    SELECT a.id AS id_a, b.id AS id_b, round(count(*) / 40, 6) AS proximity FROM c a JOIN c b ON a.tree = b.tree AND a.leaf = b.leaf AND a.id < b.id
+    GROUP BY 1, 2 HAVING count(*) >= 16""",
+)
+def _(t):
+    return models.rf_proximity_list(stage(stump_leaves(t)), 40, 0.4)[0].withColumn("proximity", F.round("proximity", 6))
+
+
+@query(
+    "rf_leaf_classes",
+    f"""WITH {STUMPS_SQL}, profile AS (SELECT id, list(leaf ORDER BY tree) AS l FROM leaf GROUP BY id)
+    SELECT id, min(id) OVER (PARTITION BY l) AS class_id FROM profile""",
+)
+def _(t):
+    """Who shares every leaf: the membership that goes with the pairs of classes."""
+    return models.leaf_classes(stage(stump_leaves(t)))[0]
+
+
 @query("train_word_vectors")
 def _(t):
     words = models.train_word_vectors(tokens_of(t))

@@ -9,8 +9,8 @@ from caseweave.catalog.registry import query
 from caseweave.catalog.text import BOUND_SQL, STOP, STOP_SQL, TOKENS_SQL, n_docs, staged_tf, tf_of, tokens_of, vocabulary_of
 from caseweave.functions import text as tx
 from caseweave.functions import vectors as vec
-from caseweave.operators import clusters, relational, search, terms
-from caseweave.session import stage
+from caseweave.operators import clusters, postings, relational, search, terms
+from caseweave.session import fresh_path, stage
 
 QUERY_SQL = r""",
 qtf AS (SELECT item_id AS query_id, term, count(*) AS tf, any_value(len) AS doc_len FROM (
@@ -160,6 +160,33 @@ def _(t):
     return rounded(search.search_posts(query_tf(t), staged_tf(t)), "score", digits=5)
 
 
+def store_of(t):
+    """An index of the documents, added in two batches."""
+    tf, store = staged_tf(t), postings.PostingStore(t.spark, fresh_path(t.spark, "postings"), buckets=16)
+    store.add(tf.where("doc_id % 2 = 0"), "even")
+    store.add(tf.where("doc_id % 2 <> 0"), "odd")
+    return store
+
+
+@query("search_store", f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM hits")
+def _(t):
+    """The same search from a stored index."""
+    return rounded(store_of(t).search(query_tf(t), 100), "score", digits=5)
+
+
+SHORT_SQL = BM25_SQL.replace(
+    "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM benchmark",
+    "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')[1:3] AS t FROM benchmark",
+).replace("rank <= 100", "rank <= 10")
+
+
+@query("search_store_short", f"WITH {SHORT_SQL} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM hits")
+def _(t):
+    """The ten best documents for three words of each text, where most blocks needn't be read."""
+    first = t.benchmark.select(F.col("item_id").alias("doc_id"), F.slice(tx.tokenize(F.col("text")), 1, 3).alias("tokens"))
+    return rounded(store_of(t).search(terms.term_freq(first).withColumnRenamed("doc_id", "query_id"), 10), "score", digits=5)
+
+
 def word_embedding(t, tf):
     """A word table from the embedding rows: the most frequent terms take them in order."""
     from caseweave.operators.ordering import positions

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -216,8 +216,10 @@ def rf_leaves(vectors: DataFrame, trees: int = 50, seed: int = 11, max_depth: in
     fake = shuffled.select(F.transform("cells", lambda c: c["x"]).alias("vector"), F.lit(0.0).alias("label"))
     train = rows.select("vector", F.lit(1.0).alias("label")).unionByName(fake)
     train = train.select("label", array_to_vector("vector").alias("features")).persist()
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, leafCol="leaf").fit(train)
+    path = fresh_path(vectors.sparkSession, "forest")
+    RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, leafCol="leaf").fit(train).write().save(path)
     train.unpersist()
+    forest = RandomForestClassificationModel.load(path)  # without the training summary, which tasks can't be sent
     placed = forest.transform(rows.select(key, array_to_vector("vector").alias("features")))
     return placed.select(key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
 
@@ -240,6 +242,46 @@ def rf_group_proximity(leaves: DataFrame, groups: DataFrame, trees: int, key: st
     return sums.join(sizes, "group").where("size > 0").select(key, "group", (F.col("hits") / F.lit(trees) / F.col("size")).alias("proximity"))
 
 
+def leaf_classes(leaves: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """((key, class_id), (class_id, size, leaves)): rows that share every leaf are one class, named by its smallest key.
+
+    ``leaves`` of the second frame is the array of leaves in the order of the trees.
+    """
+    profile = F.transform(F.array_sort(F.collect_list(F.struct("tree", "leaf"))), lambda x: x["leaf"].cast("int"))
+    rows = stage(leaves.groupBy(key).agg(profile.alias("leaves")))  # one leaf per tree and row
+    classes = stage(rows.groupBy("leaves").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("size")))
+    members = rows.join(classes.select("leaves", "class_id"), "leaves").select(key, "class_id")
+    return members, classes.select("class_id", "size", "leaves")
+
+
+def rf_proximity_list(leaves: DataFrame, trees: int, least: float, key: str = "id", held: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """((id_a, id_b, proximity), (key, class_id)): all pairs of classes with a proximity of at least ``least``, and who is in a class.
+
+    Rows that share every leaf are one class, so a leaf full of equal rows gives no list of pairs. Classes are compared by
+    prefix filtering: of two classes that share t of T leaves, each has one of them among its T - t + 1 rarest. Only these
+    are joined; a leaf with more than ``held`` of them is cut into shards, and every pair of shards is a key of its own.
+    The candidates' leaves are then compared in order.
+    """
+    members, classes = leaf_classes(leaves, key)
+    share = max(1, int(np.ceil(least * trees - 1e-9)))
+    cells = classes.select("class_id", F.posexplode("leaves").alias("tree", "leaf"))
+    sizes = cells.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("rows"))
+    rare = F.slice(F.array_sort(F.collect_list(F.struct("rows", "tree", "leaf"))), 1, trees - share + 1)
+    prefix = cells.join(sizes, ["tree", "leaf"]).groupBy("class_id").agg(rare.alias("rare"))
+    held_rows = stage(prefix.select("class_id", F.explode("rare").alias("r")).select("class_id", "r.tree", "r.leaf"))
+    shards = held_rows.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / held).cast("int").alias("shards"))
+    placed = held_rows.join(shards, ["tree", "leaf"]).withColumn("own", F.pmod(F.xxhash64("class_id"), "shards").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    a = placed.select("tree", "leaf", F.col("class_id").alias("id_a"), F.col("own").alias("left"), other.alias("right"))
+    b = placed.select("tree", "leaf", F.col("class_id").alias("id_b"), F.col("own").alias("right"), other.alias("left"))
+    pairs = a.join(b, ["tree", "leaf", "left", "right"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    full = classes.select("class_id", "leaves")
+    both = pairs.join(full.select(F.col("class_id").alias("id_a"), F.col("leaves").alias("la")), "id_a")
+    both = both.join(full.select(F.col("class_id").alias("id_b"), F.col("leaves").alias("lb")), "id_b")
+    same = F.size(F.filter(F.zip_with("la", "lb", lambda x, y: x == y), lambda x: x))
+    return both.withColumn("same", same).where(F.col("same") >= share).select("id_a", "id_b", (F.col("same") / F.lit(trees)).alias("proximity")), members
+
+
 # --- word vectors -------------------------------------------------------------------------------
 
 
