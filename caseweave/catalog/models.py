@@ -13,10 +13,17 @@ from caseweave.operators import kernels, models, ordering, terms
 from caseweave.session import spread, stage
 
 
+_stored: dict = {}
+
+
 def lsa_of(t, k=100):
-    """Concepts of the 50,000 most frequent terms."""
-    vocabulary, weights = unit_table(t, 50_000)
-    return models.Lsa(weights, k), vocabulary, weights
+    """(model, vocabulary, weights) of the 50,000 most frequent terms; a session stores one model per folder and reads it from then on."""
+    key = (t.spark.sparkContext.applicationId, t.folder, k)
+    if key not in _stored:
+        vocabulary, weights = unit_table(t, 50_000)
+        _stored[key] = models.Lsa(weights, k).path, vocabulary, weights
+    path, vocabulary, weights = _stored[key]
+    return models.Lsa.load(t.spark, path), vocabulary, weights
 
 
 def doc_vectors(t):

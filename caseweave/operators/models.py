@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.functions import vectors as vec
+from caseweave.operators import lowrank
 from caseweave.operators.ordering import positions, top_k_per_group
 from caseweave.operators.search import vector_sum
 from caseweave.operators.terms import squares_about_mean
@@ -57,32 +55,35 @@ def dense_vectors(vectors: DataFrame, key: str = "id") -> DataFrame:
 
 
 class Lsa:
-    """Truncated SVD of term weights as tables.
+    """Truncated SVD of term weights as stored tables, written once and read by every query on it.
 
     ``sigma`` (concept, sigma); ``v`` (term, vector); ``us`` (doc_id, vector) and ``vs`` (term, vector)
     hold rows of U·S and V·S; ``us_unit`` and ``vs_unit`` the same with norm 1, zero rows dropped.
+    The tables lie in the folder ``path``; ``Lsa.load`` opens one that was stored before.
     """
 
-    def __init__(self, weights: DataFrame, k: int = 100):
+    def __init__(self, weights: DataFrame, k: int = 100, path: str | None = None):
         spark = weights.sparkSession
-        terms = numbered_terms(weights.select("term").distinct())
-        rows = sparse_vectors(weights, terms).select("features")
-        rows = MLUtils.convertVectorColumnsFromML(rows, "features").persist()  # the solver makes many passes
-        svd = RowMatrix(rows).computeSVD(k)
-        rows.unpersist()
-        # the solver holds V (terms × k) and s on the driver; V leaves it as one Arrow table
-        sigma = [float(x) for x in svd.s.toArray()]
-        v = svd.V.toArray().copy()
-        v *= np.where(v[abs(v).argmax(axis=0), range(v.shape[1])] < 0, -1.0, 1.0)
-        vectors = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
-        table = spark.createDataFrame(pa.table({"index": pa.array(range(1, len(v) + 1), pa.int64()), "vector": vectors}))
+        path = path or fresh_path(spark, "lsa")
+        sigma, v, us = lowrank.truncated_svd(weights, numbered_terms(weights.select("term").distinct()), k)
+        spark.createDataFrame(list(enumerate(sigma)), "concept INT, sigma DOUBLE").write.parquet(f"{path}/sigma")
+        v.write.parquet(f"{path}/v")
+        us.write.parquet(f"{path}/us")
+        self._open(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Lsa:
+        model = cls.__new__(cls)
+        model._open(spark, path)
+        return model
+
+    def _open(self, spark: SparkSession, path: str) -> None:
+        self.path = path
+        self.sigma, self.v, self.us = (spark.read.parquet(f"{path}/{part}") for part in ("sigma", "v", "us"))
+        sigma = [r["sigma"] for r in self.sigma.orderBy("concept").collect()]  # k rows
         self.k = len(sigma)
-        self.sigma = spark.createDataFrame(list(enumerate(sigma)), "concept INT, sigma DOUBLE")
-        self.v = stage(terms.join(table, "index").select("term", "vector"))
         scale = F.array(*[F.lit(s) for s in sigma])
         self.vs = self.v.select("term", F.zip_with("vector", scale, lambda x, s: x * s).alias("vector"))
-        # U·S = A·V: a weighted sum of the rows of V per document
-        self.us = stage(weights.join(self.v, "term").groupBy("doc_id").agg(vector_sum("vector", F.col("w")).alias("vector")))
         self.us_unit = self.us.select("doc_id", vec.unit(F.col("vector")).alias("vector")).where("vector IS NOT NULL")
         self.vs_unit = self.vs.select("term", vec.unit(F.col("vector")).alias("vector")).where("vector IS NOT NULL")
 
