@@ -5,27 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.llm import decontam, langid, nearcopies, pieces, quality, queries
+from caseweave.llm import decontam, langid, pieces, quality, queries, simhash
 from caseweave.session import stage
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under column names that no operator uses, and who is who; stages turn them back."""
+    names = {c: f"in{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text finds too unlikely go."""
-    judged = quality.classify(docs, queries.table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    inner, name = apart(docs)
+    judged = quality.classify(inner, queries.table(spark, sf_dir, "labels"), doc_id=name["doc_id"], text=name["text"], lang=name["lang"])
+    return judged.filter("kept").select(*name.values()).toDF(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and those of no clear language go."""
-    return langid.identify(docs, queries.language_model(docs)).filter("not rejected").select(*docs.columns)
+    inner, name = apart(docs)
+    found = langid.identify(inner, queries.language_model(docs), text=name["text"])
+    return found.filter("not rejected").select(*name.values()).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id.
-
-    Near copies share 0.8 of their five-word shingles; the query ``op3_simhash`` links by fingerprints, as its contract says.
-    """
-    return nearcopies.keep_first(docs)
+    """One document of each group stays, that of the smallest id: SimHash over three words, links at two bits or fewer."""
+    return simhash.keep_first(docs, radius=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, decoded again; the digests of both stand beside the document."""
-    return queries.piece_digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    """Token ids of every whole text, decoded again; the digests of both stand beside the document.
+
+    A made column whose name the documents have already gets underscores at its end.
+    """
+    inner, name = apart(docs)
+    made = queries.piece_digests(pieces.encode_decode(inner, public_tokenizers.path("piece_bpe_32k.model"), name["text"]))
+    taken, out = {c.lower() for c in docs.columns}, list(docs.columns)
+    for column in made.columns[len(out):]:
+        while column.lower() in taken:
+            column += "_"
+        out.append(column)
+    return made.toDF(*out)
 
 
 STAGES = [
