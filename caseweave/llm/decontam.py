@@ -243,8 +243,9 @@ class Index:
                     item = self.items[place]
                     if shares := self.verify(item, self.present(passage, item)):
                         row = (item.item_id, score * self.thresholds[place], *shares)
-                        if item.item_id not in best or row[2:] > best[item.item_id][2:]:
-                            best[item.item_id] = row
+                        name = ("row", place) if item.item_id is None else item.item_id
+                        if name not in best or row[2:] > best[name][2:]:
+                            best[name] = row
         return list(best.values())
 
 
@@ -263,8 +264,8 @@ def item_blocks(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], tuple
     size, = named.agg(F.sum(F.octet_length("text"))).first()
     stats, n_blocks = frequencies(named), math.ceil((size or 0) / INDEX_BYTES)
     for k in range(n_blocks):
-        block = named.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
-        yield sorted((r["item_id"], r["text"]) for r in block.collect() if r["item_id"] is not None), stats
+        block = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
+        yield sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), stats
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

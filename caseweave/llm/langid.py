@@ -3,8 +3,9 @@
 A word, lowered and set between marks, gives its subwords of 2 to 4 characters and itself, each hashed to one of
 ``BUCKETS`` embeddings. A text is the mean of its subwords' embeddings, and a linear softmax over it gives a probability
 per language. Both layers are trained by stochastic gradient descent in numpy on lines of a bounded sample of labelled
-documents (about ``PER_LANGUAGE`` documents of every language, drawn by hash; fewer where all languages would exceed
-``SAMPLE`` documents or ``SAMPLE_BYTES``). No language is left out: where the sample can't hold all, it is an error. A part of the
+documents (``per_language`` documents of every language, or all where there are fewer, drawn by a hash of id and text; fewer
+where all languages would exceed ``sample`` documents, and of a long text as many characters as keep the whole sample below
+``sample_chars``). No language is left out: where the sample can't hold a document of each, it is an error. A part of the
 sample is held back: on it a temperature is chosen that gives the most likely scores, and the score below which a
 prediction is rejected (``reject_share`` of the held-back lines fall below it).
 
@@ -25,14 +26,13 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.llm.batches import Memo, with_columns, worker_model
 
 BUCKETS, WIDTH = 1 << 15, 16
-PER_LANGUAGE, LEAST_PER_LANGUAGE = 150, 20
-SAMPLE, SAMPLE_BYTES = 9600, 256 << 20
 #: Scores that a worker's table of words holds, but 70,000 words at least.
 CELLS = 20 << 20
 UNDETERMINED = "und"
@@ -108,23 +108,25 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, held_sh
     return Model(uuid.uuid4().hex, languages, scores, temperature, min(least, 0.5))
 
 
-def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fit on a bounded sample of ``labelled`` with every language that has a text with letters, drawn by a hash of the ids."""
-    named = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("langid")).alias("h"))
-    rows = named.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    limit = SAMPLE // LEAST_PER_LANGUAGE
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("lang").limit(limit + 1).collect()
-    if not sizes:
+def learn(
+    labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+    per_language: int = 150, sample: int = 9600, sample_chars: int = 64 << 20,
+) -> Model | None:
+    """Fit on a bounded sample of ``labelled`` with every language that has a text with letters."""
+    h = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text), F.lit("langid"))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h")).filter("lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    languages = rows.select("lang").distinct().limit(sample + 1).count()
+    if languages == 0:
         return None
-    if len(sizes) > limit:
-        raise ValueError(f"more than {limit} languages: raise SAMPLE, so that each has {LEAST_PER_LANGUAGE} documents")
-    each = min(PER_LANGUAGE, SAMPLE // len(sizes))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["n"], SAMPLE_BYTES / len(sizes) / r["bytes"]))])
-    drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    sample = sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").toLocalIterator())
-    if missing := {r["lang"] for r in sizes} - {lang for _, lang in sample}:
-        raise ValueError(f"no document drawn of the languages {sorted(missing)}")
-    return fit(sample)
+    if languages > sample:
+        raise ValueError(f"more than {sample} languages: raise ``sample``")
+    each = min(per_language, sample // languages)
+    chars = max(1, sample_chars // (languages * each))
+    letter = F.greatest(F.lit(1), F.regexp_instr("text", F.lit(r"\p{L}")) - 1)  # a long text is cut from its first letter on
+    cut = F.when(F.length("text") > chars, F.substring(F.col("text"), letter, F.lit(chars))).otherwise(F.col("text"))
+    drawn = rows.select("lang", "h", cut.alias("text"))
+    drawn = drawn.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("place") <= each)
+    return fit(sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").toLocalIterator()))
 
 
 class Predictor:

@@ -187,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(marked: DataFrame, radius: int = 2, doc_id: str = "doc_id") -> DataFrame:
-    """(fingerprint, component_id) for every fingerprint of ``marked``: the smallest id that links reach.
+    """(fingerprint, root, component_id) for every fingerprint of ``marked``: the smallest fingerprint and id that links reach.
 
     ``marked`` is read several times; hand in a stored table.
     """
@@ -195,7 +195,7 @@ def near_groups(marked: DataFrame, radius: int = 2, doc_id: str = "doc_id") -> D
     roots = stage(components(links(distinct.select("fingerprint"), radius)))
     grouped = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return grouped.join(names, "root").select("fingerprint", "component_id")
+    return grouped.join(names, "root").select("fingerprint", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +206,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", te
 
 
 def keep_first(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest id, once. Rows without an id stay, as nothing names them."""
-    named = near_duplicates(docs, radius, doc_id, text).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(named.withColumnRenamed("doc_id", doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
-    return first.union(docs.filter(F.col(doc_id).isNull()))
+    """One row of each group: that of the smallest id, or any row of a group that has none.
+
+    The rows are written once with a number each; groups are made of numbers, ids and fingerprints, and one join by
+    number brings the kept rows back, so texts are not compared or sorted. All columns stay as they are, whatever
+    they are called.
+    """
+    inner = [f"in{k}" for k in range(len(docs.columns))]
+    own_id, own_text = (inner[docs.columns.index(c)] for c in (doc_id, text))
+    rows = stage(fingerprints(docs.toDF(*inner), own_text).withColumn("row", F.monotonically_increasing_id()))
+    marked = rows.select("row", F.col(own_id).alias("doc_id"), "fingerprint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    per_print = marked.groupBy("fingerprint").agg(first)  # a group of copies is a row per task
+    kept = per_print.join(near_groups(marked, radius), "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*inner).toDF(*docs.columns)

@@ -22,8 +22,19 @@ def test_every_language_is_learnt(spark):
     assert model.languages == [f"l{k:03d}" for k in range(80)]
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(langid, "SAMPLE", 60)
+def test_a_language_of_one_very_long_text(spark):
+    rows = [*corpus(20), (998, " 1 2 " + "lorem ipsum dolor " * 70_000, "long"), (999, "short words here", "short")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_chars=100_000)
+    assert {"long", "short"} < set(model.languages) and len(model.languages) == 22
+
+
+def test_equal_ids_are_drawn_apart(spark):
+    rows = [(None, f"some words number{i} of this one", "x") for i in range(400)] + [(1, "andere sprache hier", "y")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5)
+    assert model.languages == ["x", "y"]
+
+
+def test_too_many_languages_are_an_error(spark):
     docs = spark.createDataFrame(corpus(4), "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="languages"):
-        langid.learn(docs)
+        langid.learn(docs, sample=3)

@@ -202,3 +202,15 @@ def test_stages_take_empty_tables_and_other_columns(spark, stage):
     assert function(spark, docs, FOLDER).count() == 0
     odd = spark.createDataFrame([(None, None, None, "a"), (1, "", None, "b"), (1, "", None, "b")], "doc_id long, text string, lang string, trusted_id string")
     assert function(spark, odd, FOLDER).count() <= 3
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Columns that have the names of the stages' own are neither lost nor overwritten."""
+    names = "nll n_predicted perplexity kept score lang_pred rejected fingerprint component_id row root first ids decoded n_tokens trusted_id in0 in1".split()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    odd = docs.selectExpr("*", *[f"concat('{n} ', doc_id) AS {n}" for n in names])
+    after = corpus_pipeline.STAGES[stage][1](spark, odd, FOLDER)
+    assert after.columns[: len(odd.columns)] == odd.columns
+    rows = after.collect()
+    assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)

@@ -28,3 +28,11 @@ def test_question_with_another_answer():
     assert index.matches(" ".join([*question, "the", "right", "reply", "is"]))
     for other in ("quite another thing", "another thing that the reader says", "", "answer right the"):
         assert not index.matches(" ".join([*question, *other.split()]))
+
+
+def test_items_without_an_id_are_found(spark):
+    text = "What is the colour of the old house on the hill by the sea? It is a faded shade of green with white windows."
+    items = spark.createDataFrame([(None, text), (None, "Which of these rivers is the longest one in the north of the land? The grey river."), (4, "Other words entirely are in this question, aren't they? Yes.")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "nothing of that kind is in here"), (3, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()] == [(1, None)]
+    assert sorted(r["doc_id"] for r in decontam.without_items(docs, items).collect()) == [2, 3]
