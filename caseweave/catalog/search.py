@@ -311,17 +311,27 @@ def _(t):
     return rounded(search.cross_scores(groups, groups, vec.cosine_similarity).where("id < target"), "score")
 
 
-@query(
-    "nearest_vectors",
-    """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+NEAREST_SQL = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
     d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(v, embedding::DOUBLE[]) AS distance FROM q, embeddings e)
     SELECT query_id, id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM d) WHERE rank <= 3""",
-)
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM d) WHERE rank <= 3"""
+
+
+def first_of_labels(v):
+    return v.join(v.groupBy("label").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+
+
+@query("nearest_vectors", NEAREST_SQL)
+def _(t):
+    v = vectors(t.embeddings)
+    return rounded(search.nearest_vectors(v, first_of_labels(v), 3), "distance")
+
+
+@query("nearest_vectors_pivots", NEAREST_SQL)
 def _(t):
+    """The same neighbours from cells around pivots, where what is too far by the triangle inequality isn't measured."""
     v = vectors(t.embeddings)
-    firsts = v.groupBy("label").agg(F.min("id").alias("id"))
-    return rounded(search.nearest_vectors(v, v.join(firsts.select("id"), "id", "left_semi"), 3), "distance")
+    return rounded(search.PivotIndex(v).nearest(first_of_labels(v), 3), "distance")
 
 
 @query(

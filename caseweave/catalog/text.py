@@ -20,7 +20,7 @@ n AS (SELECT count(*)::DOUBLE AS n FROM documents),
 df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY 1)"""
 
 BOUND_SQL = TOKENS_SQL + """,
-vocab AS (SELECT * FROM df, n WHERE df >= 3 AND df <= 0.5 * n),
+vocab AS (SELECT * FROM df, n WHERE df >= 2 AND df <= 0.5 * n),
 smooth AS (
   SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w0 FROM tf JOIN vocab USING (term)),
 unit AS (SELECT doc_id, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc_id)) AS w FROM smooth)"""
@@ -44,7 +44,7 @@ def n_docs(t):
 
 
 def vocabulary_of(t, tf, max_features=None):
-    return terms.bound_vocabulary(tf, n_docs(t), 3, 0.5, max_features)
+    return terms.bound_vocabulary(tf, n_docs(t), 2, 0.5, max_features)
 
 
 def unit_weights(t):
@@ -349,10 +349,9 @@ def _(t):
 
 @query(
     "scale_columns",
-    f"""WITH {TOKENS_SQL}, s AS (
-      SELECT term, sqrt((count(*) * var_pop(tf) + count(*) * (any_value(n) - count(*)) / any_value(n) * avg(tf) * avg(tf))
-        / (any_value(n) - 1)) AS sd FROM tf, n GROUP BY 1)
-    SELECT doc_id, term, round(tf / sd, 6) AS w FROM tf JOIN s USING (term)""",
+    f"""WITH {TOKENS_SQL}, w AS (
+      SELECT doc_id, term, tf, count(*) OVER x AS c, sum(tf) OVER x AS s, sum(tf * tf) OVER x AS q FROM tf WINDOW x AS (PARTITION BY term))
+    SELECT doc_id, term, round(tf / sqrt((q - s * s / n) / (n - 1)), 6) AS w FROM w, n""",
 )
 def _(t):
     weights = staged_tf(t).select("doc_id", "term", F.col("tf").cast("double").alias("w"))

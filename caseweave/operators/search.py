@@ -214,6 +214,54 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataF
     return top_k_per_group(scores, ["query_id"], [F.round("distance", 9), F.col("id")], k)
 
 
+class PivotIndex:
+    """Vectors (id, vector) in cells around pivots, stored with their distance to the pivot, for exact searches that skip cells and rows.
+
+    By the triangle inequality a row v of the cell of pivot p is no nearer to a query q than d(q, p) - d(v, p) in size, and
+    no row of the cell is nearer than d(q, p) less the cell's radius. A cell of more than ``held`` rows is cut into parts.
+    """
+
+    def __init__(self, vectors: DataFrame, pivots: int = 64, held: int = 20_000):
+        spread_out = vectors.select("id", "vector").where("vector IS NOT NULL").orderBy(F.xxhash64("id", "vector"), "id").limit(pivots)
+        items = stage(spread_out).agg(F.collect_list("vector")).scalar()  # ``pivots`` vectors
+        distances = F.transform("_pivots", lambda p, i: F.struct(vec.euclidean_distance(F.col("vector"), p).alias("d"), i.alias("cell")))
+        self.distances = lambda df: df.withColumn("_pivots", items).withColumn("_d", distances).drop("_pivots")
+        near = self.distances(vectors.select("id", "vector").where("vector IS NOT NULL")).withColumn("_n", F.array_min("_d"))
+        placed = stage(near.select("id", "vector", F.col("_n.cell").alias("cell"), F.col("_n.d").alias("to_pivot")))
+        cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("to_pivot").alias("radius"), F.min("to_pivot").alias("inner"))
+        self.cells = stage(cells.withColumn("parts", F.ceil(F.col("size") / held).cast("int")))
+        parted = placed.join(self.cells.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        self.rows = stage(parted.select("cell", "part", "id", "vector", "to_pivot"))
+
+    def _meet(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, id, distance) of pairs (query_id, q, cell, parts, d, least) for the rows that can be within ``least``."""
+        wide = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        close = self.rows.join(wide, ["cell", "part"]).where(F.abs(F.col("d") - F.col("to_pivot")) <= F.col("least") + 1e-9)
+        return close.select("query_id", "id", vec.euclidean_distance(F.col("vector"), F.col("q")).alias("distance"))
+
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, distance) of every row that can be among the k nearest of a query (id, vector), and few others.
+
+        The nearest cells that hold k rows together give a first bound, their rows the k-th distance; only cells and rows
+        that can come below it are measured then.
+        """
+        asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+        named = self.distances(asked.withColumnRenamed("q", "vector")).select("query_id", F.col("vector").alias("q"), F.explode("_d").alias("c"))
+        pairs = stage(named.select("query_id", "q", "c.cell", "c.d").join(self.cells, "cell"))
+        by_distance = W.partitionBy("query_id").orderBy("d", "cell").rowsBetween(W.unboundedPreceding, -1)
+        nearest = pairs.withColumn("before", F.coalesce(F.sum("size").over(by_distance), F.lit(0))).where(F.col("before") < k)
+        bound = nearest.groupBy("query_id").agg(F.max(F.col("d") + F.col("radius")).alias("least"))
+        first = self._meet(nearest.join(bound, "query_id"))
+        found = top_k_per_group(first, ["query_id"], [F.col("distance")], k).groupBy("query_id").agg(F.max("distance").alias("least"))
+        bounded = pairs.join(stage(found), "query_id")
+        reach = (F.col("d") - F.col("radius") <= F.col("least") + 1e-9) & (F.col("inner") - F.col("d") <= F.col("least") + 1e-9)
+        return self._meet(bounded.where(reach))
+
+    def nearest(self, queries: DataFrame, k: int = 3) -> DataFrame:
+        """(query_id, id, distance, rank): the k nearest vectors of each query, as ``nearest_vectors`` gives them."""
+        return top_k_per_group(self.candidates(queries, k), ["query_id"], [F.round("distance", 9), F.col("id")], k)
+
+
 def semantic_rerank(
     candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, neighbors: int = 3,
     similarity: Callable[[Column, Column], Column] = vec.cosine_similarity,

@@ -205,3 +205,20 @@ def test_pairs_with_cut_postings(spark, monkeypatch):
     whole = sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect())
     monkeypatch.setattr(search, "POSTINGS", 3)
     assert sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect()) == whole and whole
+
+
+@pytest.mark.parametrize("held", [20_000, 7])
+def test_pivots_give_the_exact_neighbours_of_fewer_distances(spark, held):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 20, (12, 5))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(0, 1, 5)]) for i in range(600)]
+    rows += [(600 + i, rows[0][1]) for i in range(50)] + [(900, None)]  # copies tie, a row without a vector is no neighbour
+    df = spark.createDataFrame(rows, "id LONG, vector ARRAY<DOUBLE>")
+    asked = df.where("id IN (0, 5, 17, 333)")
+    index = search.PivotIndex(df, 24, held)
+    got = sorted((r.query_id, r.rank, r.id, round(r.distance, 9)) for r in index.nearest(asked, 4).collect())
+    want = sorted((r.query_id, r.rank, r.id, round(r.distance, 9)) for r in search.nearest_vectors(df.where("vector IS NOT NULL"), asked, 4).collect())
+    assert got == want
+    assert index.candidates(asked, 4).count() * 3 < 650 * 4
+    few = search.PivotIndex(df.where("id < 3"), 24).nearest(asked.where("id = 0"), 10).collect()
+    assert sorted(r.id for r in few) == [0, 1, 2]
