@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from caseweave.adapters import DEFECTS_SQL, INCIDENTS_SQL, defects, incidents, posts
 from caseweave.catalog.registry import query
 from caseweave.operators import intervals, ordering, relational
-from caseweave.session import spread, stage
-from caseweave.sources import tables
+from caseweave.session import fresh_path, spread, stage
+from caseweave.sources import merged, tables
 
 STAMP_OUT = "yyyy-MM-dd HH:mm:ss"
 
@@ -342,3 +342,16 @@ def _(t):
 )
 def _(t):
     return relational.upsert_by_id(t.events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
+@query(
+    "merged_table",
+    """SELECT user_id, event_id, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def _(t):
+    """The same rows from a stored table: events of odd ids first, the others merged into it."""
+    kept = merged.MergedTable(t.spark, fresh_path(t.spark, "latest"), ["user_id"], ["ts", "event_id"], buckets=8)
+    kept.create(t.events.where("event_id % 2 = 1"))
+    kept.merge(t.events.where("event_id % 2 = 0"))
+    return kept.read().select("user_id", "event_id", "value")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +58,13 @@ def inter_group_score(vectors: DataFrame, group: str, weights: Column | None = N
 
 def _tag_score(units: DataFrame, keys: list[str]) -> DataFrame:
     """Score per ``keys``: vectors are summed per distinct tag set, and only sets that share a tag are joined."""
-    sets = stage(
-        units.groupBy(*keys, F.array_sort(F.array_distinct("tags")).alias("tags")).agg(vector_sum().alias("s"), F.count(F.lit(1)).alias("n"))
-    )
+    sums = units.groupBy(*keys, F.array_sort(F.array_distinct("tags")).alias("tags")).agg(vector_sum().alias("s"), F.count(F.lit(1)).alias("n"))
+    return _set_score(sums, keys)
+
+
+def _set_score(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Score per ``keys`` from the sums (…, tags, s, n) of the unit vectors of each sorted tag set."""
+    sets = stage(sums)
     own = F.sum(F.when(F.size("tags") > 0, _pair_sum(F.col("s"), F.col("n"))).otherwise(0.0))
     totals = sets.groupBy(*keys).agg(own.alias("own"), vector_sum("s").alias("whole"), F.sum("n").alias("n"))
     fanned = sets.withColumn("tag", F.explode("tags"))
@@ -89,12 +97,42 @@ def weight_draws(dims: int, iters: int, seed: int = 11) -> list[list[float]]:
     return [[rng.gauss(0.0, 1.0) for _ in range(dims)] for _ in range(iters)]
 
 
+def drawn_sums(vectors: DataFrame, draws: np.ndarray) -> DataFrame:
+    """(iter, tags, s, n): per draw and tag set the sum of the unit vectors after the draw's weights.
+
+    A task multiplies a batch by all draws at once and keeps a sum per draw and tag set of the batch, so what is shuffled
+    follows from the draws and the tag sets and not from the rows. Rows of norm zero under a draw don't count in it.
+    """
+    sent = vectors.sparkSession.sparkContext.broadcast(draws)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            sets = [tuple(t) for t in batch.column(1).to_pylist()]
+            number = {t: k for k, t in enumerate(dict.fromkeys(sets))}
+            member = np.zeros((len(number), len(sets)))
+            member[[number[t] for t in sets], range(len(sets))] = 1.0
+            norms = np.sqrt((x * x) @ (w * w).T)  # rows x draws
+            shares = np.divide(1.0, norms, out=np.zeros_like(norms), where=norms > 0)
+            tags = pa.array([list(t) for t in number], pa.list_(pa.string()))
+            for i in range(len(w)):
+                sums = (member * shares[:, i]) @ x * w[i]
+                n = (member @ (norms[:, i] > 0)).astype(np.int64)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(sums), pa.int32()), tags, rows, pa.array(n)], names=["iter", "tags", "vector", "n"])
+
+    whole = F.forall("vector", lambda v: v.isNotNull()) & (F.size("vector") == draws.shape[1])
+    narrow = vectors.where(whole).select("vector", F.array_sort(F.array_distinct("tags")).alias("tags")).where("tags IS NOT NULL")
+    parts = narrow.mapInArrow(run, "iter int, tags array<string>, vector array<double>, n long")
+    return parts.groupBy("iter", "tags").agg(vector_sum().alias("s"), F.sum("n").alias("n")).where("n > 0")
+
+
 def tune_similarity_weights(vectors: DataFrame, dims: int, iters: int = 100, seed: int = 11) -> DataFrame:
-    """Random search of dimension weights: the best (weights, score) of ``iters`` normal draws, in one job."""
+    """Random search of dimension weights: the best (weights, score) of ``iters`` normal draws, from one pass over the rows."""
     draws = weight_draws(dims, iters, seed)
     table = vectors.sparkSession.createDataFrame([(i, w) for i, w in enumerate(draws)], "iter INT, weights ARRAY<DOUBLE>")
-    items = table.agg(F.collect_list(F.struct("iter", "weights"))).scalar()
-    fanned = vectors.withColumn("_items", items).select("vector", "tags", F.explode("_items").alias("d")).select("vector", "tags", "d.iter", "d.weights")
-    units = _unit(fanned, F.col("weights")).drop("weights").where("vector IS NOT NULL")
-    scores = _tag_score(units, ["iter"])
+    scores = _set_score(drawn_sums(vectors, np.array(draws)), ["iter"])
     return scores.join(table, "iter").orderBy(F.desc("score"), "iter").limit(1)

@@ -97,8 +97,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 
 def upsert_by_id(df: DataFrame, ids: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The latest row of each id. It is a maximum, so map tasks already keep one row per id."""
-    last = F.max_by(F.struct(*df.columns), F.struct(*order))
+    """The latest row of each id. It is a maximum, so map tasks already keep one row per id.
+
+    Rows that tie in ``order`` are told apart by their other columns in turn, the largest value wins; maps have no order
+    and take no part in it.
+    """
+    ranked = F.struct(*order, *[f.name for f in df.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()])
+    last = F.max_by(F.struct(*df.columns), ranked)
     return df.groupBy(*ids).agg(last.alias("r")).select("r.*")
 
 
