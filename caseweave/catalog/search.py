@@ -343,6 +343,19 @@ def _(t):
     return rounded(search.nearest_to(word_embedding(t, tf_of(t)), "word", "the", 10), "score")
 
 
+@query(
+    "nearest_vectors_own_score",
+    """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+    s AS (SELECT vec_id AS id, -list_sum(list_transform(range(1, 65), lambda i: abs(embedding[i]::DOUBLE - v[i]))) AS score FROM embeddings, q)
+    SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, id LIMIT 20""",
+)
+def _(t):
+    """The rows nearest to the first one by a similarity of the caller's own: the negative sum of differences."""
+    v = vectors(t.embeddings)
+    city_blocks = lambda a, b: -vec.total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    return rounded(search.nearest_to(v, "id", v.agg(F.min("id")).scalar(), 20, city_blocks), "score")
+
+
 @query(
     "cluster_terms",
     f"""WITH {BOUND_SQL}, m AS (SELECT source AS cluster, term, sum(w) AS total FROM unit JOIN documents USING (doc_id) GROUP BY 1, 2),

@@ -337,6 +337,17 @@ def _(t):
     return both.groupBy("doc_id").agg(F.round(F.sum("w"), 6).alias("w_normalised"), F.round(F.sum("plain"), 5).alias("w_plain"))
 
 
+@query(
+    "tfidf_own_form",
+    f"""WITH {TOKENS_SQL} SELECT doc_id, term, round(tf / doc_len::DOUBLE * greatest(0, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 9) AS w
+    FROM tf JOIN df USING (term), n""",
+)
+def _(t):
+    """Weights by a form of the caller's own: the probabilistic one, not below zero."""
+    probabilistic = lambda n, df: F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5)))
+    return terms.tfidf(staged_tf(t), n_docs(t), probabilistic).withColumn("w", F.round("w", 9))
+
+
 @query(
     "l2_normalize",
     f"""WITH {TOKENS_SQL}, s AS (SELECT doc_id, tf, sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS norm, term FROM tf)
