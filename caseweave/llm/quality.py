@@ -1,69 +1,65 @@
 """Quality classification of documents by an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts 4-grams of 64 character classes (``ALPHABET``) over all trusted texts. Counts are summed per n-gram
-shard; lower orders are continuation counts; totals and discounts per context and the probabilities of the lower order
-reach an n-gram by joins on its shard. As classes and order are fixed, the model has at most 64**4 entries whatever the
-corpus holds, which is the proven bound under which its probabilities go to the tasks that score documents.
+The model counts 4-grams of UTF-16 code units, an open alphabet, over all trusted texts: any script has letters of its
+own, and the tables grow with the text. Counts are summed per n-gram shard; lower orders are continuation counts;
+totals and discounts per context and the probabilities of the lower order reach an n-gram by joins on its shard. The
+model stays in stored tables, one pair per order; nothing of it is on the driver or sent to all tasks.
+
+Documents are scored by joins too. They are put into blocks of whole rows (``BLOCK_BYTES`` of text, a longer text alone),
+a block asks once for each different n-gram in it, the different n-grams of all blocks are joined to probabilities and
+backoffs order by order, and the answers meet the block again, where the logarithms are summed per document. A block's
+rows and questions are bounded, and a key of the joins over different n-grams has at most 65,536 rows, one per code
+unit; so no key is hot, however often a text or a word stands in the corpus.
 
 A document's perplexity counts ``PRIOR`` further characters at the mean of its language's trusted texts, so that a few
 words alone are no reason to reject. It is rejected above the ``quantile`` of the perplexities of its language's trusted
-documents times ``slack``; a language without trusted documents goes by all of them. Null and empty texts hold nothing
-to score and are rejected. Without any trusted text nothing else is rejected. Null languages are one language. Repeated
-rows are scored each by itself. Input columns of the names made here are replaced; others stay.
+documents times ``slack``, and below the ``floor`` quantile divided by ``slack``: a text that is far more likely than any
+prose repeats itself. A model finds the texts it was trained on more likely than others, so the upper quantile comes
+from two further models, each of half the trusted texts (by a hash of the text, copies together), that score the other
+half, and the lower one from the model's own scores of its texts. A language without trusted documents goes by all of them. Null and empty texts hold nothing to
+score and are rejected. Without any trusted text nothing else is rejected. Null languages are one language. Repeated
+rows are scored each by itself. An empty table gives no rows. A U+0000 counts as the border of a text. Input columns
+named perplexity, kept, nll or n_predicted are replaced (the last two are dropped by ``classify``); others stay.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.batches import slices, with_columns, worker_model
-from caseweave.session import stage
+from caseweave.llm.batches import slices
+from caseweave.session import release, stage
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 SIZE = 1 << BITS
-#: Characters that are a class of their own, in order, after the class 0 of the border; the rest goes by kind.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß \n.,'-"
-KINDS = ["capital", "letter", "digit", "mark", "symbol", "blank", "other"]
 PRIOR = 100
+#: Bytes of text in a block of documents (a longer text is a block of its own), and code units looked at at once.
+BLOCK_BYTES, CHUNK = 16 << 20, 1 << 20
 #: Ids of trusted documents that are sent to all tasks; beyond, documents and labels are joined by a shuffle.
 SENT_IDS = 1_000_000
 
-
-@cache
-def classes() -> np.ndarray:
-    """The class of every code point."""
-
-    def kind(c: str) -> str:
-        if c.isupper():
-            return "capital"
-        return {"L": "letter", "N": "digit", "P": "mark", "S": "symbol", "Z": "blank"}.get(unicodedata.category(c)[0], "other")
-
-    first = 1 + len(ALPHABET)
-    table = np.array([first + KINDS.index(kind(chr(c))) for c in range(0x110000)], np.uint8)
-    for k, c in enumerate(ALPHABET):
-        table[ord(c)] = 1 + k
-    for c in "#*$%&|<>~^=+@\\/{}[]_":
-        table[ord(c)] = first + KINDS.index("symbol")
-    table[ord("\t")] = first + KINDS.index("blank")
-    return table
+Model = list[tuple[DataFrame, DataFrame]]
 
 
-def grams(text: str) -> np.ndarray:
-    """The 4-gram that ends at each character of a text and at its end, as numbers."""
-    codes = np.zeros(len(text) + ORDER, np.int32)
-    codes[ORDER - 1 : -1] = classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    n = len(text) + 1
-    return (codes[:n] << 3 * BITS) | (codes[1 : n + 1] << 2 * BITS) | (codes[2 : n + 2] << BITS) | codes[3 : n + 3]
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The 4-grams that end at each code unit of a text and at its end, as numbers, in parts of at most CHUNK."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    codes = np.zeros(len(units) + ORDER, np.uint16)
+    codes[ORDER - 1 : -1] = units
+    for start in range(0, len(units) + 1, CHUNK):
+        part = codes[start : start + CHUNK + ORDER - 1].astype(np.uint64)
+        n = len(part) - ORDER + 1
+        whole = part[:n] << np.uint64(3 * BITS)
+        for k in range(1, ORDER):
+            whole |= part[k : k + n] << np.uint64((ORDER - 1 - k) * BITS)
+        yield whole.view(np.int64)
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -72,91 +68,153 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                if found := [grams(t) for t in part.column(0).to_pylist() if t]:
-                    gram, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+                found = [g for t in part.column(0).to_pylist() if t for g in grams(t)]
+                if found:
+                    at, gram = pd.factorize(np.concatenate(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.bincount(at))], names=["gram", "n"])
+
+    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def context_of(gram: str = "gram") -> Column:
+    """An n-gram without its last unit."""
+    return F.shiftrightunsigned(gram, BITS)
 
-    return texts.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def suffix_of(order: int, gram: str = "gram") -> Column:
+    """An n-gram of that order without its first unit."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (order - 1) * BITS) - 1))
 
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((order, gram, p), (order, context, backoff)) of the interpolated model of (gram, n).
+
+def kneser_ney(counts: DataFrame) -> Model:
+    """Per order the stored tables (gram, p) and (context, backoff) of the interpolated model of (gram, n).
 
     ``counts`` is read several times; hand in a stored table.
     """
     orders = {ORDER: counts}
-    for order in range(ORDER - 1, 0, -1):  # how many different characters precede each
-        orders[order] = orders[order + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << order * BITS) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-    lower, probabilities, backoffs = None, [], []
+    for order in range(ORDER - 1, 0, -1):  # how many different units precede each
+        orders[order] = stage(orders[order + 1].groupBy(suffix_of(order + 1).alias("gram")).agg(F.count("*").alias("n")))
+    model: Model = []
     for order in range(1, ORDER + 1):
-        grams_n = stage(orders[order])
-        kinds = grams_n.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first()
+        kinds = orders[order].agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first()
         y = kinds[0] / max(1, kinds[0] + 2 * kinds[1])
         discount = [0.0] + [min(max(k - (k + 1) * y * kinds[k] / kinds[k - 1], 0.0), float(k)) if kinds[k - 1] else 0.5 * k for k in (1, 2, 3)]
         off = F.when(F.col("n") == 1, discount[1]).when(F.col("n") == 2, discount[2]).otherwise(discount[3])
-        context = F.shiftright("gram", BITS).alias("context")
-        with_off = grams_n.select("gram", "n", context, off.alias("off"))
+        with_off = orders[order].select("gram", "n", context_of().alias("context"), off.alias("off"))
         contexts = stage(with_off.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("backoff")))
-        joined = with_off.join(contexts, "context")
-        if lower is None:
-            p = joined.withColumn("below", F.lit(1.0 / SIZE))
+        rows = with_off.join(contexts, "context")
+        if model:
+            below = model[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            rows = rows.withColumn("suffix", suffix_of(order)).join(below, "suffix")
         else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << (order - 1) * BITS) - 1))
-            p = joined.withColumn("suffix", suffix).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-        lower = stage(p.select("gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("backoff") * F.col("below")).alias("p")))
-        probabilities.append(lower.select(F.lit(order).alias("order"), "gram", "p"))
-        backoffs.append(contexts.select(F.lit(order).alias("order"), "context", "backoff"))
-    whole_p, whole_b = probabilities[0], backoffs[0]
-    for p, b in zip(probabilities[1:], backoffs[1:]):
-        whole_p, whole_b = whole_p.union(p), whole_b.union(b)
-    return whole_p, whole_b
-
-
-def tables(probabilities: DataFrame, backoffs: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """Per order (grams, p, contexts, backoff): at most 64**order entries each."""
-    found = []
-    for order in range(1, ORDER + 1):
-        p = probabilities.filter(F.col("order") == order).select("gram", F.col("p").cast("float")).toArrow()
-        b = backoffs.filter(F.col("order") == order).select("context", F.col("backoff").cast("float")).toArrow()
-        found.append((*[p.column(k).to_numpy() for k in (0, 1)], *[b.column(k).to_numpy() for k in (0, 1)]))
-    return found
-
-
-def log_table(model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """The natural logarithm of the probability of every 4-gram, seen or not."""
-    below = np.full(1, 1.0 / SIZE, np.float32)
-    for order, (gram, p, context, backoff) in enumerate(model, 1):
-        weight = np.ones(SIZE ** (order - 1), np.float32)
-        weight[context] = backoff
-        # row: context, column: next class; a context's shorter form repeats for every first class
-        shorter = below.reshape(-1, SIZE) if order > 1 else np.full((1, SIZE), below[0], np.float32)
-        rows = np.tile(shorter, (len(weight) // len(shorter), 1))
-        rows *= weight[:, None]
-        below = rows.reshape(-1)
-        below[gram] = p
-    return np.log(below, out=below)
-
-
-def worker_table(name: str, model: list) -> np.ndarray:
-    """The table of a model that was sent, made once per Python worker."""
-    return worker_model(("grams", name), lambda: log_table(model))
-
-
-def train(trusted: DataFrame, text: str = "text") -> Broadcast:
-    """The model of all trusted texts, sent to the tasks: (name, tables of at most 64**order entries)."""
+            rows = rows.withColumn("below", F.lit(1.0 / SIZE))
+        p = ((F.col("n") - F.col("off")) / F.col("total") + F.col("backoff") * F.col("below")).alias("p")
+        model.append((stage(rows.select("gram", p)), contexts.select("context", "backoff")))
+    release(*[orders[k] for k in range(1, ORDER)])
+    return model
+
+
+def train(trusted: DataFrame, text: str = "text") -> Model:
+    """The stored model of all trusted texts."""
     counts = stage(count_grams(trusted.select(F.col(text).alias("text"))))
-    return trusted.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tables(*kneser_ney(counts))))
+    model = kneser_ney(counts)
+    release(counts)
+    return model
+
+
+def probabilities(wanted: DataFrame, model: Model) -> DataFrame:
+    """(gram, p) of the different 4-grams of a stored one-column frame, seen in training or not."""
+    asked = {ORDER: wanted}
+    for order in range(ORDER - 1, 0, -1):
+        asked[order] = asked[order + 1].select(suffix_of(order + 1).alias("gram")).distinct()
+    below = None
+    for order, (p, contexts) in enumerate(model, 1):
+        rows = asked[order].join(p.withColumnRenamed("p", "seen"), "gram", "left").withColumn("context", context_of()).join(contexts, "context", "left")
+        if below is None:
+            rows = rows.withColumn("below", F.lit(1.0 / SIZE))
+        else:
+            rows = rows.withColumn("suffix", suffix_of(order)).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        below = rows.select("gram", F.coalesce("seen", F.coalesce("backoff", F.lit(1.0)) * F.col("below")).alias("p"))
+    return below
 
 
-def score(docs: DataFrame, model: Broadcast, text: str = "text") -> DataFrame:
-    """``docs`` with ``nll`` (double, negative log-likelihood of the whole text) and ``n_predicted`` (long)."""
+def blocks(docs: DataFrame, text: str) -> DataFrame:
+    """(block, payload): whole rows of ``docs`` in compressed Arrow streams; a block is named by a hash of its content."""
 
-    def compute(texts: list) -> list:
-        table = worker_table(*model.value)
-        found = [grams(t) if t else None for t in texts]
-        return [[0.0 if g is None else float(-table[g].sum(dtype=np.float64)) for g in found], [0 if g is None else len(g) for g in found]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, text):
+                more = part.column(part.schema.get_field_index(text)).nbytes
+                if held and size + more > BLOCK_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+                held.append(part)
+                size += more
+        if held:
+            yield packed(held)
+
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in parts:
+                out.write_batch(part)
+        payload = sink.getvalue().to_pybytes()
+        name = xxhash.xxh64_intdigest(payload) - (1 << 63)
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+    return docs.mapInArrow(run, "block long, payload binary")
 
-    return with_columns(docs, text, {"nll": T.DoubleType(), "n_predicted": T.LongType()}, compute)
+
+def unpacked(payload: bytes) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, in slices."""
+    with pa.ipc.open_stream(payload) as parts:
+        yield from parts
+
+
+def questions(packed: DataFrame, text: str) -> DataFrame:
+    """(gram, block): the different 4-grams of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "payload"))):
+                found = [np.empty(0, np.int64)]
+                for part in unpacked(payload):
+                    here = [g for t in part.column(part.schema.get_field_index(text)).to_pylist() if t for g in grams(t)]
+                    found.append(pd.unique(np.concatenate(here)) if here else found[0])
+                gram = np.sort(pd.unique(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), name, np.int64))], names=["gram", "block"])
+
+    return packed.mapInArrow(run, "gram long, block long")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``nll`` (double, negative log-likelihood of the whole text) and ``n_predicted`` (long, code units and the end)."""
+    docs = docs.drop("nll", "n_predicted")
+    schema = T.StructType([*docs.schema.fields, T.StructField("nll", T.DoubleType()), T.StructField("n_predicted", T.LongType())])
+    packed = stage(blocks(docs, text))
+    asked = questions(packed, text)
+    answers = asked.join(probabilities(stage(asked.select("gram").distinct()), model), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        index, value = pd.Index(known.column("gram").to_numpy()), known.column("log_p").to_numpy()
+        out = []
+        for payload in rows.column("payload").to_pylist():
+            for part in unpacked(payload):
+                nll, n = [], []
+                for t in part.column(part.schema.get_field_index(text)).to_pylist():
+                    total, count = 0.0, 0
+                    for gram in grams(t) if t else ():
+                        at = index.get_indexer(gram)
+                        if (at < 0).any():
+                            raise RuntimeError("a block met answers that aren't its own")
+                        total, count = total - float(value[at].sum(dtype=np.float64)), count + len(gram)
+                    nll.append(total)
+                    n.append(count)
+                out.append(pa.RecordBatch.from_arrays([*part.columns, pa.array(nll, pa.float64()), pa.array(n, pa.int64())], names=schema.names))
+        return pa.Table.from_batches(out)
+
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str) -> DataFrame:
@@ -167,20 +225,32 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, doc_id: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, F.col(doc_id) == F.col("trusted_id"), "left_semi")
 
 
-def thresholds(scored: DataFrame, quantile: float, slack: float) -> dict:
-    """Per language (the key None for all others) the mean loss per character and the highest perplexity that is kept.
+def cross_fitted(trusted: DataFrame) -> DataFrame:
+    """(lang, nll, n_predicted) of the trusted texts, each half scored by the model of the other half; stored."""
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    found = []
+    for k in (0, 1):
+        model = train(trusted.filter(half != k))
+        found.append(stage(score(trusted.filter(half == k), model).select("lang", "nll", "n_predicted").filter("n_predicted > 0")))
+        release(*[t for pair in model for t in pair])
+    return found[0].union(found[1])
+
+
+def thresholds(scored: DataFrame, own: DataFrame, quantile: float, floor: float, slack: float) -> dict:
+    """Per language (the key None for all others) the mean loss per unit and the lowest and highest perplexity that is kept.
 
-    ``scored`` has lang, nll and n_predicted of trusted documents and is a stored table.
+    ``scored`` (cross-fitted) and ``own`` have lang, nll and n_predicted of trusted documents and are stored tables.
     """
     per_lang = {r[0]: r[1] for r in scored.groupBy("lang").agg(F.sum("nll") / F.sum("n_predicted")).filter("lang is not null").toLocalIterator()}
     (whole,) = scored.agg(F.sum("nll") / F.sum("n_predicted")).first()
     if whole is None:
         return {}
     means = {**per_lang, None: whole}
-    cut = F.percentile_approx(perplexity(means), quantile, 100_000)
-    limits = {r[0]: r[1] * slack for r in scored.groupBy("lang").agg(cut).filter("lang is not null").toLocalIterator()}
-    limits[None] = scored.agg(cut).first()[0] * slack
-    return {k: (means[k], limits[k]) for k in limits}
+    cuts = []
+    for rows, share in ((own, floor), (scored, quantile)):
+        cut = F.percentile_approx(perplexity(means), share, 100_000)
+        cuts.append({r[0]: r[1] for r in rows.groupBy("lang").agg(cut).filter("lang is not null").toLocalIterator()} | {None: rows.agg(cut).first()[0]})
+    return {k: (means[k], cuts[0][k] / slack, cuts[1][k] * slack) for k in means}
 
 
 def by_language(values: dict, lang: str = "lang") -> Column:
@@ -191,21 +261,26 @@ def by_language(values: dict, lang: str = "lang") -> Column:
 
 
 def perplexity(means: dict, lang: str = "lang") -> Column:
-    """Perplexity with PRIOR further characters at the mean of the language."""
+    """Perplexity with PRIOR further units at the mean of the language."""
     return F.exp((F.col("nll") + PRIOR * by_language(means, lang)) / (F.col("n_predicted") + PRIOR))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, floor: float = 0.0005,
+    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+) -> DataFrame:
     """``docs`` with ``perplexity`` (double) and ``kept`` (boolean) after training on the documents that ``labels`` trust."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    trusted = trusted_rows(narrow, labels, "doc_id")
-    model = train(trusted)
+    trusted = trusted_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")), labels, "doc_id")
+    trusted = trusted.select("lang", "text")
+    crossed, model = cross_fitted(trusted), train(trusted)
+    own = stage(score(trusted, model).select("lang", "nll", "n_predicted").filter("n_predicted > 0"))
+    cuts = thresholds(crossed, own, quantile, floor, slack)
+    release(crossed, own)
     scored = score(docs, model, text)
-    known = stage(score(trusted, model).select("lang", "nll", "n_predicted").filter("n_predicted > 0"))
-    cuts = thresholds(known, quantile, slack)
     filled = F.col("n_predicted") > 0
     if not cuts:
         return scored.withColumns({"perplexity": F.lit(None).cast("double"), "kept": filled}).drop("nll", "n_predicted")
-    value = F.when(filled, perplexity({k: v[0] for k, v in cuts.items()}, lang))
-    low = F.col("perplexity") <= by_language({k: v[1] for k, v in cuts.items()}, lang)
-    return scored.withColumn("perplexity", value).withColumn("kept", filled & low).drop("nll", "n_predicted")
+    mean, low, high = ({k: v[i] for k, v in cuts.items()} for i in range(3))
+    inside = F.col("perplexity").between(by_language(low, lang), by_language(high, lang))
+    scored = scored.withColumn("perplexity", F.when(filled, perplexity(mean, lang)))
+    return scored.withColumn("kept", filled & inside).drop("nll", "n_predicted")

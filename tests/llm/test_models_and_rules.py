@@ -14,10 +14,19 @@ FOLDER = "/root/testdata/sf0.001"
 TEXTS = ["the cat sat on the mat.\nA dog, too", "Über die Straße geht's", "", None, "ab", "the the the", "1 + 1 = 2 #$%", "été à l'école", "x" * 500]
 
 
+def units(gram):
+    """The four code units of a packed 4-gram."""
+    return tuple((int(gram) >> k) & 0xFFFF for k in (48, 32, 16, 0))
+
+
+def grams_of(text):
+    return [units(g) for part in quality.grams(text) for g in part]
+
+
 def plain_model(texts):
     """p(gram) of the interpolated model, straight from its definition."""
     counts = [None, *({} for _ in range(4))]
-    counts[4] = Counter(tuple(int(g) >> s & 63 for s in (18, 12, 6, 0)) for t in texts if t for g in quality.grams(t))
+    counts[4] = Counter(g for t in texts if t for g in grams_of(t))
     for order in (3, 2, 1):
         counts[order] = Counter(g[1:] for g in counts[order + 1])
     off = [None]
@@ -32,7 +41,7 @@ def plain_model(texts):
 
     def p(gram):
         if not gram:
-            return 1 / 64
+            return 1 / 65536
         seen, lower = after[len(gram)].get(gram[:-1]), p(gram[1:])
         if not seen:
             return lower
@@ -44,21 +53,55 @@ def plain_model(texts):
     return p
 
 
-def test_model_equals_its_definition(spark):
-    trusted = [t for t in TEXTS if t] * 2 + ["the end"]
+def test_grams(monkeypatch):
+    text = "aé\U0001F600\ud800z" * 5
+    codes = [0, 0, 0, *np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).tolist(), 0]
+    want = [tuple(codes[k : k + 4]) for k in range(len(codes) - 3)]
+    assert grams_of(text) == want
+    monkeypatch.setattr(quality, "CHUNK", 7)  # a long text in parts
+    assert grams_of(text) == want and len(list(quality.grams(text))) > 3
+
+
+def test_model_equals_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 60)  # several blocks
+    trusted = [t for t in TEXTS if t] * 2 + ["the end", "Слово и дело", "漢字かな交じり文", "\U0001F600 smile"]
     docs = spark.createDataFrame([(t,) for t in [*trusted, None, ""]], "text string").repartition(3)
-    name, model = quality.train(docs).value
-    table, p = quality.log_table(model), plain_model(trusted)
-    draw = random.Random(1)
-    seen = [int(g) for t in trusted for g in quality.grams(t)]
-    for gram in [*seen[:200], *[draw.randrange(1 << 24) for _ in range(500)], *[(g & ~63) | draw.randrange(64) for g in seen[:200]]]:
-        assert math.isclose(table[gram], math.log(p(tuple(gram >> s & 63 for s in (18, 12, 6, 0)))), rel_tol=1e-4, abs_tol=1e-5)
-    rows = np.exp(table.reshape(-1, 64)[[0, 1, 77, *[g >> 6 for g in seen[:50]]]].astype(float)).sum(axis=1)
-    assert np.allclose(rows, 1, atol=1e-3)
-    scored = {r["text"]: r for r in quality.score(spark.createDataFrame([(t,) for t in TEXTS], "text string"), quality.train(docs)).collect()}
-    for t in TEXTS:
-        want = -sum(math.log(p(tuple(int(g) >> s & 63 for s in (18, 12, 6, 0)))) for g in quality.grams(t)) if t else 0
-        assert math.isclose(scored[t]["nll"], want, rel_tol=1e-4, abs_tol=1e-6) and scored[t]["n_predicted"] == (len(t) + 1 if t else 0)
+    model, p = quality.train(docs), plain_model(trusted)
+    draw, seen = random.Random(1), [g for t in trusted for g in grams_of(t)]
+    wanted = {*seen, *[g[:3] + (draw.choice(seen)[3],) for g in seen], *[tuple(draw.randrange(65536) for _ in range(4)) for _ in range(200)]}
+    packed = [((a << 48 | b << 32 | c << 16 | d) ^ (1 << 63)) - (1 << 63) for a, b, c, d in wanted]
+    got = {units(r["gram"]): r["p"] for r in quality.probabilities(spark.createDataFrame([(g,) for g in packed], "gram long"), model).collect()}
+    assert got.keys() == wanted and all(math.isclose(got[g], p(g), rel_tol=1e-9) for g in wanted)
+    letters = {g[3] for g in seen}
+    for context in [(0, 0, 0), seen[5][:3], seen[-3][:3], (1, 2, 3)]:  # the shares of all units are one
+        unseen = next(k for k in range(40000, 65536) if k not in letters)
+        assert math.isclose(sum(p((*context, k)) for k in letters) + (65536 - len(letters)) * p((*context, unseen)), 1, rel_tol=1e-9)
+    texts = [*TEXTS, "Слово", "漢字", "x" * 500, "\U0001F600", "unseen ☃ words"]
+    rows = spark.createDataFrame([(k, t, "n") for k, t in enumerate(texts)], "k int, text string, nll string").repartition(2)
+    scored = {r["k"]: r for r in quality.score(rows, model).collect()}
+    assert len(scored) == len(texts)
+    for k, t in enumerate(texts):
+        want = -sum(math.log(p(g)) for g in grams_of(t)) if t else 0
+        assert math.isclose(scored[k]["nll"], want, rel_tol=1e-5, abs_tol=1e-6) and scored[k]["n_predicted"] == (len(grams_of(t)) if t else 0) and scored[k]["text"] == t
+    assert quality.score(rows.limit(0), model).count() == 0
+
+
+def test_model_grows_with_the_text(spark):
+    """Each script has letters of its own, and more text of new words is a larger model."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("абвгдежзиклмнопрст") for _ in range(7))
+    texts = [(" ".join(word() for _ in range(300)),) for _ in range(8)]
+    few, many = (quality.train(spark.createDataFrame(texts[:k], "text string")) for k in (1, 8))
+    assert many[3][0].count() > 5 * few[3][0].count()
+
+
+def test_repeated_words_are_rejected(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang", "text")
+    odd = [(-1, "en", "the " * 600), (-2, "de", "der " * 600), (-3, "fr", "de " * 600), (-4, "es", "que " * 600), (-5, "en", "Абвг где жзик. " * 40)]
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    got = quality.classify(docs.union(spark.createDataFrame(odd, docs.schema)), labels).select("doc_id", "kept")
+    good = quality.trusted_rows(got, labels, "doc_id")
+    assert got.filter("doc_id < 0 and kept").count() == 0 and good.filter("not kept").count() == 0
 
 
 def test_classifier(spark, monkeypatch):
