@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,28 +139,30 @@ def probabilities(wanted: DataFrame, model: Model) -> DataFrame:
 
 
 def blocks(docs: DataFrame, text: str) -> DataFrame:
-    """(block, payload): whole rows of ``docs`` in compressed Arrow streams; a block is named by a hash of its content."""
+    """(block, payload): whole rows of ``docs`` in compressed Arrow streams; a block is named by its task and place.
+
+    Hand the result to ``stage``: the names hold only for a stored table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, name = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, text):
                 more = part.column(part.schema.get_field_index(text)).nbytes
                 if held and size + more > BLOCK_BYTES:
-                    yield packed(held)
-                    held, size = [], 0
+                    yield packed(held, name)
+                    held, size, name = [], 0, name + 1
                 held.append(part)
                 size += more
         if held:
-            yield packed(held)
+            yield packed(held, name)
 
-    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def packed(parts: list[pa.RecordBatch], name: int) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
             for part in parts:
                 out.write_batch(part)
         payload = sink.getvalue().to_pybytes()
-        name = xxhash.xxh64_intdigest(payload) - (1 << 63)
         return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     return docs.mapInArrow(run, "block long, payload binary")
@@ -191,10 +193,23 @@ def questions(packed: DataFrame, text: str) -> DataFrame:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``nll`` (double, negative log-likelihood of the whole text) and ``n_predicted`` (long, code units and the end)."""
     docs = docs.drop("nll", "n_predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("nll", T.DoubleType()), T.StructField("n_predicted", T.LongType())])
     packed = stage(blocks(docs, text))
-    asked = questions(packed, text)
-    answers = asked.join(probabilities(stage(asked.select("gram").distinct()), model), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
+    return answered(packed, stage(questions(packed, text).select("gram").distinct()), model, docs.schema, text)
+
+
+def losses(texts: DataFrame, model: Model) -> DataFrame:
+    """(lang, nll, n_predicted) of the (lang, text) that aren't empty, stored; the blocks in between are given up."""
+    packed = stage(blocks(texts, "text"))
+    wanted = stage(questions(packed, "text").select("gram").distinct())
+    found = stage(answered(packed, wanted, model, texts.schema, "text").select("lang", "nll", "n_predicted").filter("n_predicted > 0"))
+    release(packed, wanted)
+    return found
+
+
+def answered(packed: DataFrame, wanted: DataFrame, model: Model, kept: T.StructType, text: str) -> DataFrame:
+    """The rows of stored blocks with their losses; ``wanted`` holds the different 4-grams of all blocks, ``kept`` the rows' schema."""
+    schema = T.StructType([*kept.fields, T.StructField("nll", T.DoubleType()), T.StructField("n_predicted", T.LongType())])
+    answers = questions(packed, text).join(probabilities(wanted, model), "gram").select("block", "gram", F.log("p").cast("float").alias("log_p"))
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         index, value = pd.Index(known.column("gram").to_numpy()), known.column("log_p").to_numpy()
@@ -231,7 +246,7 @@ def cross_fitted(trusted: DataFrame) -> DataFrame:
     found = []
     for k in (0, 1):
         model = train(trusted.filter(half != k))
-        found.append(stage(score(trusted.filter(half == k), model).select("lang", "nll", "n_predicted").filter("n_predicted > 0")))
+        found.append(losses(trusted.filter(half == k), model))
         release(*[t for pair in model for t in pair])
     return found[0].union(found[1])
 
@@ -273,7 +288,7 @@ def classify(
     trusted = trusted_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")), labels, "doc_id")
     trusted = trusted.select("lang", "text")
     crossed, model = cross_fitted(trusted), train(trusted)
-    own = stage(score(trusted, model).select("lang", "nll", "n_predicted").filter("n_predicted > 0"))
+    own = losses(trusted, model)
     cuts = thresholds(crossed, own, quantile, floor, slack)
     release(crossed, own)
     scored = score(docs, model, text)

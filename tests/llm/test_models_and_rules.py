@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caseweave.llm import decontam, langid, quality, queries, rules
@@ -84,6 +85,8 @@ def test_model_equals_its_definition(spark, monkeypatch):
         want = -sum(math.log(p(g)) for g in grams_of(t)) if t else 0
         assert math.isclose(scored[k]["nll"], want, rel_tol=1e-5, abs_tol=1e-6) and scored[k]["n_predicted"] == (len(grams_of(t)) if t else 0) and scored[k]["text"] == t
     assert quality.score(rows.limit(0), model).count() == 0
+    same = quality.score(spark.createDataFrame([(texts[0],)] * 40, "text string").repartition(2), model)  # equal blocks
+    assert same.count() == 40 and same.select(F.round("nll", 6)).distinct().count() == 1
 
 
 def test_model_grows_with_the_text(spark):
