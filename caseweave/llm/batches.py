@@ -27,6 +27,29 @@ class Memo(dict):
         return value
 
 
+class TextMemo(Memo):
+    """A memo of parts of texts that also starts again at CHARS characters per entry of its limit.
+
+    Parts longer than LONGEST are computed each time, so neither long parts nor many wide ones fill a worker.
+    """
+
+    CHARS, LONGEST = 12, 64
+
+    def __init__(self, compute: Callable, limit: int):
+        super().__init__(compute, limit)
+        self.held = 0
+
+    def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.compute(key)
+        if len(self) >= self.limit or self.held + len(key) > self.CHARS * self.limit:
+            self.clear()
+            self.held = 0
+        self.held += len(key)
+        value = self[key] = self.compute(key)
+        return value
+
+
 _held: dict = {}
 
 

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caseweave.llm.batches import Memo, with_columns, worker_model
+from caseweave.llm.batches import Memo, TextMemo, with_columns, worker_model
 
 SPACE = "▁"
 NEVER = float("inf")
@@ -54,7 +54,7 @@ class PieceCodec:
         automaton.make_automaton()
         self.matches = automaton.iter
         self.apart = Memo(self._stays_apart, memo_pairs)
-        self.parts = Memo(self._encode_part, memo_parts)
+        self.parts = TextMemo(self._encode_part, memo_parts)
         free = re.escape("".join(c for c in map(chr, range(32)) if c not in self.rank))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank):
             self.cut = re.compile(f"[^{free}]+|[{free}]").findall

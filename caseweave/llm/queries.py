@@ -112,9 +112,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    "op8_rules",
-    r"""
+#: The ledger of all documents in SQL.
+LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -132,15 +131,27 @@ f AS (
     | (CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END) | (CASE WHEN n_dup_lines > 4 AND 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
     | (CASE WHEN word_chars < 2 * n_words OR word_chars > 25 * n_words THEN 16 ELSE 0 END)
     | (CASE WHEN 100 * n_capitals > 50 * word_chars THEN 32 ELSE 0 END) AS failed
-  FROM m)
-SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
-""",
-)
+  FROM m)"""
+
+
+@query("op8_rules", LEDGER_SQL + "\nSELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return rules.judge(rules.ledger(rules.measure(docs)), version=2).drop("text")
 
 
+@query(
+    "rule_ablations",
+    LEDGER_SQL
+    + """,
+r AS (SELECT unnest(['few_words', 'repeated_words', 'many_symbols', 'repeated_lines', 'word_length', 'mostly_capitals']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, count(*) FILTER (WHERE (failed & bit) <> 0) AS failing, count(*) FILTER (WHERE failed = bit) AS alone FROM r LEFT JOIN f ON true GROUP BY rule""",
+)
+def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return rules.ablations(rules.ledger(rules.measure(docs)), version=2)
+
+
 def held_out():
     """Whether a document is kept from training the language model."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1

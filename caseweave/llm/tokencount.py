@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caseweave.llm.batches import Memo, with_columns, worker_model
+from caseweave.llm.batches import TextMemo, with_columns, worker_model
 
 
 # Lower-case forms in which the library differs from Python. A sigma has one form whatever follows it, and
@@ -53,7 +53,7 @@ class PairCounter:
         self.final = [number[s + end] for s in byte_symbols()]
         self.words = regex.compile(before[0]["pattern"]["Regex"]).findall
         self.special = re.compile("|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or r"(?!)")
-        self.memo = Memo(self._count_word, memo_words)
+        self.memo = TextMemo(self._count_word, memo_words)
 
     def _count_word(self, word: str) -> int:
         data = word.encode()
