@@ -9,7 +9,7 @@ from caseweave.catalog.registry import query
 from caseweave.catalog.search import unit_table
 from caseweave.catalog.text import TOKENS_SQL, n_docs, sentiment_of, tokens_of
 from caseweave.functions import text as tx
-from caseweave.operators import kernels, models, ordering, terms
+from caseweave.operators import kernels, models, ordering, terms, ward
 from caseweave.session import spread, stage
 
 
@@ -185,6 +185,31 @@ def _(t):
     return models.hierarchical_clusters(models.dense_vectors(vectors(t.embeddings)), 4)
 
 
+@query("ward_merges")
+def _(t):
+    return ward.merge_tree(ward.leaves(vectors(t.embeddings)))
+
+
+@query("ward_clusters")
+def _(t):
+    return ward.ward_clusters(vectors(t.embeddings), 4)
+
+
+@query(
+    "ward_inertia",
+    """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT i, e.v[i] AS x FROM e, range(1, 65) r(i))
+SELECT (SELECT count(*) FROM e) AS n, round(sum(ss), 3) AS inertia FROM (SELECT i, var_pop(x) * count(*) AS ss FROM x GROUP BY i)""",
+)
+def _(t):
+    found = ward.leaves(vectors(t.embeddings))
+    own = found.agg(F.sum("n").alias("n"), F.sum("sse").alias("own"))
+    return own.join(ward.merge_tree(found).agg(F.sum(F.col("height") ** 2 / 2).alias("merged"))).select(
+        "n", F.round(F.coalesce("own", F.lit(0.0)) + F.coalesce("merged", F.lit(0.0)), 3).alias("inertia")
+    )
+
+
 @query("rf_group_proximity")
 def _(t):
     leaves = stage(models.rf_leaves(vectors(t.embeddings)))
