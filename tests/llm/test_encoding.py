@@ -71,3 +71,14 @@ def test_frames(spark, library):
     assert pieces.encode_decode(docs.limit(0), PIECES).count() == 0
     digests = queries.piece_digests(got).filter("text is null").first()
     assert digests["ids_sha256"] == digests["decoded_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_memo_of_parts_is_bounded_by_characters():
+    from caseweave.llm.batches import TextMemo
+
+    asked = []
+    memo = TextMemo(lambda part: asked.append(part) or len(part), 10)
+    assert memo["x" * 65] == 65 and memo["x" * 65] == 65 and not memo and len(asked) == 2
+    for k in range(8):
+        assert memo[str(k) * 60] == 60 and sum(map(len, memo)) <= 12 * 10
+    assert memo["ab"] == 2 and memo["ab"] == 2 and asked.count("ab") == 1
