@@ -8,11 +8,13 @@ all texts; lengths are counted side by side in one scan. The scans end when ever
 What has reached the threshold, and after which scan, stands in a table of ``1 << slot_bits`` bytes that goes to all
 tasks; it is the only thing that does, and it doesn't grow with the data. A phrase is looked up by a hash. Phrases that
 share a slot may become active earlier than they must, which costs work and changes no count: a start is a fixed function
-of the table, as a slot keeps the first scan written into it. Tasks count in numpy over blocks of words; counts of a
+of the table, as a slot keeps the first scan written into it, and no phrase starts before its subphrases do, whatever
+another phrase has left in their slots. Tasks count in numpy over blocks of words; counts of a
 phrase meet in one aggregation, so a phrase or a language that holds most words is a few rows per task. Phrases that have
-had their cycle take no part in later scans, and what a scan leaves is written before its shuffle is given up.
+had their cycle take no part in later scans: they are written once, if they have reached the threshold, and what a scan
+leaves is written before its shuffle is given up.
 
-Null texts are empty and have no words; a null language is ``und``; a line break in its name counts as a space. Repeated rows count as often as they are there. A
+Null texts are empty and have no words; a null language is ``und``. Repeated rows count as often as they are there. A
 document is cut into words in one task, and blocks of words bound the memory beside it. An empty table gives an empty
 result. Columns other than the text and the language are left out.
 """
@@ -23,6 +25,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -70,6 +73,7 @@ class Task:
     def __init__(self, table: np.ndarray, scan: int, shards: int, max_words: int):
         self.table, self.scan, self.shards, self.max_words = table, scan, shards, max_words
         self.shift = np.uint64(64 - (len(table) - 1).bit_length())
+        self.sizes: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -85,6 +89,7 @@ class Task:
         ids = np.fromiter(map(numbering.__getitem__, tokens), np.int64, len(tokens))
         self.blocks += [ids[ids >= 0], np.zeros(1, np.int64)]
         self.held += len(ids)
+        self.sizes[lang] = self.sizes.get(lang, 0) + int(np.count_nonzero(ids > 0))
 
     def full(self) -> bool:
         return self.held > BLOCK or len(self.words) > WORDS or self.bytes > WORD_BYTES
@@ -111,10 +116,13 @@ class Task:
                     code = np.unique(code[:n], return_inverse=True)[1]
                 code = code[:n] * len(self.words) + ids[k - 1 : k - 1 + n]
             slot = (hashed * np.uint64(0xFF51AFD7ED558CCD)) >> self.shift
-            reached = np.where(valid, self.table[slot], NEVER).astype(np.int64)
+            # another phrase of the slot may be older than this one, which hasn't been counted before its start
+            reached = np.where(valid, np.maximum(self.table[slot], start - 1), NEVER).astype(np.int64)
             at = np.flatnonzero(valid & (start <= self.scan) & (self.scan < start + self.shards))
-            _, kept, n = np.unique(code[at], return_index=True, return_counts=True)
-            kept = at[kept]
+            place, found = pd.factorize(code[at])
+            n = np.bincount(place, minlength=len(found))
+            kept = np.empty(len(found), np.int64)
+            kept[place[::-1]] = at[::-1]  # where each was found first
             for a in range(0, len(kept), ROWS):
                 rows, some = kept[a : a + ROWS], n[a : a + ROWS]
                 parts = [vocabulary.take(pa.array(ids[rows + j])) for j in range(k)]
@@ -125,6 +133,11 @@ class Task:
         if len(self.words) > WORDS or self.bytes > WORD_BYTES:
             self.forget()
 
+    def totals(self) -> pa.RecordBatch:
+        """The number of all words per language, as phrases of no words."""
+        keys = [f"{chr(ZERO)}{chr(ZERO)}{lang}\n" for lang in self.sizes]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*self.sizes.values()], pa.int64())], names=["key", "n"])
+
 
 def hashes(words: list[bytes], seed: int) -> Iterator[int]:
     """The hash of the first word, of the first two, and so on."""
@@ -154,7 +167,8 @@ def slots_of(keys: DataFrame, slot_bits: int) -> DataFrame:
 def count_scan(shard: DataFrame, table: np.ndarray, scan: int, shards: int, max_words: int) -> DataFrame:
     """(key, n): counts of the phrases that are active in this scan, one row per task block.
 
-    A key is the number of words, the first scan, the language and the phrase; the first two are a character each.
+    A key is the number of words, the first scan, the language and the phrase; the first two are a character each. In the
+    first cycle a phrase of no words holds the number of all words of its language.
     """
     sent = shard.sparkSession.sparkContext.broadcast(table)
 
@@ -171,14 +185,25 @@ def count_scan(shard: DataFrame, table: np.ndarray, scan: int, shards: int, max_
                 if task.full():
                     yield from task.count()
         yield from task.count()
+        if scan < shards:
+            yield task.totals()
 
     return shard.select("lang", "text").mapInArrow(run, "key string, n long")
 
 
+def marked(lang: F.Column) -> F.Column:
+    """A language's name without line breaks, which end it in a key; ``unmarked`` gives it back."""
+    return F.replace(F.replace(lang, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
+
+
+def unmarked(lang: F.Column) -> F.Column:
+    return F.replace(F.replace(lang, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def deal(docs: DataFrame, shards: int, text: str, lang: str) -> str:
     """Write (lang, text) of all rows with a text to a folder of shards."""
     path = fresh_path(docs.sparkSession, "shards")
-    own = F.regexp_replace(F.coalesce(F.col(lang).cast("string"), F.lit("und")), "\n", " ").alias("lang")
+    own = marked(F.coalesce(F.col(lang).cast("string"), F.lit("und"))).alias("lang")
     rows = docs.select(own, F.col(text).alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
     rows.where("text <> ''").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path
@@ -199,28 +224,30 @@ def count_phrases(
     path = deal(docs, shards, text, lang)
     schema = "lang string, text string, shard int"
     table = np.full(1 << slot_bits, NEVER, np.uint8)
-    open_counts, finished, sizes = None, [], None
+    before, finished, sizes = None, [], None
     scan, last = 0, shards - 1
-    name = F.substring_index(F.substring("key", 3, 1 << 30), "\n", 1).alias("lang")
+    name = unmarked(F.substring_index(F.substring("key", 3, 1 << 30), "\n", 1)).alias("lang")
+    words = part_of("key", "words")
     while scan <= last:
         shard = spark.read.schema(schema).parquet(path).where(F.col("shard") == scan % shards)
         rows = count_scan(shard, table, scan, shards, max_words)
-        if open_counts is not None:
-            rows = rows.unionByName(open_counts)
-        summed = stage(rows.groupBy("key").agg(F.sum("n").alias("n")))
-        fresh = slots_of(summed.where((F.col("n") >= least) & (part_of("key", "words") < max_words)), slot_bits).distinct()
+        if before is not None:  # what still had scans to come after the last one
+            rows = rows.unionByName(before.where(part_of("key", "start") + shards > scan))
+        over, often = part_of("key", "start") + shards <= scan + 1, (F.col("n") >= least) | (words == 0)
+        summed = stage(rows.groupBy("key").agg(F.sum("n").alias("n")).where(~over | often))
+        release(before)
+        reached = stage(summed.where(often))
+        fresh = slots_of(reached.where(words.between(1, max_words - 1)), slot_bits).distinct()
         slots = fresh.toArrow().column(0).to_numpy()  # at most one per entry of the table
         if (table[slots] > scan).any():
             table[slots] = np.minimum(table[slots], scan)
             last = max(last, scan + shards)
-        done = part_of("key", "start") + shards <= scan + 1
-        ended = summed.where(done & (F.col("n") >= least))
-        finished.append(stage(ended.select(name, F.expr("substr(key, instr(key, '\n') + 1)").alias("phrase"), part_of("key", "words").alias("words"), "n")))
+        ended = reached.where(over)
+        finished.append(ended.where(words > 0).select(name, F.expr("substr(key, instr(key, '\n') + 1)").alias("phrase"), words.alias("words"), "n"))
         if scan == shards - 1:
-            sizes = stage(summed.where(part_of("key", "words") == 1).groupBy(name).agg(F.sum("n").alias("n")))
-        left = stage(summed.where(~done))
-        release(summed, open_counts)
-        open_counts, scan = left, scan + 1
+            sizes = ended.where((words == 0) & (F.col("n") > 0)).select(name, "n")
+        before, scan = summed, scan + 1
+    release(before)
     found = finished[0]
     for more in finished[1:]:
         found = found.unionByName(more)

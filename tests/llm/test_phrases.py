@@ -89,6 +89,22 @@ def test_counts_are_whole_whenever_a_phrase_starts(spark):
     assert [tuple(r) for r in sizes.collect()] == [("en", sum(n for (_, p), n in want.items() if " " not in p))]
 
 
+def test_a_phrase_is_not_counted_from_a_scan_before_its_own():
+    """The pair's slot was taken after scan 0, its words came after scan 1: it starts at 2, and the three words with it."""
+    table = np.full(1 << 24, phrases.NEVER, np.uint8)
+    slots = [phrases.slot_of(f"! en\n{w}", 24) for w in ("one", "two", "six", "one two", "two six")]
+    table[slots] = 1, 1, 1, 0, 0
+    task = phrases.Task(table, 2, 2, 3)
+    task.add("en", [b"one two six"])
+    assert {r["key"] for b in task.count() for r in b.to_pylist()} == {"\"\"en\none two", "\"\"en\ntwo six", "#\"en\none two six"}
+
+
+def test_languages_with_line_breaks(spark):
+    rows = [(lang, f"{word} b. {word} b") for lang, word in (("a\nb", "one"), ("a b", "two"), ("a%0Ab", "six"), ("a%25", "ten")) for _ in range(8)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert rows_of(phrases.collocations(df)) == brute(rows)
+
+
 def test_activation_waits_for_both_parts():
     """A pair whose words became frequent after scans 0 and 2 is counted from scan 3 to the end of its cycle."""
     table = np.full(1 << 24, phrases.NEVER, np.uint8)
