@@ -2,6 +2,7 @@ from itertools import combinations
 from random import Random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,17 @@ def test_targets_go_in_blocks(spark):
     assert scores.count() == 4500 and scores.where("score <> id + target").isEmpty()
 
 
+def test_terms_are_counted_some_documents_at_a_time(monkeypatch):
+    """An Arrow batch of many tokens is counted in runs of documents, a long one alone."""
+    lists = pa.array([["a"] * n for n in (3, 4, 0, 2, 50, 1, 9, 1)] + [None, ["b" * 100, None], [], []])
+    monkeypatch.setattr(terms, "COUNTED", 10)
+    runs = [*terms.token_slices(lists)]
+    assert runs[0][0] == 0 and runs[-1][1] == len(lists) and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    assert all(b - a == 1 or sum(len(x or ()) for x in lists[a:b].to_pylist()) <= 10 for a, b in runs) and (4, 5) in runs
+    monkeypatch.setattr(terms, "COUNTED_BYTES", 20)
+    assert (9, 10) in terms.token_slices(lists) and [*terms.token_slices(lists[:0])] == []
+
+
 def test_terms_are_counted_in_their_row(spark):
     docs = spark.createDataFrame([(7, ["b", "a", "b"]), (8, []), (9, None), (10, ["a", None])], "doc_id INT, tokens ARRAY<STRING>")
     tf = terms.term_freq(docs)
