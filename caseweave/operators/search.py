@@ -156,14 +156,24 @@ def word_lookup(words: DataFrame, embedding: DataFrame) -> DataFrame:
 def embed_by_word_mean(tf: DataFrame, embedding: DataFrame, send_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, vector): sum of the known word vectors over the number of all tokens.
 
-    A word table of at most ``send_bytes`` goes to all tasks, so the terms of a document stay together and are summed
-    before the shuffle; a larger one is joined by term.
+    The word table goes to all tasks in blocks of at most about ``send_bytes``, with a pass over the terms each, so no vector
+    is shuffled with a term: a document's terms are summed where they lie, into one number per entry, and a document is
+    shuffled as one sum per task and block.
     """
     known = stage(word_lookup(tf, embedding))
-    size = known.agg(F.sum(F.size("vector") * 8 + 64)).first()[0] or 0
-    hits = tf.join(F.broadcast(known) if size <= send_bytes else known, "term")
-    sums = hits.groupBy("doc_id").agg(vector_sum("vector", F.col("tf").cast("double")).alias("v"), F.first("doc_len").alias("n"))
-    return sums.select("doc_id", F.transform("v", lambda x: x / F.col("n")).alias("vector"))
+    length = F.size("vector")
+    size, least, width, holes = known.agg(F.sum(length * 8 + 64), F.min(length), F.max(length), F.max(F.exists("vector", lambda x: x.isNull()))).first()
+    if holes or least != width:
+        raise ValueError("word vectors with null entries or of different lengths")
+    blocks, hits = max(1, -(-(size or 0) // send_bytes)), None
+    for block in range(blocks):
+        words = known if blocks == 1 else known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)
+        part = tf.select("doc_id", "term", "tf", "doc_len").join(F.broadcast(words), "term")
+        hits = part if hits is None else hits.unionByName(part)
+    sums = hits.groupBy("doc_id").agg(
+        F.max("doc_len").alias("n"), *[F.sum(F.col("vector")[i] * F.col("tf").cast("double")).alias(f"s{i}") for i in range(width or 0)]
+    )
+    return sums.select("doc_id", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(width or 0)]).cast("array<double>").alias("vector"))
 
 
 def embed_concat(parts: list[DataFrame]) -> DataFrame:

@@ -79,6 +79,34 @@ def test_word_means_count_unknown_words_and_mask_digits(spark):
     assert search.embed_by_word_mean(tf, embedding).first().vector == [0.5, 0.5]
 
 
+def test_a_large_word_table_moves_no_vectors_with_terms(spark):
+    """Words in several blocks: every join is by a block that goes to all tasks, and a document is one sum."""
+    rows = [(d, f"w{(7 * d + j) % 40}", 1 + j, 30) for d in range(9) for j in range(12)]
+    words = {f"w{i}": [i / 8, 1.0 - i] for i in range(0, 40, 2)}
+    tf = spark.createDataFrame(rows, "doc_id INT, term STRING, tf LONG, doc_len LONG")
+    embedding = spark.createDataFrame([*words.items()], "word STRING, vector ARRAY<DOUBLE>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        means = search.embed_by_word_mean(tf, embedding, send_bytes=400)
+        plan = means._jdf.queryExecution().sparkPlan().toString()
+        got = {r.doc_id: r.vector for r in means.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") > 1 and "SortMergeJoin" not in plan
+    for d in range(9):
+        want = sum(n * np.array(words[w]) for k, w, n, _ in rows if k == d and w in words) / 30
+        assert np.allclose(got[d], want)
+
+
+def test_word_vectors_with_gaps_are_an_error(spark):
+    tf = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 1, 2)], "doc_id INT, term STRING, tf LONG, doc_len LONG")
+    for other in ([None, 1.0], [1.0]):
+        embedding = spark.createDataFrame([("a", [1.0, 0.0]), ("b", other)], "word STRING, vector ARRAY<DOUBLE>")
+        with pytest.raises(ValueError):
+            search.embed_by_word_mean(tf, embedding)
+
+
 def test_targets_go_in_blocks(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(1500)], "id LONG, vector ARRAY<DOUBLE>")
     assert len(search.target_blocks(df, 10_000)) == 6 and len(search.target_blocks(df)) == 1
