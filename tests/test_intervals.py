@@ -108,3 +108,11 @@ def test_a_busy_day_is_many_slices(spark):
     assert totals.agg(F.sum("pairs")).first()[0] == 1200 * 1199 // 2
     spread = totals.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(spread) > 1
+
+
+def test_totals_are_not_sent_to_all_tasks(spark, tmp_path):
+    """The file of the incidents is small, their rows per day and digit are not: the planner must not go by the file."""
+    make(spark, random_rows(3)).write.parquet(str(tmp_path / "incidents"))
+    degrees = intervals.overlap_degrees(spark.read.parquet(str(tmp_path / "incidents")))
+    assert "Broadcast" not in degrees._jdf.queryExecution().sparkPlan().toString()
+    assert degrees.where("n_parents + n_children > 0").count() > 0
