@@ -4,9 +4,11 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 
-from caseweave.operators import clusters, kernels, models, search, terms
+from caseweave.operators import clusters, kernels, lowrank, models, search, terms
+from caseweave.session import stage
 
 
 def unit_weights(spark, rows):
@@ -262,3 +264,12 @@ def test_pivots_give_the_exact_neighbours_of_fewer_distances(spark, held):
     assert index.candidates(asked, 4).count() * 3 < 650 * 4
     few = search.PivotIndex(df.where("id < 3"), 24).nearest(asked.where("id = 0"), 10).collect()
     assert sorted(r.id for r in few) == [0, 1, 2]
+
+
+def test_word_vector_partitions_do_not_grow_with_the_tokens(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or Word2Vec(**k))
+    docs = spark.createDataFrame([(["one", "two", "three"] * 10,)] * 4, "tokens ARRAY<STRING>")
+    assert models.train_word_vectors(docs, size=4, partition_tokens=2).count() == 3
+    assert models.train_word_vectors(docs, size=4, partition_tokens=40).count() == 3
+    assert asked == [12, 3]
