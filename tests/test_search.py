@@ -266,6 +266,22 @@ def test_pivots_give_the_exact_neighbours_of_fewer_distances(spark, held):
     assert sorted(r.id for r in few) == [0, 1, 2]
 
 
+def test_class_pairs_are_compared_in_blocks(spark):
+    """No candidate pair is shuffled or joined, and the pairs are those of brute force."""
+    rng = np.random.default_rng(3)
+    profiles = rng.integers(0, 3, (40, 10))
+    profiles[7] = profiles[3]
+    rows = [(i, t, float(profiles[i, t])) for i in range(40) for t in range(10)]
+    leaves = spark.createDataFrame(rows, "id LONG, tree INT, leaf DOUBLE")
+    pairs, members = models.rf_proximity_list(leaves, 10, 0.5, held=9)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    kept = [i for i in range(40) if i != 7]
+    want = {(i, j): (profiles[i] == profiles[j]).sum() / 10 for i in kept for j in kept if i < j and (profiles[i] == profiles[j]).sum() >= 5}
+    assert {(r.id_a, r.id_b): r.proximity for r in pairs.collect()} == want and want
+    assert dict(members.collect())[7] == 3
+
+
 def test_word_vector_partitions_do_not_grow_with_the_tokens(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(models, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or Word2Vec(**k))
