@@ -1,13 +1,15 @@
 """Truncated singular value decomposition of long weights, with both factors as tables.
 
 A randomised range finder: a random table of terms x (k + spare) numbers is multiplied by AᵀA and made orthonormal again
-until the leading values settle. The documents lie in slices of a bounded number of weights. A slice meets the table of
-terms in one task by a cogrouped join, which multiplies both ways, and the slices' results are summed per term. Between
+until the leading values settle. The documents are staged once, a row each, and read by a number of tasks that doesn't
+follow them. A task opens the staged table of terms, takes its documents a bounded number of weights at a time and
+multiplies both ways; the tasks' results are summed per term, so a round shuffles one table per task and no document. Between
 the rounds only a square matrix of k + spare columns comes to the driver: the rows are made orthonormal by the inverse
 root of their Gram matrix, twice, so no factor is ever collected. At the end the values and the turn of both factors come
 from the Gram matrix of A times the table, so the columns of U·S are orthogonal to machine precision.
 
-The table of terms is kept as rows (block, data): ``BLOCK`` terms each, their numbers as bytes. It goes to every slice, terms x (k + spare) x 8 bytes each: bound the vocabulary, as its callers do.
+The table of terms is kept as rows (block, data): ``BLOCK`` terms each, their numbers as bytes. It goes to every task, terms x (k + spare) x 8 bytes each: bound the vocabulary, as its callers do.
+The tasks open it by Arrow's file systems, so the shared folder must be one that Arrow can open.
 """
 
 from __future__ import annotations
@@ -16,14 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.operators.search import vector_sum
 from caseweave.session import release, stage
 
-#: Weights of a slice of documents, weights that are multiplied at once, and terms of a block of the table.
-SLICE, CHUNK, BLOCK = 4_000_000, 1 << 16, 256
+#: Weights that a task holds at once, weights that are multiplied at once (their rows of the table fit a core's cache), and terms of a block of the table.
+HELD, CHUNK, BLOCK = 1 << 20, 1 << 11, 256
+
+#: Tasks that a table of terms is sent to, at most.
+TASKS = 16
 
 
 def lists(rows: np.ndarray) -> pa.ListArray:
@@ -36,14 +43,10 @@ def dense(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def sliced_rows(weights: DataFrame, terms: DataFrame) -> tuple[DataFrame, int]:
-    """((slice, doc_id, index, w), number of slices): a document per row, with term numbers from 0."""
-    spark = weights.sparkSession
+def document_rows(weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """Staged (doc_id, index, w): a document per row, with term numbers from 0."""
     entries = F.array_sort(F.collect_list(F.struct((F.col("index") - 1).cast("int").alias("index"), F.col("w").cast("double").alias("w"))))
-    rows = stage(weights.where("w <> 0").join(terms, "term").groupBy("doc_id").agg(entries.alias("e")).selectExpr("doc_id", "e.index AS index", "e.w AS w"))
-    size = rows.agg(F.sum(F.size("w"))).first()[0] or 0
-    n = max(-(-size // SLICE), spark.sparkContext.defaultParallelism)
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("slice"), "doc_id", "index", "w"), n
+    return stage(weights.where("w <> 0").join(terms, "term").groupBy("doc_id").agg(entries.alias("e")).selectExpr("doc_id", "e.index AS index", "e.w AS w"))
 
 
 def times(index: np.ndarray, w: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -63,32 +66,54 @@ def matrix(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data).reshape(-1, width)
 
 
-def meet(rows: DataFrame, slices: int, table: DataFrame, width: int, turn: np.ndarray | None, back: bool) -> DataFrame:
-    """Y = A·(table·turn) as (doc_id, vector), or Aᵀ·Y as (block, data) with ``back``."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def read_blocks(files: list[str], width: int) -> np.ndarray:
+    """The whole table of a staged frame (block, data)."""
+    parts = []
+    for name in files:
+        system, path = fs.FileSystem.from_uri(name)
+        with system.open_input_file(path) as source:
+            parts.append(pq.read_table(source, columns=["block", "data"]))
+    return np.concatenate([matrix(d.as_buffer(), width) for d in pa.concat_tables(parts).sort_by("block")["data"]])
+
+
+def held_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most HELD weights (a longer document alone)."""
+    ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HELD, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, keys, made = (["block", "data"], [], []) if back else (["doc_id", "vector"], left["doc_id"], [])
-        if left.num_rows:
-            right = right.sort_by("block")
-            m = np.concatenate([matrix(d, width) for d in right["data"].to_pylist()])
-            m = m if turn is None else m @ turn
-            lengths = left["w"].combine_chunks().value_lengths().to_numpy()
-            index, w = (left[c].combine_chunks().flatten().to_numpy() for c in ("index", "w"))
+
+def meet(rows: DataFrame, table: DataFrame, width: int, turn: np.ndarray | None, back: bool) -> DataFrame:
+    """Y = A·(table·turn) as (doc_id, vector), or Aᵀ·Y as (block, data) with ``back``; ``table`` is staged."""
+    kind, files = rows.schema["doc_id"].dataType.simpleString(), table.inputFiles()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = z = None
+        for part in (part for batch in batches if batch.num_rows for part in held_rows(batch)):
+            if m is None:
+                m = read_blocks(files, width)
+                m = m if turn is None else m @ turn
+                z, met = (np.zeros_like(m), np.zeros(len(m), dtype=bool)) if back else (None, None)
+            lengths = part.column(2).value_lengths().to_numpy()
+            index, w = (part.column(c).flatten().to_numpy() for c in (1, 2))
             y = times(index, w, np.cumsum(lengths) - lengths, m)
             if not back:
-                return pa.Table.from_arrays([keys, lists(y)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(y)], names=["doc_id", "vector"])
+                continue
             order = np.argsort(index, kind="stable")
             doc = np.repeat(np.arange(len(lengths)), lengths)[order]
             found, first = np.unique(index[order], return_index=True)
-            z = np.zeros((len(m), y.shape[1]))
-            z[found] = times(doc, w[order], first, y)
-            keys = np.unique(found // BLOCK)
-            made = [z[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in keys]
-        return pa.Table.from_arrays([pa.array(keys, pa.int32()), pa.array(made, pa.binary())] if back else [keys, pa.array(made, pa.list_(pa.float64()))], names=names)
-
-    everywhere = table.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "block", "data")
-    met = rows.groupBy("slice").cogroup(everywhere.groupBy("slice")).applyInArrow(run, "block int, data binary" if back else f"doc_id {kind}, vector array<double>")
+            z[found] += times(doc, w[order], first, y)
+            met[found] = True
+        if back and m is not None:
+            for b in np.unique(np.flatnonzero(met) // BLOCK).tolist():
+                data = z[b * BLOCK : (b + 1) * BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], names=["block", "data"])
+
+    met = rows.coalesce(TASKS).mapInArrow(run, "block int, data binary" if back else f"doc_id {kind}, vector array<double>")
     return block_sums(met) if back else met
 
 
@@ -195,12 +220,11 @@ def truncated_svd(
     n_terms = terms.count()
     if n_terms == 0:
         raise ValueError("no terms")
-    rows, slices = sliced_rows(weights, terms)
-    rows = stage(rows)
+    rows = document_rows(weights, terms)
     width = min(k + spare, n_terms)
     table, turn, before = stage(random_table(weights.sparkSession, n_terms, width, seed)), None, None
     for _ in range(max_rounds):
-        following = stage(meet(rows, slices, table, width, turn, back=True))
+        following = stage(meet(rows, table, width, turn, back=True))
         release(table)
         width = width if turn is None else turn.shape[1]
         table = following
@@ -209,7 +233,7 @@ def truncated_svd(
         if before is not None and len(before) == len(leading) and (abs(leading - before) <= settled * leading).all():
             break
         before = leading
-    y = stage(meet(rows, slices, table, width, turn, back=False))
+    y = stage(meet(rows, table, width, turn, back=False))
     values, directions = np.linalg.eigh(gram(y, turn.shape[1]))
     kept = min(k, len(values))
     sigma, directions = np.sqrt(np.maximum(values[::-1][:kept], 0)), directions[:, ::-1][:, :kept]

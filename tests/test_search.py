@@ -289,3 +289,25 @@ def test_word_vector_partitions_do_not_grow_with_the_tokens(spark, monkeypatch):
     assert models.train_word_vectors(docs, size=4, partition_tokens=2).count() == 3
     assert models.train_word_vectors(docs, size=4, partition_tokens=40).count() == 3
     assert asked == [12, 3]
+
+
+def test_lsa_rounds_shuffle_no_documents(spark, matrix):
+    """The documents are read where they lie; only sums per block of terms are shuffled."""
+    numbered = models.numbered_terms(matrix[1].select("term").distinct())
+    rows = lowrank.document_rows(matrix[1], numbered)
+    table = stage(lowrank.random_table(spark, 8, 3, 1))
+    y = lowrank.meet(rows, table, 3, None, back=False)
+    assert "Exchange" not in y._jdf.queryExecution().executedPlan().toString()
+    omega = np.random.default_rng([1, 0]).standard_normal((8, 3))
+    got = {r.doc_id: r.vector for r in y.collect()}
+    assert len(got) == len(model_rows(matrix[0])) and all(np.allclose(got[d], matrix[0][d] @ omega) for d in got)
+    z = lowrank.meet(rows, table, 3, None, back=True).collect()
+    assert np.allclose(lowrank.matrix(z[0]["data"], 3), matrix[0].T @ matrix[0] @ omega)
+
+
+def test_rows_of_documents_go_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(lowrank, "HELD", 4)
+    lengths = [2, 2, 1, 9, 1]
+    lists = pa.array([list(range(n)) for n in lengths])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), lists, lists.cast(pa.list_(pa.float64()))], names=["doc_id", "index", "w"])
+    assert [p.column(0).to_pylist() for p in lowrank.held_rows(batch)] == [[0, 1], [2], [3], [4]]
