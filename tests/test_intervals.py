@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 from random import Random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,15 @@ def test_totals_are_not_sent_to_all_tasks(spark, tmp_path):
     degrees = intervals.overlap_degrees(spark.read.parquet(str(tmp_path / "incidents")))
     assert "Broadcast" not in degrees._jdf.queryExecution().sparkPlan().toString()
     assert degrees.where("n_parents + n_children > 0").count() > 0
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 5])
+def test_pairs_carry_columns_of_their_ends(spark):
+    """The pairs need no join with the incidents, which would shuffle them."""
+    rows = random_rows(5)
+    severity = {r[0]: r[4] for r in rows}
+    incidents = make(spark, rows)
+    pairs = intervals.pair_incidents_by_overlap(incidents.where("incident_id % 10 = 0"), incidents, carried=["severity"])
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = pairs.collect()
+    assert got and all((r.parent_severity, r.child_severity) == (severity[r.parent], severity[r.child]) for r in got)
