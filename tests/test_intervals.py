@@ -119,7 +119,30 @@ def test_totals_are_not_sent_to_all_tasks(spark, tmp_path):
     assert degrees.where("n_parents + n_children > 0").count() > 0
 
 
+def test_starts_of_a_day_go_in_slots(spark, monkeypatch):
+    """Starts of one day meet running totals of components, not one another, however the day is cut."""
+    incidents = make(spark, random_rows(4))
+    totals = lambda: sorted((r.src, r.dst, r.pairs, round(r.elapsed, 9)) for r in intervals.pair_totals(incidents).collect())
+    whole = totals()
+    monkeypatch.setattr(intervals, "SLOT", 3)
+    assert totals() == whole and len(whole) > 1
+    assert intervals.meeting_points(incidents, levels=0).where("level BETWEEN 0 AND 9").isEmpty()
+
+
 @pytest.mark.parametrize("cells", [1 << 22, 5])
+def test_a_slot_takes_blocks_of_components(monkeypatch, cells):
+    monkeypatch.setattr(intervals, "CELLS", cells)
+    at, by = [-1, -1, 10, 10, 30, 20], [1, None, 1, 2, None, 2]
+    n, s = [2, 1, 1, 3, 2, 1], [0.5, 0.25, 1.0, 3.0, 6.0, 2.0]
+    rows = pa.table({"at": pa.array(at), "n": pa.array(n), "s": pa.array(s), "by": pa.array(by, pa.int64())})
+    expected = {}
+    for c, p in ((c, p) for c in range(6) for p in range(6) if at[c] >= 0 and at[p] < at[c]):
+        pairs, days = expected.get((by[p], by[c]), (0, 0.0))
+        expected[by[p], by[c]] = pairs + n[p] * n[c], days + s[c] * n[p] - n[c] * s[p]
+    got = {(r["src"], r["dst"]): (r["n"], r["elapsed"]) for r in intervals.slot_totals(rows).to_pylist()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
 def test_pairs_carry_columns_of_their_ends(spark):
     """The pairs need no join with the incidents, which would shuffle them."""
     rows = random_rows(5)
