@@ -282,6 +282,21 @@ def test_class_pairs_are_compared_in_blocks(spark):
     assert dict(members.collect())[7] == 3
 
 
+def test_class_pairs_of_repeated_keys(spark):
+    """Keys that repeat have more leaves than there are trees; their pairs also share one of the rarest leaves."""
+    rng = np.random.default_rng(6)
+    profiles = [sorted((t, float(x)) for _ in range(2 if i % 3 == 0 else 1) for t, x in enumerate(rng.integers(0, 3, 6))) for i in range(30)]
+    rows = [(i, t, x) for i, profile in enumerate(profiles) for t, x in profile]
+    found = models.rf_proximity_list(spark.createDataFrame(rows, "id LONG, tree INT, leaf DOUBLE"), 6, 0.5, held=8)[0].collect()
+    lists = [[x for _, x in profile] for profile in profiles]
+    classes = [i for i in range(30) if lists.index(lists[i]) == i]
+    sizes = {(t, x): sum(lists[i][t : t + 1] == [x] for i in classes) for t in range(12) for x in range(3)}
+    rare = {i: set(sorted((sizes[t, x], t, x) for t, x in enumerate(lists[i]))[: 6 - 3 + 1]) for i in classes}
+    same = lambda i, j: sum(x == y for x, y in zip(lists[i], lists[j]))
+    want = {(i, j): same(i, j) / 6 for i in classes for j in classes if i < j and same(i, j) >= 3 and rare[i] & rare[j]}
+    assert {(r.id_a, r.id_b): r.proximity for r in found} == want and want
+
+
 def test_word_vector_partitions_do_not_grow_with_the_tokens(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(models, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or Word2Vec(**k))
