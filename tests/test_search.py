@@ -249,6 +249,18 @@ def test_pairs_with_cut_postings(spark, monkeypatch):
     assert sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect()) == whole and whole
 
 
+def test_pairs_join_no_postings(spark, monkeypatch):
+    """Blocks of rows are compared in their tasks: no candidate pair is joined, shuffled or written."""
+    monkeypatch.setattr(search, "POSTINGS", 7)
+    rng = np.random.default_rng(3)
+    rows = {d: {f"t{t}": float(rng.random()) for t in rng.choice(9, 4, replace=False)} for d in range(30)}
+    df = search.pairwise_doc_similarity(unit_weights(spark, rows), 0.5)
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    length = lambda r: sum(x * x for x in r.values()) ** 0.5
+    scores = {(a, b): sum(w * rows[b].get(t, 0) for t, w in rows[a].items()) / length(rows[a]) / length(rows[b]) for a, b in combinations(rows, 2)}
+    assert {(r.doc_a, r.doc_b): r.similarity for r in df.collect()} == pytest.approx({k: s for k, s in scores.items() if s >= 0.5})
+
+
 @pytest.mark.parametrize("held", [20_000, 7])
 def test_pivots_give_the_exact_neighbours_of_fewer_distances(spark, held):
     rng = np.random.default_rng(8)
