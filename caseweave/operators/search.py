@@ -23,6 +23,8 @@ from caseweave.session import fresh_path, stage
 POSTINGS, BLOCK_ENTRIES = 2048, 600_000
 #: Products of two weights and cells of a pair table that are held at once.
 PRODUCTS, CELLS = 1_000_000, 1_000_000
+#: Products of a query's and a document's term in a task of a search, and bytes of query terms that go to all tasks.
+SCORED, SENT = 1_000_000, 32 << 20
 
 
 # --- sparse term weights ------------------------------------------------------------------------
@@ -234,19 +236,29 @@ def near_rows(left: pa.ChunkedArray, right: pa.ChunkedArray, min_sim: float, sam
 
 
 def search_posts(query_tf: DataFrame, tf: DataFrame, size: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The ``size`` best documents of each query text by BM25 over the term table."""
+    """The ``size`` best documents of each query text by BM25 over the term table.
+
+    Postings are dealt by document to as many tasks as there are SCORED products of a query's and a document's term, and scored
+    where they lie, so what a task holds does not grow with the documents. Only query texts of over ``SENT`` bytes are joined by a shuffle.
+    """
     lengths = tf.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"))
     stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("doc_len").alias("avg_len"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     wanted = query_tf.select("query_id", "term", F.col("tf").alias("qtf"))
-    postings = tf.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = stage(wanted.groupBy("term").agg(F.count(F.lit(1)).alias("queries")))
+    bytes_sent = wanted.agg(F.sum(F.octet_length("term") + 48)).first()[0] or 0
+    sent = F.broadcast if bytes_sent <= SENT else lambda df: df
+    postings = tf.join(sent(asked.select("term")), "term", "left_semi")
+    df = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    products = df.join(asked, "term").agg(F.sum(F.col("df") * F.col("queries"))).first()[0] or 0
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
+    parts = max(tf.sparkSession.sparkContext.defaultParallelism, -(-products // SCORED))
+    dealt = postings.select("doc_id", "term", gain.alias("gain")).repartition(parts, "doc_id")
     scores = (
-        postings.join(wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("wq")), "term")
+        dealt.join(sent(wanted.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("wq"))), "term")
         .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("wq") * gain).alias("score"))
+        .agg(F.sum(F.col("wq") * F.col("gain")).alias("score"))
     )
     return best_docs(scores, size)
 

@@ -1,3 +1,4 @@
+import re
 from itertools import combinations
 from random import Random
 
@@ -249,6 +250,21 @@ def test_pairs_with_cut_postings(spark, monkeypatch):
     assert sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect()) == whole and whole
 
 
+def test_search_is_dealt_by_document(spark, monkeypatch):
+    """A task scores a bounded number of term pairs, whatever the number of documents."""
+    rng = np.random.default_rng(4)
+    rows = [(d, f"t{t}", int(rng.integers(1, 5)), 9) for d in range(60) for t in rng.choice(8, 4, replace=False)]
+    tf = spark.createDataFrame(rows, "doc_id LONG, term STRING, tf LONG, doc_len LONG")
+    asked = spark.createDataFrame([(q, f"t{t}", 1, 3) for q in range(4) for t in range(q, q + 3)], "query_id LONG, term STRING, tf LONG, doc_len LONG")
+    whole = [tuple(r) for r in search.search_posts(asked, tf, 10).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(search, "SCORED", 20)
+    cut = search.search_posts(asked, tf, 10)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert int(re.search(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)[1]) == sum((d[1] in {f"t{t}" for t in range(q, q + 3)}) for d in rows for q in range(4)) // 20 + 1
+    found = [tuple(r) for r in cut.orderBy("query_id", "rank").collect()]
+    assert [r[:2] for r in found] == [r[:2] for r in whole] and [r[2] for r in found] == pytest.approx([r[2] for r in whole])
+
+
 def test_pairs_join_no_postings(spark, monkeypatch):
     """Blocks of rows are compared in their tasks: no candidate pair is joined, shuffled or written."""
     monkeypatch.setattr(search, "POSTINGS", 7)
