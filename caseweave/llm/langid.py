@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -59,12 +58,9 @@ def buckets(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in [*parts, f"={word}"]]
 
 
-_cached_buckets = lru_cache(100_000)(buckets)
-
-
-def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, share) of the subwords of all words."""
-    found, n = np.unique(np.array([b for w in words for b in _cached_buckets(w)]), return_counts=True)
+def bag(words: list[str], known: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, share) of the subwords of all words; ``known`` holds the buckets of a word."""
+    found, n = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
     return found, (n / n.sum()).astype(np.float32)
 
 
@@ -81,7 +77,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 5, rate: float = 0.5, held_sh
         return None
     languages = sorted({lang for _, lang in lines})
     number = {lang: k for k, lang in enumerate(languages)}
-    bags = [(*bag(w), number[lang]) for w, lang in lines]
+    known = Memo(lambda word: np.array(buckets(word), np.uint16), 100_000)  # goes with this call: the driver keeps no words
+    bags = [(*bag(w, known), number[lang]) for w, lang in lines]
+    del lines, known
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(bags))
     held = [bags[k] for k in order[: len(bags) // held_share]]

@@ -1,6 +1,8 @@
 """Languages beyond the number that the sample holds at full size."""
 
+import gc
 import random
+import tracemalloc
 
 import pytest
 
@@ -38,3 +40,14 @@ def test_too_many_languages_are_an_error(spark):
     docs = spark.createDataFrame(corpus(4), "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="languages"):
         langid.learn(docs, sample=3)
+
+
+def test_fit_keeps_no_words_in_the_driver():
+    rng = random.Random(3)
+    rows = [(" ".join("".join(rng.choices("abcdefghijklm", k=9)) for _ in range(500)), f"l{k % 2}") for k in range(40)]
+    tracemalloc.start()
+    model = langid.fit(rows)
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < model.scores.nbytes + (2 << 20)
