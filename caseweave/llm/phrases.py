@@ -58,13 +58,15 @@ class Numbering(dict):
         super().__init__({b"": -1, b"\n": 0})
         self.seed, self.lang, self.task = xxhash.xxh64_intdigest(lang, 42), lang, task
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.task.words)
-        self.task.words.append(word)
-        self.task.langs.append(self.lang)
-        self.task.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
-        self.task.bytes += len(word)
-        return number
+    def learn(self, words: list[bytes]) -> None:
+        """Number the words that are new."""
+        new = [w for w in words if w not in self]
+        task, seed = self.task, self.seed
+        self.update(zip(new, range(len(task.words), len(task.words) + len(new)), strict=True))
+        task.words += new
+        task.langs += [self.lang] * len(new)
+        task.hashes.extend([xxhash.xxh64_intdigest(w, seed) for w in new])
+        task.bytes += sum(map(len, new))
 
 
 class Task:
@@ -85,8 +87,11 @@ class Task:
         numbering = self.numbering.get(lang)
         if numbering is None:
             numbering = self.numbering[lang] = Numbering(lang, self)
-        tokens = b"\n".join(texts).translate(_prepare).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(numbering.__getitem__, tokens), np.int64, len(tokens))
+        joined = b"\n".join(texts).translate(_prepare).replace(b"\n", b" \n ")
+        tokens = pc.split_pattern(pa.array([joined], pa.large_binary()), " ").values.dictionary_encode()
+        known = tokens.dictionary.to_numpy(zero_copy_only=False).tolist()  # each different word of these texts is looked up once
+        numbering.learn(known)
+        ids = np.fromiter(map(numbering.__getitem__, known), np.int64, len(known))[tokens.indices.to_numpy()]
         self.blocks += [ids[ids >= 0], np.zeros(1, np.int64)]
         self.held += len(ids)
         self.sizes[lang] = self.sizes.get(lang, 0) + int(np.count_nonzero(ids > 0))
@@ -102,31 +107,32 @@ class Task:
         self.blocks, self.held = [], 0
         vocabulary, langs = pa.array(self.words, pa.binary()), pa.array([f"{x}\n".encode() for x in self.langs], pa.binary())
         first = np.frombuffer(self.hashes, np.uint64)[ids]
-        valid, hashed, code = ids > 0, first, ids
-        start = np.zeros(len(ids), np.int64)
+        at = np.flatnonzero(ids > 0)  # where the phrases of k words begin
+        hashed, code, start = first[at], ids[at], np.zeros(len(at), np.int16)
         for k in range(1, self.max_words + 1):
             if k > 1:
-                n = max(len(ids) - k + 1, 0)
-                valid = valid[:n] & (ids[k - 1 : k - 1 + n] > 0)
-                later = np.maximum(reached[:n], reached[1 : n + 1])
-                start = later + 1
-                valid &= later < NEVER
-                hashed = (hashed[:n] * np.uint64(0x9E3779B97F4A7C15) + first[k - 1 : k - 1 + n]) * np.uint64(0xD6E8FEB86659FD93)
+                later = np.maximum(reached[at], reached[at + 1])
+                both = np.flatnonzero(later < NEVER)
+                at, hashed, code, start = at[both], hashed[both], code[both], later[both].astype(np.int16) + 1
+                end = at + (k - 1)
+                hashed = (hashed * np.uint64(0x9E3779B97F4A7C15) + first[end]) * np.uint64(0xD6E8FEB86659FD93)
                 if len(self.words) ** k >= 1 << 62:
-                    code = np.unique(code[:n], return_inverse=True)[1]
-                code = code[:n] * len(self.words) + ids[k - 1 : k - 1 + n]
-            slot = (hashed * np.uint64(0xFF51AFD7ED558CCD)) >> self.shift
-            # another phrase of the slot may be older than this one, which hasn't been counted before its start
-            reached = np.where(valid, np.maximum(self.table[slot], start - 1), NEVER).astype(np.int64)
-            at = np.flatnonzero(valid & (start <= self.scan) & (self.scan < start + self.shards))
-            place, found = pd.factorize(code[at])
+                    code = np.unique(code, return_inverse=True)[1]
+                code = code * len(self.words) + ids[end]
+            if k < self.max_words:
+                slot = (hashed * np.uint64(0xFF51AFD7ED558CCD)) >> self.shift
+                reached = np.full(len(ids) + 1, NEVER, np.uint8)
+                # another phrase of the slot may be older than this one, which hasn't been counted before its start
+                reached[at] = np.maximum(self.table[slot], start - 1)
+            active = np.flatnonzero((start <= self.scan) & (self.scan < start + self.shards))
+            place, found = pd.factorize(code[active])
             n = np.bincount(place, minlength=len(found))
-            kept = np.empty(len(found), np.int64)
-            kept[place[::-1]] = at[::-1]  # where each was found first
+            kept, started = np.empty(len(found), np.int64), np.empty(len(found), np.int16)
+            kept[place[::-1]], started[place[::-1]] = at[active[::-1]], start[active[::-1]]  # where each was found first
             for a in range(0, len(kept), ROWS):
                 rows, some = kept[a : a + ROWS], n[a : a + ROWS]
                 parts = [vocabulary.take(pa.array(ids[rows + j])) for j in range(k)]
-                marks = [pa.scalar(bytes([ZERO + k])).cast(pa.binary()), pa.array(STARTS[start[rows]], pa.binary()), langs.take(pa.array(ids[rows]))]
+                marks = [pa.scalar(bytes([ZERO + k])).cast(pa.binary()), pa.array(STARTS[started[a : a + ROWS]], pa.binary()), langs.take(pa.array(ids[rows]))]
                 phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
                 key = pc.binary_join_element_wise(*marks, phrase, b"")
                 yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(some.astype(np.int64))], names=["key", "n"])

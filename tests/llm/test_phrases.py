@@ -125,3 +125,15 @@ def test_scores_beyond_64_bits(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert phrases.collocations(df).collect() == []
+
+
+def test_a_word_is_looked_up_once_per_slice(monkeypatch):
+    asked = []
+    learn = phrases.Numbering.learn
+    monkeypatch.setattr(phrases.Numbering, "learn", lambda self, words: (asked.append(list(words)), learn(self, words)))
+    task = phrases.Task(np.full(16, phrases.NEVER, np.uint8), 0, 2, 3)
+    task.add("en", [b"b a a, b a", b"", b"A\nc"])
+    task.add("en", [b"c d"])
+    assert all(len(words) == len(set(words)) for words in asked)
+    found = {key: n for batch in task.count() for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+    assert found == {f"! en\n{w}": n for w, n in {"a": 4, "b": 2, "c": 2, "d": 1}.items()}
