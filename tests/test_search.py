@@ -175,6 +175,26 @@ def test_string_kernel_long_texts_cross_blocks():
     assert kernels.subsequence_kernel(a, b, 0.5, 2) == pytest.approx(total)
 
 
+def test_string_kernels_side_by_side():
+    rng = Random(4)
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 30))) for _ in range(60)] + ["ab" * 600, "ba" * 700]
+    pairs = [*zip(texts, texts[::-1], strict=True)]
+    assert kernels.subsequence_kernels(pairs, 0.5, 3) == pytest.approx([kernels.subsequence_kernel(a, b, 0.5, 3) for a, b in pairs])
+
+
+def test_kernel_candidates_come_once_and_both_ways(spark):
+    rng = Random(8)
+    texts = [" ".join(rng.choices("abcde", k=6)) for _ in range(80)] + ["x", " "]
+    df = spark.createDataFrame([(f"{k:03d}", t) for k, t in enumerate(texts)], "id STRING, text STRING")
+    once = {(r.id_a, r.id_b): (r.text_a, r.text_b) for r in kernels.shingle_candidates(df, 2, 0.6, both_ways=False).collect()}
+    both = [(r.id_a, r.id_b) for r in kernels.shingle_candidates(df, 2, 0.6).collect()]
+    assert once and all(a < b for a, b in once) and sorted(both) == sorted([*once, *[(b, a) for a, b in once]])
+    grams = lambda t: {tuple(w[i : i + 2]) for w in [t.split()] for i in range(len(w) - 1)}
+    assert all(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) > 0.4 for a, b in once.values())
+    pairs = spark.createDataFrame([(1, 2, "cat", "cart")], "id_a INT, id_b INT, text_a STRING, text_b STRING")
+    assert {(r.id_a, r.id_b) for r in kernels.string_kernel_pairs(pairs, p=2, mirrored=True).collect()} == {(1, 2), (2, 1)}
+
+
 def test_kernel_pairs_are_scaled_per_item(spark):
     pairs = spark.createDataFrame([(1, 1, "cat", "cart"), (1, 2, "cat", "cat"), (2, 1, "xy", "cat")], "id_a INT, id_b INT, text_a STRING, text_b STRING")
     rows = kernels.string_kernel_pairs(pairs, p=2).collect()
