@@ -345,6 +345,21 @@ def test_class_pairs_of_repeated_keys(spark):
     assert {(r.id_a, r.id_b): r.proximity for r in found} == want and want
 
 
+def test_every_pair_of_rows_that_is_near_is_listed(spark):
+    """Rows of one class pair with one another and with all that their class is near to; keys that repeat lose no pair."""
+    rng = np.random.default_rng(6)
+    profiles = [[float(x) for x in rng.integers(0, 3, 12 if i % 4 == 0 else 6)] for i in range(30)]
+    for i, j in ((9, 3), (17, 3), (22, 4), (5, 7)):
+        profiles[i] = profiles[j]
+    rows = [(i, t % 6, x) for i, profile in enumerate(profiles) for t, x in enumerate(profile)]
+    found = models.rf_proximity_list(spark.createDataFrame(rows, "id LONG, tree INT, leaf DOUBLE"), 6, 0.5, held=8, every_row=True)[0].collect()
+    lists = [[x for _, x in sorted((t % 6, x) for t, x in enumerate(profile))] for profile in profiles]
+    same = lambda i, j: sum(x == y for x, y in zip(lists[i], lists[j]))
+    want = {(i, j): same(i, j) / 6 for i in range(30) for j in range(i + 1, 30) if same(i, j) >= 3}
+    assert {(r.id_a, r.id_b): r.proximity for r in found} == want and len(found) == len(want)
+    assert want[3, 9] == want[3, 17] == want[9, 17] == want[5, 7] == 1
+
+
 def test_word_vector_partitions_do_not_grow_with_the_tokens(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(models, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or Word2Vec(**k))
