@@ -270,6 +270,40 @@ def test_pairs_with_cut_postings(spark, monkeypatch):
     assert sorted((r.doc_a, r.doc_b) for r in search.pairwise_doc_similarity(weights, 0.6).collect()) == whole and whole
 
 
+def brute_products(weights, least):
+    """Pairs of ids by the product of their summed weights per term."""
+    rows = {}
+    for d, t, w in weights:
+        rows.setdefault(d, {}).setdefault(t, 0.0)
+        rows[d][t] += w
+    dots = {(a, b): sum(w * rows[b].get(t, 0.0) for t, w in rows[a].items()) for a, b in combinations(sorted(rows), 2)}
+    return {k: s for k, s in dots.items() if s >= least}
+
+
+def test_copies_are_in_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(search, "POSTINGS", 7)
+    monkeypatch.setattr(search, "COPIES", 3)
+    rng = np.random.default_rng(9)
+    rows = {d: {f"t{t}": float(rng.random()) for t in rng.choice(9, 4, replace=False)} for d in range(20)}
+    rows |= {d: rows[d % 3] for d in range(20, 34)}
+    df = unit_weights(spark, rows)
+    got = search.pairwise_doc_similarity(df, 0.6, every_pair=True).collect()
+    want = brute_products([tuple(r) for r in df.collect()], 0.6)
+    assert {(r.doc_a, r.doc_b): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert (20, 23) in want and any(a < 20 <= b and rows[a] is not rows[b] for a, b in want)
+
+
+def test_repeated_ids_lose_no_pair(spark, monkeypatch):
+    """Weights of repeated ids have norm 1 as a list and a larger one when equal terms are added up."""
+    monkeypatch.setattr(search, "POSTINGS", 9)
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        rows = [(d, f"t{t}", float(rng.random())) for d in range(24) for _ in range(1 + d % 3) for t in rng.choice(14, 5, replace=False)]
+        weights = terms.l2_normalize(spark.createDataFrame(rows, "doc_id LONG, term STRING, w DOUBLE"))
+        got = {(r.doc_a, r.doc_b): r.similarity for r in search.pairwise_doc_similarity(weights, 0.7, every_pair=True).collect()}
+        assert got == pytest.approx(brute_products([tuple(r) for r in weights.collect()], 0.7)) and got
+
+
 def test_search_is_dealt_by_document(spark, monkeypatch):
     """A task scores a bounded number of term pairs, whatever the number of documents."""
     rng = np.random.default_rng(4)
