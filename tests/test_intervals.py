@@ -68,6 +68,27 @@ def test_pairs_and_totals_match_brute_force(spark, seed):
         assert degrees[r[0]].parent_days == pytest.approx(sum(v[2] for v in parents), abs=1e-9)
 
 
+def test_links_are_counted_from_pairs_of_ids(spark, monkeypatch):
+    """An incident that comes twice is no parent of itself, and one without an id has no links."""
+    rows = random_rows(6, 40)
+    rows += [(i, app, start + timedelta(hours=k), end + timedelta(hours=k), s) for k, (i, app, start, end, s) in enumerate(rows[:12])]
+    rows += [(None, *r[1:]) for r in rows[:9]]
+    days = [open_keys(r) for r in rows]
+    named = [(r, k) for r, k in zip(rows, days) if r[0] is not None]
+    want = {}
+    for p, of in named:
+        for c, on in named:
+            if p[0] != c[0] and p[2] <= c[2] and of & on:
+                for i, x in ((c[0], (1, 0, (c[2] - p[2]) / timedelta(days=1))), (p[0], (0, 1, 0.0))):
+                    want[i] = tuple(map(sum, zip(want.get(i, (0, 0, 0.0)), x)))
+    for most in (1 << 16, 5):
+        monkeypatch.setattr(intervals, "PROBES", most)
+        degrees = intervals.overlap_degrees(make(spark, rows))
+        got = {r.incident_id: (r.n_parents, r.n_children, r.parent_days) for r in degrees.collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in got)
+    assert degrees._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_ties_count_once_when_broken(spark):
     rows = [(i, i % 3, START, START, 1) for i in range(9)]
     incidents = make(spark, rows)
