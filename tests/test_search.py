@@ -304,6 +304,48 @@ def test_repeated_ids_lose_no_pair(spark, monkeypatch):
         assert got == pytest.approx(brute_products([tuple(r) for r in weights.collect()], 0.7)) and got
 
 
+@pytest.mark.parametrize("most", [1 << 19, 7])
+def test_unit_weights_of_whole_documents_are_not_shuffled(spark, monkeypatch, most):
+    """Documents are weighed where they lie, however they are cut into batches; a vocabulary too large for a task is joined."""
+    monkeypatch.setattr(terms, "WEIGHTED", most)
+    docs = [(d, [f"t{(d * k) % 17}" for k in range(1 + d % 9)] + [None] * (d % 2)) for d in range(60)]
+    df = spark.createDataFrame([*docs, (60, []), (61, None), (None, ["t1", "t2"])], "doc_id LONG, tokens ARRAY<STRING>").coalesce(2)
+    tf = terms.term_freq(df)
+    vocabulary = terms.bound_vocabulary(tf, 62.0, 3, 0.5)
+    old = terms.tfidf(tf, 62.0, "smooth", by_length=False, l2=True, vocabulary=vocabulary)
+    new = terms.tfidf(tf, 62.0, "smooth", by_length=False, l2=True, vocabulary=vocabulary, together=True)
+    assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+    want = {(r.doc_id, r.term): r.w for r in old.collect()}
+    assert {(r.doc_id, r.term): r.w for r in new.collect()} == pytest.approx(want) and len(want) > 100
+    monkeypatch.setattr(terms, "VOCABULARY", 10)
+    joined = terms.tfidf(tf, 62.0, "smooth", by_length=False, l2=True, vocabulary=vocabulary, together=True)
+    assert {(r.doc_id, r.term): r.w for r in joined.collect()} == pytest.approx(want)
+
+
+def test_similar_documents_are_scored_where_they_lie(spark, monkeypatch):
+    """Sums of a query and a document are not shuffled; a task has a bounded number of products."""
+    rng = np.random.default_rng(8)
+    rows = {d: {f"t{t}": float(rng.random()) for t in rng.choice(12, 5, replace=False)} for d in range(50)}
+    weights = unit_weights(spark, rows)
+    idf = spark.createDataFrame([(f"t{t}", 1.0 + t / 9) for t in range(11)], "term STRING, idf DOUBLE")
+    asked = {q: {f"t{t}": 1 + (q + t) % 3 for t in range(q, q + 4)} for q in range(6)}
+    query_tf = spark.createDataFrame([(q, t, n) for q, row in asked.items() for t, n in row.items()], "query_id LONG, term STRING, tf LONG")
+    monkeypatch.setattr(search, "SCORED", 20)
+    df = search.similar_docs(query_tf, idf, weights, 4, 1)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\w+, doc_id", plan) and "REPARTITION_BY_NUM" in plan
+    unit = {r.doc_id: {} for r in weights.collect()}
+    for r in weights.collect():
+        unit[r.doc_id][r.term] = r.w
+    want = set()
+    for q, row in asked.items():
+        w = {t: n * (1.0 + int(t[1:]) / 9) for t, n in row.items() if int(t[1:]) < 11}
+        length = sum(x * x for x in w.values()) ** 0.5
+        scores = sorted((-round(sum(x * u.get(t, 0.0) for t, x in w.items()) / length, 9), d) for d, u in unit.items() if set(u) & set(w))
+        want |= {(q, d, i + 1) for i, (_, d) in enumerate(scores[:5]) if i}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in df.collect()} == want
+
+
 def test_search_is_dealt_by_document(spark, monkeypatch):
     """A task scores a bounded number of term pairs, whatever the number of documents."""
     rng = np.random.default_rng(4)
