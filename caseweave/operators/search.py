@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import vectors as vec
 from caseweave.operators.ordering import top_k_per_group
-from caseweave.session import fresh_path, stage
+from caseweave.session import fresh_path, release, stage
 
 #: Rows of a block that is compared with another block at once, and their entries.
 POSTINGS, BLOCK_ENTRIES = 2048, 600_000
@@ -27,6 +27,8 @@ COPIES = 2048
 PRODUCTS, CELLS = 1_000_000, 1_000_000
 #: Products of a query's and a document's term in a task of a search, and bytes of query terms that go to all tasks.
 SCORED, SENT = 1_000_000, 32 << 20
+#: Blocks of a word table that go to all tasks in one job.
+AT_ONCE = 2
 
 
 # --- sparse term weights ------------------------------------------------------------------------
@@ -321,26 +323,33 @@ def word_lookup(words: DataFrame, embedding: DataFrame) -> DataFrame:
     return direct.where("vector IS NOT NULL").select("term", "vector").unionByName(masked.join(known, "key").select("term", "vector"))
 
 
-def embed_by_word_mean(tf: DataFrame, embedding: DataFrame, send_bytes: int = 64 << 20) -> DataFrame:
+def embed_by_word_mean(tf: DataFrame, embedding: DataFrame, send_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, vector): sum of the known word vectors over the number of all tokens.
 
     The word table goes to all tasks in blocks of at most about ``send_bytes``, with a pass over the terms each, so no vector
     is shuffled with a term: a document's terms are summed where they lie, into one number per entry, and a document is
-    shuffled as one sum per task and block.
+    shuffled as one sum per task and block. At most AT_ONCE blocks are sent in one job, as the driver holds them all: with
+    more, the sums so far are stored and go into the next job as rows of their own.
     """
     known = stage(word_lookup(tf, embedding))
     length = F.size("vector")
     size, least, width, holes = known.agg(F.sum(length * 8 + 64), F.min(length), F.max(length), F.max(F.exists("vector", lambda x: x.isNull()))).first()
     if holes or least != width:
         raise ValueError("word vectors with null entries or of different lengths")
-    blocks, hits = max(1, -(-(size or 0) // send_bytes)), None
-    for block in range(blocks):
-        words = known if blocks == 1 else known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)
-        part = tf.select("doc_id", "term", "tf", "doc_len").join(F.broadcast(words), "term")
-        hits = part if hits is None else hits.unionByName(part)
-    sums = hits.groupBy("doc_id").agg(
-        F.max("doc_len").alias("n"), *[F.sum(F.col("vector")[i] * F.col("tf").cast("double")).alias(f"s{i}") for i in range(width or 0)]
-    )
+    blocks, held = max(1, -(-(size or 0) // send_bytes)), None
+    for first in range(0, blocks, AT_ONCE):
+        hits = held
+        for block in range(first, min(blocks, first + AT_ONCE)):
+            words = known if blocks == 1 else known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)
+            part = tf.select("doc_id", "term", "tf", "doc_len").join(F.broadcast(words), "term").drop("term")
+            hits = part if hits is None else hits.unionByName(part)
+        sums = hits.groupBy("doc_id").agg(
+            F.max("doc_len").alias("n"), *[F.sum(F.col("vector")[i] * F.col("tf").cast("double")).alias(f"s{i}") for i in range(width or 0)]
+        )
+        if first + AT_ONCE < blocks:
+            done = stage(sums.select("doc_id", F.lit(1).alias("tf"), F.col("n").alias("doc_len"), F.array(*[f"s{i}" for i in range(width)]).alias("vector")))
+            release(held)
+            held = done
     return sums.select("doc_id", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(width or 0)]).cast("array<double>").alias("vector"))
 
 

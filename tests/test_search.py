@@ -102,6 +102,20 @@ def test_a_large_word_table_moves_no_vectors_with_terms(spark):
         assert np.allclose(got[d], want)
 
 
+def test_blocks_of_a_word_table_are_sent_a_few_at_a_time(spark):
+    """The driver holds what it sends: a table of many blocks is many jobs of at most AT_ONCE."""
+    rows = [(d, f"w{(7 * d + j) % 40}", 1 + j, 30) for d in range(9) for j in range(12)]
+    words = {f"w{i}": [i / 8, 1.0 - i] for i in range(0, 40, 2)}
+    tf = spark.createDataFrame(rows, "doc_id INT, term STRING, tf LONG, doc_len LONG")
+    embedding = spark.createDataFrame([*words.items()], "word STRING, vector ARRAY<DOUBLE>")
+    means = search.embed_by_word_mean(tf, embedding, send_bytes=200)
+    assert 0 < means._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= search.AT_ONCE < 20 * 80 // 200
+    got = {r.doc_id: r.vector for r in means.collect()}
+    for d in range(9):
+        want = sum(n * np.array(words[w]) for k, w, n, _ in rows if k == d and w in words) / 30
+        assert np.allclose(got[d], want)
+
+
 def test_word_vectors_with_gaps_are_an_error(spark):
     tf = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 1, 2)], "doc_id INT, term STRING, tf LONG, doc_len LONG")
     for other in ([None, 1.0], [1.0]):
