@@ -34,7 +34,7 @@ def _parsed(records: DataFrame) -> DataFrame:
     bare = F.regexp_replace("record", r"^\s*<\?xml[^>]*\?>", "")
     xml = F.from_xml(bare, RECORD_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     return (
-        records.select(xml.alias("x"))
+        records.select(F.explode(F.array(xml)).alias("x"))  # below a generator the filters on x would parse the record anew each
         .where(F.col("x._corrupt_record").isNull())
         .select(F.explode("x.Defect").alias("d"))
         .select("d.*")
@@ -63,7 +63,7 @@ def parse_defects(records: DataFrame) -> DataFrame:
     )
     names = F.array_distinct(F.transform("fields", lambda f: f["name"]))
     entry = lambda n: F.struct(
-        n, F.array_sort(F.array_distinct(F.transform(F.filter("fields", lambda f: f["name"] == n), lambda f: f["value"])))
+        n, F.sort_array(F.array_distinct(F.transform(F.filter("fields", lambda f: f["name"] == n), lambda f: f["value"])))
     )
     return (
         _parsed(records)

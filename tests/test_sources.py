@@ -37,6 +37,13 @@ def test_records_and_malformed(defects):
     assert sorted(r.defect_id for r in records.parse_defects(defects).collect()) == ["D1", "D2", "D3"]
 
 
+def test_a_record_is_parsed_once(spark, defects):
+    """Filters on a parsed record stay above it; below, each would parse the record again."""
+    for df in (records.parse_defects(defects), records.defect_posts(defects)):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        assert plan.toString().count("from_xml(") == 1
+
+
 def test_metadata_holds_all_fields(defects):
     meta = {r.defect_id: r.metadata for r in records.parse_defects(defects).collect()}
     assert meta["D2"]["Keyword"] == ["a", "b"] and meta["D2"]["ChangedBy"] == ["me"] and meta["D2"]["Note"] == ["seen again"]
