@@ -15,6 +15,18 @@ def test_stem_terms_merges_counts(spark):
     assert sorted((r.doc_id, r.term, r.tf) for r in terms.stem_terms(tf).collect()) == [(1, "knee", 3), (2, "knee", 1)]
 
 
+def test_words_of_sentences_are_counted_in_their_row(spark):
+    """No word is shuffled to be counted; an id that comes twice scores as before."""
+    docs = spark.createDataFrame([(1, "Aa bb. Cc dd cc! Ee"), (2, "bb bb. "), (2, "aa bb. cc"), (3, None), (4, "")], "doc_id INT, text STRING")
+    weights = spark.createDataFrame([(1, "aa", 0.5), (1, "cc", 0.9), (2, "bb", 0.3), (2, "bb", 0.1)], "doc_id INT, term STRING, w DOUBLE")
+    best = summaries.summarize_docs(docs, weights, ratio=1.0)
+    assert "doc_id, position, term" not in " ".join(best._jdf.queryExecution().executedPlan().toString().replace("#", " ").split())
+    got = sorted((r.doc_id, r.position, round(r.score, 6)) for r in best.collect())
+    assert got == [(1, 0, 0.25), (1, 1, 0.6), (1, 2, 0.0), (2, 0, 0.171429), (2, 0, 0.171429), (2, 1, 0.0), (2, 1, 0.0)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
