@@ -17,13 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.operators.search import read_columns
 from caseweave.session import stage
 
 #: Tokens and bytes of tokens that are counted at once (a longer document is counted alone).
 COUNTED, COUNTED_BYTES = 1 << 18, 8 << 20
-#: Rows of a term table that are weighted at once, and bytes of a vocabulary that a task holds for it.
-WEIGHTED, VOCABULARY = 1 << 19, 64 << 20
+#: Rows of a term table whose norms are taken at once, and bytes of a vocabulary that goes to all tasks for it.
+WEIGHTED, VOCABULARY = 1 << 17, 32 << 20
 
 
 def token_slices(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
@@ -138,14 +137,15 @@ def tfidf(
 
     The document length counts all tokens, those outside the vocabulary too. ``together`` says that no id comes twice and that the
     rows of a document follow one another in one partition, as ``term_freq`` makes them (read from files they may not). Then norms of 1
-    need no shuffle: tasks hold the vocabulary, unless it is larger than VOCABULARY, and weigh documents where they lie.
+    need no shuffle: the vocabulary goes to all tasks, unless it is larger than VOCABULARY, and documents are weighed where they lie.
     """
     inverse = idf(doc_freq(tf) if vocabulary is None else vocabulary, n_docs, idf_form).select("term", "idf")
     base = F.col("tf") / F.col("doc_len") if by_length else F.col("tf")
     if together and l2:
         inverse = stage(inverse)
         if (inverse.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) <= VOCABULARY:
-            return unit_rows(tf.select("doc_id", "term", base.cast("double").alias("w")), inverse)
+            found = tf.join(F.broadcast(inverse), "term")  # keeps the order of the rows
+            return unit_rows(found.select("doc_id", "term", (base * F.col("idf")).cast("double").alias("w")))
     weights = tf.join(inverse, "term").select("doc_id", "term", (base * F.col("idf")).alias("w"))
     return l2_normalize(weights) if l2 else weights
 
@@ -172,24 +172,17 @@ def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Tabl
         yield table, numbered(table)
 
 
-def unit_rows(weights: DataFrame, inverse: DataFrame) -> DataFrame:
-    """``w`` × idf with rows of norm 1 of weights whose documents lie together; ``inverse`` (term, idf) is staged."""
-    files, schema = inverse.inputFiles(), weights.schema
+def unit_rows(weights: DataFrame) -> DataFrame:
+    """``l2_normalize`` of weights whose documents lie together."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, number in whole_documents(batches):
-            known = known or read_columns(files, ["term", "idf"])
-            terms = rows["term"].combine_chunks().dictionary_encode()
-            at = pc.index_in(terms.dictionary, value_set=known["term"]).fill_null(-1).to_numpy(zero_copy_only=False)[terms.indices.fill_null(0).to_numpy()]
-            w = rows["w"].to_numpy() * np.append(known["idf"].to_numpy(), 0.0)[at]
-            there = (at >= 0) & rows["term"].is_valid().to_numpy(zero_copy_only=False)
-            norm = np.sqrt(np.bincount(number[there], weights=w[there] ** 2, minlength=number[-1] + 1))
-            kept = np.flatnonzero(there & (norm[number] > 0))
-            part = rows.take(pa.array(kept)).set_column(2, "w", pa.array(w[kept] / norm[number[kept]]))
-            yield from part.to_batches(max_chunksize=1 << 16)
-
-    return weights.mapInArrow(weigh, schema)
+            w = rows["w"].to_numpy()
+            norm = np.sqrt(np.bincount(number, weights=w * w))[number]
+            part = rows.set_column(2, "w", pa.array(w / np.where(norm > 0, norm, 1.0)))
+            yield from part.filter(pa.array(norm > 0)).to_batches(max_chunksize=1 << 16)
+
+    return weights.mapInArrow(divide, weights.schema)
 
 
 def l2_normalize(weights: DataFrame) -> DataFrame:
