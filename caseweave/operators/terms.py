@@ -22,7 +22,7 @@ from caseweave.session import stage
 #: Tokens and bytes of tokens that are counted at once (a longer document is counted alone).
 COUNTED, COUNTED_BYTES = 1 << 18, 8 << 20
 #: Rows of a term table whose norms are taken at once, and bytes of a vocabulary that goes to all tasks for it.
-WEIGHTED, VOCABULARY = 1 << 17, 32 << 20
+WEIGHTED, VOCABULARY = 1 << 17, 64 << 20
 
 
 def token_slices(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
